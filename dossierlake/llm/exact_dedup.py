@@ -10,7 +10,8 @@ of equal texts.  No digest decides equality; the SHA-256 is only reported.
 
 A level is one grouped count, combined before the shuffle, whose result is
 written and joined back, so that a group that holds a third of all rows is
-split by the adaptive skew join.  The number of levels grows with the logarithm
+split by the adaptive skew join.  Joins that carry texts are sort-merge joins at
+every size, so that what they move grows in proportion.  The number of levels grows with the logarithm
 of the longest *repeated* text.
 
 Defined results
@@ -45,7 +46,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = F.when(F.col("_g").isNotNull() & (F.col("_nb") > first), F.expr(f"substring(cast(_n as binary), {first + 1})"))
     level = materialize(
         norm.select("_id", "_cp", "_n", *head)
-        .join(shared, ["_nb", "_d"], "left")
+        .join(shared.hint("merge"), ["_nb", "_d"], "left")
         .select("_id", "_cp", F.sha2("_n", 256).alias("_sha"), "_g", rest.alias("_r"), F.monotonically_increasing_id().alias("_row")),
         "radix1",
     )
@@ -56,7 +57,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared = materialize(part.groupBy(F.col("_g").alias("_pg"), F.col("_d").alias("_pd")).agg(F.count("*").alias("_c")).where("_c > 1").select("_pg", "_pd", F.monotonically_increasing_id().alias("_ng")), "radixn")
         more = F.when(F.col("_ng").isNotNull() & (F.octet_length("_r") > width), F.expr(f"substring(_r, {width + 1})"))
         level = materialize(
-            part.join(shared, (F.col("_g") == F.col("_pg")) & (F.col("_d") == F.col("_pd")), "left").select("_id", "_cp", "_sha", (F.lit(len(done)) * F.lit(1 << 53) + F.col("_ng")).alias("_g"), more.alias("_r"), "_row"),
+            part.join(shared.hint("merge"), (F.col("_g") == F.col("_pg")) & (F.col("_d") == F.col("_pd")), "left").select("_id", "_cp", "_sha", (F.lit(len(done)) * F.lit(1 << 53) + F.col("_ng")).alias("_g"), more.alias("_r"), "_row"),
             "radixn",
         )
         done.append(level.where("_r is null").drop("_r"))
