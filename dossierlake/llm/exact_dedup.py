@@ -83,12 +83,13 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") ->
     Decisions are made per row but applied per id: a row repeated with the same
     id is kept once if one of its rows stays.  Rows whose id is null stay.
     """
-    by_id = decisions.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_k")).agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
+    key = "__dossierlake_key"
+    by_id = decisions.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
     verdict = materialize(by_id.where("not _any or _n > 1"), "verdict")
-    out = docs.join(verdict.where("not _any"), docs[id_col] == F.col("_k"), "left_anti")
-    twice = verdict.where("_any").select("_k")
+    out = docs.join(verdict.where("not _any").select(key).hint("merge"), docs[id_col] == F.col(key), "left_anti")
+    twice = verdict.where("_any").select(key)
     if twice.isEmpty():
         return out
     # Rows that share an id are few; keep one row of each.
-    again = out.join(twice, out[id_col] == F.col("_k"), "left_semi").dropDuplicates([id_col])
-    return out.join(twice, out[id_col] == F.col("_k"), "left_anti").unionByName(again)
+    again = out.join(twice, out[id_col] == F.col(key), "left_semi").dropDuplicates([id_col])
+    return out.join(twice, out[id_col] == F.col(key), "left_anti").unionByName(again)
