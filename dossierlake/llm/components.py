@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not sign[0] or sign == seen:
             break
         seen = sign
-        large = materialize(_large(now, "large").distinct(), "edges")
+        large = materialize(_large(now, "large"), "edges")
         nxt = materialize(_closer(large, "small").distinct(), "edges")
         discard(now)
         discard(large)

@@ -15,10 +15,12 @@ reaches the threshold.  The join is exact on 64-bit shingle hashes:
 4.  What passes is intersected exactly, as sorted arrays.
 
 Groups of thousands of near copies would give pairs with the square of their
-size.  So a first round links documents to the first row of those with an equal
-min-hash (verified by 3 and 4, linear in the rows).  A tile then only yields
-pairs whose documents are not connected yet.  No link between two components can
-be lost by that, as the second round tries every candidate across components.
+size.  So a first round groups documents by equal min-hashes and links them along
+a maximum spanning tree of the similarities that their bitmaps allow: one
+candidate a document, verified by 4.  A tile of the second round then only tries
+pairs whose documents are not connected yet, and yields those that pass 3.  No
+link between two components can be lost by that, as the second round tries every
+candidate across components.
 
 Defined results
   * null or wordless text: empty set, linked with nothing, its own component.
@@ -49,7 +51,10 @@ MIN_HASHES = 4
 MAX_BITS = 1 << 16
 #: Documents of one side of a tile, and entries of one tile group.
 TILE_SIDE = 4096
-GROUP_ENTRIES = 500_000
+GROUP_ENTRIES = 1_000_000
+MIN_GROUPS = 16
+#: Rows of one spanning tree.
+TREE_ROWS = 1024
 #: Sets are broadcast by id up to so many rows, else joined.
 BROADCAST_ROWS = 200_000
 _FLUSH = 2_000_000
@@ -156,32 +161,87 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
 
 
-def _allowed(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow the threshold."""
-    bits = features.select("row", "n", "bits")
-    both = pairs.join(bits.toDF("a", "na", "xa"), "a").join(bits.toDF("b", "nb", "xb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8), np.frombuffer(batch.column(5)[i].as_buffer(), np.uint8)
-                # Compared at the finer size where both have it, else folded to the coarser.
-                size = min(len(x), len(y))
-                x, y = _fold(x, size), _fold(y, size)
-                only_x, only_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-                most = min(na[i] - only_x, nb[i] - only_y)
-                keep[i] = 100 * most >= percent * (na[i] + nb[i] - most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+def _common_bits(x: np.ndarray) -> np.ndarray:
+    """How many bits each pair of rows of a bitmap matrix shares."""
+    wide = np.unpackbits(x, axis=1).astype(np.float32)
+    return wide @ wide.T
+
+
+def _tree(rows: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning tree of the allowed similarity, as far as it reaches the threshold."""
+    order = np.argsort(-n, kind="stable")
+    edges, at = [], 0
+    while at < len(order) - 1:
+        # Sizes that can link with the largest that is left, and half as many more below.
+        block = order[at:][n[order[at:]] * 2 >= n[order[at]]]
+        size = min(len(bits[i]) for i in block)
+        x = np.stack([_fold(bits[i], size) for i in block])
+        own, common, m = np.bitwise_count(x).sum(1).astype(np.float32), _common_bits(x), n[block].astype(np.float32)
+        most = np.minimum(m[:, None] - own[:, None] + common, m[None, :] - own[None, :] + common)
+        similar = most / (m[:, None] + m[None, :] - most)
+        best, link, todo = similar[0].copy(), np.zeros(len(block), np.int64), np.ones(len(block), bool)
+        todo[0] = False
+        for _ in range(len(block) - 1):
+            j = int(np.where(todo, best, -1.0).argmax())
+            todo[j] = False
+            if best[j] * 100 >= percent - 0.01:
+                edges.append((int(rows[block[link[j]]]), int(rows[block[j]])))
+            nearer = similar[j] > best
+            best[nearer], link[nearer] = similar[j][nearer], j
+        # The next block starts below what the largest can link with.
+        at += max(1, int((n[order[at:]] * 4 >= n[order[at]] * 3).sum()))
+    return edges
+
+
+def _tree_pairs(keyed: DataFrame, percent: int, groups: int) -> DataFrame:
+    """Candidate pairs (a, b), about one a document; keyed: j, key, part, row, n, bits."""
+
+    def grow(table):
+        rows, n = table.column("row").to_numpy(), table.column("n").to_numpy()
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("j", "key", "part")])
+        order = np.lexsort((rows, *key))
+        key = key[:, order]
+        cuts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0), [True]))) if len(rows) else np.zeros(1, np.int64)
+        bits = table.column("bits")
+        pairs: set[tuple[int, int]] = set()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = order[a:b]
+            if b - a == 2:
+                pairs.add((int(rows[at[0]]), int(rows[at[1]])))
+            elif b - a > 2:
+                own = [np.frombuffer(bits[int(i)].as_buffer(), np.uint8) for i in at]
+                pairs.update((min(e), max(e)) for e in _tree(rows[at], n[at], own, percent))
+        out = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
-    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(test, "a long, b long")
+    spread = keyed.withColumn("g", F.pmod(F.xxhash64("j", "key", "part"), F.lit(groups)))
+    return spread.groupBy("g").applyInArrow(grow, "a long, b long").distinct()
+
+
+def _test_bits(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of indices may reach the threshold, by sizes and bit counts."""
+    keep = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+    sizes = np.array([len(x) for x in bits], np.int64)
+    for size in np.unique(sizes).tolist():
+        here = np.flatnonzero(keep & (np.minimum(sizes[a], sizes[b]) == size))
+        if not len(here):
+            continue
+        used, local = np.unique(np.concatenate((a[here], b[here])), return_inverse=True)
+        x = np.stack([_fold(bits[i], size) for i in used])
+        own, half = np.bitwise_count(x).sum(1, dtype=np.int64), len(here)
+        step = max(1, (8 << 20) // size)
+        for c in range(0, half, step):
+            i, j = local[:half][c : c + step], local[half:][c : c + step]
+            common = np.bitwise_count(x[i] & x[j]).sum(1, dtype=np.int64)
+            na, nb = n[used[i]], n[used[j]]
+            most = np.minimum(na - own[i] + common, nb - own[j] + common)
+            keep[here[c : c + step]] = 100 * most >= percent * (na + nb - most)
+    return keep
 
 
 def _linked(pairs: DataFrame, features: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
     spark = docs.sparkSession
-    pairs = materialize(_allowed(pairs, features, percent), "allowed")
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     needed = materialize(features.select("row", F.col("_id").alias("_nid"), "d1", "d2").join(rows, "row", "left_semi"), "needed")
     side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
@@ -225,7 +285,7 @@ def _band(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log(np.maximum(n, 1)) / np.log(1.1)), 250).astype(np.uint8)
 
 
-def _candidates(entries: DataFrame, percent: int, groups: int, frequent) -> DataFrame:
+def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: int, frequent) -> DataFrame:
     """Pairs (a, b) of unconnected documents that share a tile; entries: row, n, prefix, cluster (null: alone)."""
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.1))) + 1
 
@@ -280,56 +340,79 @@ def _candidates(entries: DataFrame, percent: int, groups: int, frequent) -> Data
         if held:
             yield flush()
 
-    def meet(table):
+    def mixed(table):
+        """The rows of tiles whose documents are not all connected, each with its tiles."""
         read = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)])
         tile, row, band = read("tile", np.uint32), read("row", np.int64), read("band", np.uint8)
         cluster = -1 - row
         cluster[band >= 128] = read("cluster", np.int64)
-        size = (band & 127).astype(np.int16)
-        order = np.argsort(tile, kind="stable")
-        tile = tile[order]
-        starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1]))) if len(tile) else np.zeros(0, np.int64)
-        lengths = np.diff(np.concatenate((starts, [len(tile)])))
-        own = cluster[order]
+        order = np.lexsort((band & 127, tile))
+        tile, row, cluster, band = tile[order], row[order], cluster[order], (band[order] & 127).astype(np.int64)
+        # A tile is cut between size bands that cannot link; the last band is open to above.
+        new = np.concatenate(([True], (tile[1:] != tile[:-1]) | ((band[1:] - band[:-1] > reach) & (band[1:] < 127)))) if len(tile) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        keep = np.zeros(0, bool)
         if len(starts):
-            mixed = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)) & (lengths > 1)
-        else:
-            mixed = np.zeros(0, bool)
-        pairs = [np.zeros((0, 2), np.int64)]
-        held = 0
-
-        def shrink():
-            return [np.unique(np.concatenate(pairs), axis=0)]
-
-        two = starts[mixed & (lengths == 2)]
-        blocks = [(order[two], order[two + 1])]
-        for s, n in zip(starts[mixed & (lengths > 2)].tolist(), lengths[mixed & (lengths > 2)].tolist(), strict=True):
-            at = order[s : s + n]
-            # Row by row against the rest; never the whole square at once.
-            for j in range(0, n - 1, 256):
-                i, k = np.triu_indices(min(256, n - j), 1, n - j)
-                blocks.append((at[j + i], at[j + k]))
-                held += len(i)
-                if held > 1_000_000:
-                    pairs.append(_across(blocks, row, cluster, size, reach))
-                    pairs, blocks, held = shrink(), [], 0
-        pairs.append(_across(blocks, row, cluster, size, reach))
-        out = shrink()[0]
-        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+            differ = np.minimum.reduceat(cluster, starts) != np.maximum.reduceat(cluster, starts)
+            keep = differ[np.cumsum(new) - 1]
+        part = (np.cumsum(new) - 1)[keep].astype(np.int32)
+        row, cluster = row[keep], cluster[keep]
+        order = np.argsort(row, kind="stable")
+        row, cluster, part = row[order], cluster[order], part[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+        cuts = np.concatenate((first, [len(row)])).tolist()
+        n = len(first)
+        return pa.table({
+            "g": pa.array(np.full(n, table.column("g")[0].as_py()), pa.int32()), "row": pa.array(row[first]), "cluster": pa.array(cluster[first]),
+            "tiles": pa.array([part[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        })
 
-    scattered = entries.select("row", "n", "prefix", "cluster").mapInArrow(scatter, "g int, tile binary, row binary, band binary, cluster binary")
-    return scattered.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
+    def meet(table):
+        row, cluster, n = (table.column(c).to_numpy() for c in ("row", "cluster", "n"))
+        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        tiles = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("tiles")]
+        doc = np.repeat(np.arange(len(tiles)), [len(x) for x in tiles])
+        tile = np.concatenate(tiles)
+        # By tile and size, so that a document's partners are those shortly after it.
+        order = np.lexsort((n[doc], tile))
+        doc, tile = doc[order], tile[order]
+        ends = np.searchsorted(tile, tile, side="right")
+        seen, out, held = np.zeros(0, np.int64), [], []
+        size = 0
 
+        def flush():
+            nonlocal seen, size
+            codes = np.setdiff1d(np.concatenate(held), seen)
+            held.clear()
+            size = 0
+            seen = np.union1d(seen, codes) if len(seen) + len(codes) < _FLUSH else codes
+            a, b = np.divmod(codes, len(row))
+            keep = _test_bits(a, b, n, bits, percent)
+            out.append(np.stack((row[a[keep]], row[b[keep]]), 1))
+
+        span = 1
+        todo = np.flatnonzero(ends - np.arange(len(doc)) > span)
+        while len(todo):
+            i, j = doc[todo], doc[todo + span]
+            fits = n[i] * 100 >= n[j] * percent
+            pick = fits & (cluster[i] != cluster[j])
+            held.append(np.minimum(i[pick], j[pick]) * np.int64(len(row)) + np.maximum(i[pick], j[pick]))
+            size += int(pick.sum())
+            if size > _FLUSH // 2:
+                flush()
+            span += 1
+            # Partners grow with the distance: the first too large one ends the search.
+            todo = todo[fits]
+            todo = todo[ends[todo] - todo > span]
+        if held:
+            flush()
+        pairs = np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-def _across(blocks, row, cluster, size, reach) -> np.ndarray:
-    if not blocks:
-        return np.zeros((0, 2), np.int64)
-    i, j = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-    near = np.abs(size[i] - size[j]) <= reach
-    # The last band is open to above.
-    keep = (cluster[i] != cluster[j]) & (near | (np.minimum(size[i], size[j]) >= 127 - reach)) & (row[i] != row[j])
-    a, b = row[i[keep]], row[j[keep]]
-    return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    scattered = entries.select("row", "n", "prefix", "cluster").mapInArrow(scatter, "g int, tile binary, row binary, band binary, cluster binary")
+    rows = materialize(scattered.groupBy("g").applyInArrow(mixed, "g int, row long, cluster long, tiles binary"), "mixed")
+    signed = rows.join(features.select("row", "n", "bits"), "row")
+    return signed.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -350,18 +433,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(features.select("row", "_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("row", "_id", "n", F.coalesce("rep", "row").alias("rep")), "members")
     reps = members.where("row = rep and n > 0").select("row")
 
-    # First round: by equal min-hash, each to the first row that has it.
-    keyed = materialize(features.select("row", "n", "keys").join(reps, "row", "left_semi").select("row", "n", F.posexplode("keys").alias("j", "key")), "keyed")
-    pivots = materialize(keyed.groupBy(F.col("j").alias("pj"), F.col("key").alias("pkey")).agg(F.min(F.struct("row", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("pj", "pkey", "p.row", "p.n").toDF("pj", "pkey", "prow", "pn"), "pivots")
-    stars = keyed.join(pivots, (F.col("key") == F.col("pkey")) & (F.col("j") == F.col("pj"))).where((F.col("row") != F.col("prow")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
-    first = materialize(_linked(stars.select(F.col("prow").alias("a"), F.col("row").alias("b")).distinct(), features, docs, k, percent), "links")
+    # First round: along trees, among rows of equal min-hash.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = materialize(features.select("row", "keys").join(reps, "row", "left_semi").select("row", F.posexplode("keys").alias("j", "key")), "keyed")
+    shared = materialize(keyed.groupBy(F.col("j").alias("pj"), F.col("key").alias("pkey")).agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    part = F.pmod(F.xxhash64("row", "j"), F.ceil(F.col("c") / TREE_ROWS))
+    keyed = keyed.join(shared, (F.col("key") == F.col("pkey")) & (F.col("j") == F.col("pj"))).select("j", "key", "row", part.alias("part"))
+    first = materialize(_linked(materialize(_tree_pairs(keyed.join(features.select("row", "n", "bits"), "row"), percent, 2 * partitions), "pairs"), features, docs, k, percent), "links")
     clusters = materialize(components(first), "clusters")
 
     # Second round: all tiles, across what is not connected yet.
     entries = features.select("row", "n", "prefix").join(reps, "row", "left_semi").join(clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")), "row", "left")
     total = features.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / GROUP_ENTRIES))
-    second = materialize(_linked(materialize(_candidates(entries, percent, groups, frequent), "candidates"), features, docs, k, percent), "links")
+    groups = max(MIN_GROUPS, int(total / GROUP_ENTRIES))
+    second = materialize(_linked(materialize(_candidates(entries, features, percent, groups, frequent), "candidates"), features, docs, k, percent), "links")
 
     links = first.unionByName(second)
     roots = materialize(components(links), "roots")
