@@ -17,6 +17,12 @@ def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_slots(_table(spark, sf_dir, "documents"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent_lm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import radix_groups
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_pfair_mixing": op6_pfair_mixing,
+    "op7_maxent_lm": op7_maxent_lm,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_bayes": op10_quality_bayes,
 }
