@@ -23,12 +23,24 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import repeated_units
+
+    return repeated_units(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import radix_groups
 
     return radix_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives
+
+    return derivatives(_table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -56,11 +68,13 @@ def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_topk": op3_exact_topk,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_maxent_lm": op7_maxent_lm,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_bayes": op10_quality_bayes,
 }
@@ -77,6 +91,23 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
+        u AS (
+            SELECT doc_id, parts[i] AS line,
+                   CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
+            FROM p),
+        n AS (
+            SELECT doc_id, start, start + length(line) AS "end",
+                   list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM u),
+        r AS (
+            SELECT doc_id, start, "end", CAST(len(words) AS BIGINT) AS n_words,
+                   first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start
+            FROM n WHERE len(words) >= 5 WINDOW w AS (PARTITION BY words ORDER BY doc_id, start))
+        SELECT * FROM r WHERE NOT (doc_id = keep_doc_id AND start = keep_start)""",
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
