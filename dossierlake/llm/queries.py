@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import pfair_slots
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_topk": op3_exact_topk,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_license_scan": op5_license_scan,
     "op6_pfair_mixing": op6_pfair_mixing,
     "op7_maxent_lm": op7_maxent_lm,
     "op8_line_dedup": op8_line_dedup,
