@@ -48,11 +48,11 @@ MAX_FREQUENT = 1 << 17
 #: A task reports shingles that it meets so often.
 FREQUENT_IN_TASK = 4
 MIN_HASHES = 4
-MAX_BITS = 1 << 16
+MAX_BITS = 1 << 17
 #: Documents of one side of a tile, and entries of one tile group.
 TILE_SIDE = 4096
 GROUP_ENTRIES = 1_000_000
-MIN_GROUPS = 16
+MIN_GROUPS = 6
 #: Rows of one spanning tree.
 TREE_ROWS = 1024
 #: Sets are broadcast by id up to so many rows, else joined.
@@ -99,7 +99,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    size = min(MAX_BITS, max(64, 1 << int(2 * len(hashes) - 1).bit_length()))
+    size = min(MAX_BITS, max(64, 1 << int(8 * len(hashes) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
     return np.packbits(bits).tobytes()
@@ -174,7 +174,8 @@ def _tree(rows: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int)
     while at < len(order) - 1:
         # Sizes that can link with the largest that is left, and half as many more below.
         block = order[at:][n[order[at:]] * 2 >= n[order[at]]]
-        size = min(len(bits[i]) for i in block)
+        # The tree only proposes, so its bitmaps are folded to fit in memory.
+        size = min(min(len(bits[i]) for i in block), max(64, 1 << ((1 << 20) // len(block)).bit_length() - 1))
         x = np.stack([_fold(bits[i], size) for i in block])
         own, common, m = np.bitwise_count(x).sum(1).astype(np.float32), _common_bits(x), n[block].astype(np.float32)
         most = np.minimum(m[:, None] - own[:, None] + common, m[None, :] - own[None, :] + common)
