@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import arrow_function
+
 # Fixed values.
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 LETTER_FOR = {"0": "O", "1": "I", "5": "S", "8": "B", "6": "G", "4": "A"}
@@ -54,7 +56,7 @@ def read_date(text: str | None) -> date | None:
     return None
 
 
-@F.pandas_udf("date")
+@arrow_function("date")
 def parse_date(texts: pd.Series) -> pd.Series:
     return texts.map(read_date)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import arrow_function
+
 GENESIS = "0" * 64
 
 
@@ -41,7 +43,7 @@ def record_digest(record: dict) -> str:
     return hashlib.sha256(canonical_json({k: v for k, v in record.items() if k != "hash"}).encode()).hexdigest()
 
 
-@F.pandas_udf("seq long, prev_hash string, hash string, digest string")
+@arrow_function("seq long, prev_hash string, hash string, digest string")
 def read_log_line(lines: pd.Series) -> pd.DataFrame:
     rows = []
     for line in lines:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import arrow_function
 from .fuzzy import best_match
 
 # ISO 3166-1 alpha-3 codes, by first letter; the letters that follow it.
@@ -66,6 +67,6 @@ def code_of(text: str | None) -> str | None:
     return value if value in CODES else DEMONYMS.get(value) or (best_match(value, DEMONYMS, 85) if value else None)
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def to_code(texts: pd.Series) -> pd.Series:
     return texts.map(code_of)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import arrow_function
+
 # Formats as (lines, width), fields as line, start, length (0-based), and glyph confusions.
 SHAPES = {"TD3": (2, 44), "TD2": (2, 36), "TD1": (3, 30), "MRVA": (2, 44), "MRVB": (2, 36)}
 FIRST_LETTERS = {"TD3": "P", "TD2": "ACIPV", "TD1": "ACI", "MRVA": "V", "MRVB": "V"}
@@ -323,7 +325,7 @@ def _format(lines: list[str]) -> str | None:
     return ("MRVB" if visa else "TD2") if 32 <= mean < 40 else None
 
 
-@F.pandas_udf(RESULT)
+@arrow_function(RESULT)
 def parse_mrz(lines: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in re.sub("<[^>]*>", "", RESULT).split(", ")]
     rows = [read_zone(None if x is None else list(x)) for x in lines]

@@ -9,11 +9,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import patterns as P
+from .arrow import arrow_function
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
+SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def squeeze(text: Column) -> Column:
@@ -126,7 +126,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def span_finder(*group: str):
     """A column function text -> array of (start, end, value) of the given patterns."""
 
-    @F.pandas_udf(SPANS)
+    @arrow_function(SPANS)
     def find(texts: pd.Series) -> pd.Series:
         compiled = _compiled(group)
         return texts.map(lambda t: [{"start": a, "end": b, "value": t[a:b]} for a, b in find_spans(t, compiled)])
@@ -134,7 +134,7 @@ def span_finder(*group: str):
     return find
 
 
-@F.pandas_udf("text string, removed int")
+@arrow_function("text string, removed int")
 def redact(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
     """Targets and identifying patterns replaced; spans that touch evidence are left alone."""
     remove, keep = _compiled(P.IDENTIFYING), _compiled(P.PRESERVED)
@@ -237,7 +237,7 @@ def name_letters(name: Column) -> Column:
 def headline(text: Column, query: list[str], words: int = 18) -> Column:
     """A fragment of at most ``words`` words around the first hit, hits marked."""
 
-    @F.pandas_udf("string")
+    @arrow_function("string")
     def cut(texts: pd.Series) -> pd.Series:
         import re
 

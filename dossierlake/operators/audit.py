@@ -73,7 +73,8 @@ def build_chain(rows: DataFrame, order: str = "id", prev: str = GENESIS) -> Data
         return batch.sort_values(order).assign(prev_hash=[p for p, _ in out], entry_hash=[e for _, e in out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", prev_hash string, entry_hash string"
-    return rows.groupBy(F.lit(0)).applyInPandas(fold, schema)
+    one = rows.withColumn("_one", F.lit(0))
+    return one.groupBy("_one").applyInPandas(lambda batch: fold(batch.drop(columns="_one")), schema)
 
 
 def append_records(events: list[dict], seq: int = 0, prev: str = GENESIS) -> list[dict]:

@@ -1,0 +1,4 @@
+"""Registered queries."""
+
+from . import case_queries, screening_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
