@@ -1,4 +1,4 @@
-"""Substring deduplication by hashing lines or paragraphs.
+"""Substring deduplication by hashing lines or paragraphs, and the sentences in them.
 
 A unit is a line, or a paragraph (lines between blank lines).  Its normal form
 is its words, A-Z lower-cased, however they are spaced; its digest has 128 bits.
@@ -7,7 +7,11 @@ Digests are grouped over the whole corpus, the occurrence with the smallest
 offsets in the original text, in code points.
 
 Units with fewer than ``min_words`` words are never removed: such lines repeat
-by chance.  Counts are combined before the shuffle, and the table of repeated
+by chance.  A repeated passage need not be a line of its own.  So lines are also
+cut into sentences, which are hashed and ranked the same way; a run of repeated
+sentences is removed if it has at least ``passage_words`` words.
+
+Counts are combined before the shuffle, and the table of repeated
 digests is written before the join, so that a very common line is split by the
 adaptive skew join.
 
@@ -25,26 +29,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as X
 from .store import materialize, small_batches
 
 MIN_WORDS = 5
+PASSAGE_WORDS = 50
+
+
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+
 
+def _units(part: np.ndarray, at: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) byte spans of the units, without the line breaks.
 
-def _units(part: np.ndarray, at: np.ndarray, paragraphs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) byte spans of the units, without the line breaks."""
+    A sentence ends after a stop that white space follows, and with its line.
+    """
     breaks = np.flatnonzero(part == 10)
-    if paragraphs:
+    inner = np.zeros(0, np.int64)
+    if kind == "paragraph" and len(breaks):
         # A break counts if nothing but white space lies between it and the next one.
         solid = np.concatenate(([0], np.cumsum(~X.SPACE[part])))
         blank = solid[breaks[1:]] == solid[breaks[:-1]]
-        breaks = breaks[np.concatenate((blank, [False])) | np.concatenate(([False], blank))] if len(breaks) else breaks
-    edges = at[:-1]
-    starts = np.concatenate((edges, breaks + 1))
-    ends = np.concatenate((at[1:], breaks))
+        breaks = breaks[np.concatenate((blank, [False])) | np.concatenate(([False], blank))]
+    elif kind == "sentence":
+        inner = np.flatnonzero(_STOP[part[:-1]] & X.SPACE[part[1:]] & (part[1:] != 10)) + 1
+        inner = inner[~np.isin(inner, at)]
+    starts = np.concatenate((at[:-1], breaks + 1, inner))
+    ends = np.concatenate((at[1:], breaks, inner))
     starts.sort()
     ends.sort()
     doc = np.searchsorted(at, starts, side="right") - 1
@@ -53,17 +68,17 @@ def _units(part: np.ndarray, at: np.ndarray, paragraphs: bool) -> tuple[np.ndarr
     return starts[keep], ends[keep], doc[keep]
 
 
-def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paragraphs: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, d1, d2) of every unit with enough words."""
+def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, end, n_words, nth, d1, d2) of every unit with enough words; ``nth`` counts them by document."""
     small_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.buffer_of(batch.column(1))
-            docs_at, out = [], ([], [], [], [], [])
+            docs_at, out = [], ([], [], [], [], [], [])
             for a, b in X.steps(offsets):
                 raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                u0, u1, doc = _units(raw, at, paragraphs)
+                u0, u1, doc = _units(raw, at, kind)
                 part = X.LOWER[raw]
                 starts, ends, _ = X.word_spans(part, at)
                 words = X.span_hashes(part, starts, ends)
@@ -73,6 +88,7 @@ def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not len(u0):
                     continue
                 n = last - first
+                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 index = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 place = (index - np.repeat(first, n)).astype(np.uint64)
                 cuts = np.cumsum(n) - n
@@ -82,23 +98,49 @@ def unit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 base = points[at[doc]]
                 docs_at.append(a + doc)
-                for column, x in zip(out, (points[u0] - base, points[u1] - base, n, d1.view(np.int64), d2.view(np.int64)), strict=True):
+                for column, x in zip(out, (points[u0] - base, points[u1] - base, n, nth, d1.view(np.int64), d2.view(np.int64)), strict=True):
                     column.append(x)
             join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(join(docs_at))), *(pa.array(join(x)) for x in out)], ["doc_id", "start", "end", "n_words", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(join(docs_at))), *(pa.array(join(x)) for x in out)], ["doc_id", "start", "end", "n_words", "nth", "d1", "d2"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(make, f"doc_id {kind}, start long, end long, n_words long, d1 long, d2 long")
+    of = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(make, f"doc_id {of}, start long, end long, n_words long, nth long, d1 long, d2 long")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paragraphs: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: ``doc_id, start, end, n_words, keep_doc_id, keep_start``."""
-    units = materialize(unit_digests(docs, id_col, text_col, paragraphs, min_words), "units")
+def _repeats(units: DataFrame) -> DataFrame:
+    """Units that are not the first of their digest, with the place of the first."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     first = materialize(units.groupBy(F.col("d1").alias("k1"), F.col("d2").alias("k2")).agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
     met = units.join(first.hint("merge"), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    return met.where(~same).select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+    return met.where(~same).drop("k1", "k2")
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per removed unit: ``doc_id, start, end, n_words, keep_doc_id, keep_start``."""
+    found = _repeats(materialize(unit_digests(docs, id_col, text_col, kind, min_words), "units"))
+    return found.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per removed run of sentences, with the columns of ``repeated_units``.
+
+    The place that stays is that of the run's longest sentence.
+    """
+    units = materialize(unit_digests(docs, id_col, text_col, "sentence", 1), "sentences")
+    # ``nth`` counts the sentences of a document, so that neighbours can be told.
+    found = _repeats(units)
+    by = Window.partitionBy("doc_id").orderBy("start")
+    runs = found.dropDuplicates(["doc_id", "start"]).withColumn("run", F.col("nth") - F.row_number().over(by))
+    longest = F.max_by("first", F.struct("n_words", -F.col("start")))
+    out = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), longest.alias("first"))
+    return out.where(F.col("n_words") >= passage_words).select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """Removed units and passages, with ``unit`` as their kind; a passage may lie in a removed unit."""
+    units = repeated_units(docs, id_col, text_col, kind, min_words).withColumn("unit", F.lit(kind))
+    return units.unionByName(repeated_passages(docs, id_col, text_col, passage_words).withColumn("unit", F.lit("passage")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -106,9 +148,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Expects unique ids.  ``kept`` lists (start, end) in the original text.
     """
-    spans = repeated_units(docs, id_col, text_col, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut"))
+    spans = removed_spans(docs, id_col, text_col, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut"))
     own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     joined = own.join(spans.hint("merge"), F.col("id") == F.col("doc_id"), "left").select("id", "t", F.coalesce("cut", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("cut"))
+    # Ends never fall back, so that overlapping cuts leave nothing between them.
+    upto = F.aggregate("cut", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.greatest(x["end"], F.coalesce(F.try_element_at(a, F.lit(-1)), x["end"])))))
+    joined = joined.withColumn("cut", F.zip_with("cut", upto, lambda x, e: F.struct(x["start"].alias("start"), e.alias("end"))))
     edge = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.col("cut"), F.array(F.struct(F.length("t").cast("long").alias("start"), F.length("t").cast("long").alias("end"))))
     # What lies between two cuts stays.
     kept = F.filter(F.zip_with(F.slice(edge, 1, F.size(edge) - 1), F.slice(edge, 2, F.size(edge) - 1), lambda a, b: F.struct(a["end"].alias("start"), b["start"].alias("end"))), lambda s: s["end"] > s["start"])

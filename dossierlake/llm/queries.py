@@ -30,9 +30,9 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import repeated_units
+    from .line_dedup import removed_spans
 
-    return repeated_units(_table(spark, sf_dir, "documents"))
+    return removed_spans(_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,22 +99,35 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op8_line_dedup": r"""
-        WITH l AS (
-            SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
         p AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
         u AS (
-            SELECT doc_id, parts[i] AS line,
-                   CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
+            SELECT doc_id, parts[i] AS line, CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
             FROM p),
+        c AS (
+            SELECT doc_id, start AS line_start, string_split(regexp_replace(line, '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM u),
+        d AS (SELECT doc_id, line_start, parts, unnest(range(1, len(parts) + 1)) AS i FROM c),
+        e AS (
+            SELECT 'line' AS unit, doc_id, start, line AS t FROM u
+            UNION ALL
+            SELECT 'passage', doc_id, line_start + CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0) AS BIGINT), parts[i] FROM d),
         n AS (
-            SELECT doc_id, start, start + length(line) AS "end",
-                   list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-            FROM u),
+            SELECT unit, doc_id, start, start + length(t) AS "end",
+                   list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM e),
         r AS (
-            SELECT doc_id, start, "end", CAST(len(words) AS BIGINT) AS n_words,
-                   first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start
-            FROM n WHERE len(words) >= 5 WINDOW w AS (PARTITION BY words ORDER BY doc_id, start))
-        SELECT * FROM r WHERE NOT (doc_id = keep_doc_id AND start = keep_start)""",
+            SELECT unit, doc_id, start, "end", CAST(len(words) AS BIGINT) AS n_words,
+                   first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start,
+                   row_number() OVER (PARTITION BY unit, doc_id ORDER BY start) AS nth
+            FROM n WHERE len(words) >= CASE unit WHEN 'line' THEN 5 ELSE 1 END WINDOW w AS (PARTITION BY unit, words ORDER BY doc_id, start)),
+        s AS (SELECT *, nth - row_number() OVER (PARTITION BY unit, doc_id ORDER BY start) AS run FROM r WHERE NOT (doc_id = keep_doc_id AND start = keep_start)),
+        g AS (
+            SELECT doc_id, min(start) AS start, max("end") AS "end", CAST(sum(n_words) AS BIGINT) AS n_words,
+                   arg_max(struct_pack(d := keep_doc_id, s := keep_start), (n_words, -start)) AS k
+            FROM s WHERE unit = 'passage' GROUP BY doc_id, run HAVING sum(n_words) >= 50)
+        SELECT doc_id, start, "end", n_words, keep_doc_id, keep_start, unit FROM s WHERE unit = 'line'
+        UNION ALL
+        SELECT doc_id, start, "end", n_words, k.d, k.s, 'passage' FROM g""",
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
