@@ -122,7 +122,7 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.
     out = np.empty(len(words), U64)
     with np.errstate(over="ignore"):
         wide = np.zeros(len(words), U64)
-        for j in range(k):
+        for j in range(min(k, len(words))):
             wide[: len(words) - j] += words[j:] * factors[j]
         wide = mix(wide)
         at = 0
