@@ -44,9 +44,9 @@ from .components import components
 from .store import materialize, small_batches
 
 #: The global order knows at most so many frequent shingles; the order decides speed, not results.
-MAX_FREQUENT = 1 << 17
+MAX_FREQUENT = 1 << 19
 #: A task reports shingles that it meets so often.
-FREQUENT_IN_TASK = 4
+FREQUENT_IN_TASK = 2
 MIN_HASHES = 4
 MAX_BITS = 1 << 17
 #: Documents of one side of a tile, and entries of one tile group.
@@ -86,13 +86,14 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["h", "c"])
 
     total = materialize(docs.select("_text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
-    # Counts by power of two, at most 63 rows, tell from where on the list is short enough.
-    by = {r[0]: r[1] for r in total.groupBy(F.floor(F.log2("c")).alias("p")).count().collect()}
+    # Counts by eighths of a power of two, at most 504 rows, tell from where on the list is short enough.
+    level = F.floor(F.log2("c") * 8)
+    by = {r[0]: r[1] for r in total.groupBy(level.alias("p")).count().collect()}
     p, rows = max(by, default=0), 0
     while p >= 0 and rows + by.get(p, 0) <= MAX_FREQUENT:
         rows += by.get(p, 0)
         p -= 1
-    found = total.where(F.floor(F.log2("c")) > p).toPandas()
+    found = total.where(level > p).toPandas()
     h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
