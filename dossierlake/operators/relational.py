@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Which rank may do what, and how sensitivities rank.
 SENSITIVITY = {"normal": 0, "sensitive": 1, "protected": 2}
 PER_PAGE, MOST_PER_PAGE = 25, 100
+DEEP = 100_000
 
 
 def scoped(rows: DataFrame, assignments: DataFrame, user: object | None = None, on: str = "case_id") -> DataFrame:
@@ -24,7 +25,12 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, per_page: int =
     """
     number, per_page = max(1, number), max(1, min(MOST_PER_PAGE, per_page))
     total = rows.agg(F.count("*").alias("total_count"))
-    cut = rows.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
+    skip = (number - 1) * per_page
+    # A top-k keeps skip + per_page rows; a deep page is first held against the count.
+    if skip > DEEP and skip >= rows.count():
+        cut = rows.limit(0)
+    else:
+        cut = rows.orderBy(*order).offset(skip).limit(per_page)
     return cut.join(F.broadcast(total.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
 
 

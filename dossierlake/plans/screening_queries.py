@@ -25,13 +25,13 @@ def evidence(t: Tables):
 @query(f"""
 WITH c AS (SELECT l_orderkey, l_returnflag, least(CASE l_returnflag WHEN 'R' THEN 100.0 WHEN 'A' THEN 30.0 ELSE 50.0 END, sum({WEIGHT})) AS v FROM lineitem GROUP BY l_orderkey, l_returnflag),
 s AS (SELECT l_orderkey, 100 * (1 - product(1 - least(v, 100) / 100)) AS score FROM c GROUP BY l_orderkey)
-SELECT o_orderkey, round(round(coalesce(score, 0), 1), 0) AS score,
+SELECT o_orderkey, floor(round(coalesce(score, 0), 4)) AS score,
        CASE WHEN coalesce(score, 0) >= 59.95 THEN 'HIGH' WHEN coalesce(score, 0) >= 24.95 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM orders LEFT JOIN s ON l_orderkey = o_orderkey""")
 def risk_scores(t: Tables):
     """Capped sums by category, combined like independent probabilities."""
     context = t.orders.select(F.col("o_orderkey").alias("screening_id"), F.lit(80.0).alias("capture_quality"), F.lit(True).alias("mrz_expected"), F.lit(True).alias("mrz_verified"), F.lit(True).alias("face_checked"))
     r = S.risk(evidence(t), context)
-    return r.select(F.col("screening_id").alias("o_orderkey"), F.round("risk_score", 0).alias("score"), F.col("risk_band").alias("band"))
+    return r.select(F.col("screening_id").alias("o_orderkey"), F.floor("exact_score").cast("double").alias("score"), F.col("risk_band").alias("band"))
 
 
 @query("""
