@@ -194,3 +194,42 @@ def test_process_each(spark, tmp_path):
     stream = ST.versions_stream(spark, str(tmp_path / "in"), "id long", 1)
     ST.process_each(stream, lambda d: d.withColumn("x", F.col("id") + 1), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_capture(spark):
+    from dossierlake.operators import capture as C
+
+    f = lambda *v: [F.lit(float(x)) for x in v]
+    r = spark.range(1).select(C.quality_score(*f(100, 145, 50, 0, 0)), C.quality_score(*f(0, 0, 0, 1, 99)), C.quality_warnings(*f(10, 10, 50, 0.5, 0)), C.capture_tips(*f(10, 100, 0, 0, 0.9, 1, 700, 0.2)), C.gated(F.lit(0.9), F.lit(0.6)), C.metadata_findings(F.lit("Adobe Photoshop 25"), F.lit(""), F.lit("2026:01:02 x"), F.lit("2026:01:01 y"), F.lit(True), F.lit("JPEG"))).first()
+    assert (r[0], r[1]) == (100.0, 0.0) and r[2] == ["blur", "dark", "glare"] and r[3] == ["recapture", "hold steady"] and r[4] is None and r[5] == ["editing_software", "timestamp_mismatch"]
+
+
+def test_printed_values(spark):
+    from dossierlake.operators import capture as C
+
+    cases = [("date_of_birth", "14 FEB 2002.", "2002-02-14"), ("sex", " male", "M"), ("nationality", "Indian", "IND"), ("document_number", "k71-m4p", "K71M4P"), ("duration_of_stay_days", "3 MONTHS", "90"), ("number_of_entries", "SINGLF", "SINGLE"), ("number_of_entries", "x 3", "3"), ("remarks", " :a  b. ", "A B"), ("sex", "?", None)]
+    got = spark.range(1).select(*[C.printed_value(f, F.lit(v)).alias(f"c{i}") for i, (f, v, _) in enumerate(cases)]).first()
+    assert list(got) == [w for *_, w in cases]
+    r = spark.range(1).select(C.dates_without_labels(F.array(*map(F.lit, ("2030-01-01", "1990-01-01", "2020-01-01")))), C.number_without_label(F.array(*map(F.lit, ("PASSEPORT", "AB12345678", "AB1234567")))), C.is_plausible("surname", F.lit("12")), C.is_plausible("document_number", F.lit("K71M4"))).first()
+    assert tuple(r[0]) == ("1990-01-01", "2020-01-01", "2030-01-01") and r[1] == "AB12345678" and not r[2] and r[3]
+
+
+def test_document_type_and_boxes(spark):
+    from dossierlake.operators import capture as C
+
+    mrz = "struct<valid_format:boolean,document_code:string,format:string>"
+    rows = spark.createDataFrame([((True, "P<", "TD3"), {}), ((True, "IR", "TD1"), {}), ((False, None, None), {}), ((False, None, None), {"visa": 0.9}), (None, {})], f"mrz {mrz}, words map<string,double>")
+    assert [r[0] for r in rows.select(C.document_type(F.col("mrz"), F.col("words"))).collect()] == ["passport", "residence_permit", "driving_licence", "visa", "driving_licence"]
+    items = spark.createDataFrame([(1, 10.0, 20.0, 100.0, 10.0, "0123456789", [(2, 4)])], "page int, x double, y double, width double, height double, text string, spans array<struct<start:int,end:int>>")
+    assert tuple(C.covering_boxes(items).first()) == (1, 15.0, 17.5, 50.0, 15.0)
+    z = spark.createDataFrame([(1, "s", 0, 0, 10, 10)], "region_id int, screening_id string, x0 int, y0 int, x1 int, y1 int")
+    zones = spark.createDataFrame([("s", "photo", 0, 0, 4, 10), ("s", "text", 4, 0, 10, 10)], "screening_id string, zone string, zx0 int, zy0 int, zx1 int, zy1 int")
+    assert S.best_zone(z, zones).first().zone == "text"
+
+
+def test_aggregator(spark):
+    from dossierlake.operators import capture as C
+
+    rows = spark.range(200).select((F.col("id") % 4 == 0).alias("label"), (F.when(F.col("id") % 4 == 0, 1.0).otherwise(0.0) + F.col("id") / 1000).alias("a"))
+    assembler, model = C.fit_aggregator(rows, ["a"], "label")
+    assert model.transform(assembler.transform(rows)).where((F.col("prediction") == 1) != F.col("label")).count() == 0
