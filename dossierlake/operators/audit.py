@@ -1,8 +1,7 @@
 """Tamper evidence: hash chains, integrity classes and alerts on changes of state.
 
 A record is checked against the *stored* hash of the one before, so all records
-are checked independently.  Previous hashes cross partitions through a small join
-of partition ends rather than a window over a single partition.
+are checked independently; see ``windows`` for the row before.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import GENESIS, iso_millis, payload_hash, record_digest
+from .windows import before_each, running_sum
 
 PARTS = ("user_id", "action", "document_id", "case_id", "version")
 
@@ -21,23 +21,6 @@ def record_hash(prev: Column, detail: Column) -> Column:
     return payload_hash(prev, *[F.col(p) for p in PARTS], iso_millis(F.col("occurred_at")), detail)
 
 
-def before_each(rows: DataFrame, order: str, value: str, first: str, partitions: int | None = None) -> DataFrame:
-    """Rows with ``_before``: ``value`` of the row before by ``order``; ``first`` for the first.
-
-    Rows are range-partitioned and numbered inside their partition.  Only the last
-    value of each partition, one row each, is looked up across partitions.
-    """
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy(order)
-    ends = sorted_rows.groupBy("_p").agg(F.max_by(value, order).alias("_end"))
-    # As many rows as partitions.
-    heads = ends.select((F.lead("_p").over(Window.orderBy("_p"))).alias("_p"), F.col("_end")).where("_p is not null")
-    out = sorted_rows.withColumn("_in", F.lag(value).over(inside)).withColumn("_nth", F.row_number().over(inside))
-    joined = out.join(F.broadcast(heads), "_p", "left")
-    return joined.withColumn("_before", F.when(F.col("_nth") > 1, F.col("_in")).otherwise(F.coalesce("_end", F.lit(first)))).drop("_p", "_in", "_nth", "_end")
-
-
 def verify_chain(log: DataFrame, detail: str = "detail") -> DataFrame:
     """One row: ``intact`` and ``broken_at``, the first id whose link or hash is wrong."""
     rows = before_each(log, "id", "entry_hash", GENESIS)
@@ -49,8 +32,7 @@ def verify_log(log: DataFrame) -> DataFrame:
     """One row for a JSON-lines log: ``valid, records, broken_at_seq, head``; seq must count from 1."""
     numbered = log.withColumn("_line", F.monotonically_increasing_id())
     rows = before_each(numbered, "_line", "hash", GENESIS)
-    place = F.row_number().over(Window.orderBy("_line"))
-    total = rows.withColumn("_place", place)
+    total = running_sum(rows.withColumn("_one", F.lit(1)), "_line", "_one", "_place")
     good = F.col("prev_hash").eqNullSafe(F.col("_before")) & F.col("digest").eqNullSafe(F.col("hash")) & F.col("seq").eqNullSafe(F.col("_place"))
     out = total.agg(F.count("*").alias("records"), F.min(F.when(~good, F.struct("_line", "seq"))).alias("bad"), F.max_by("hash", "_line").alias("head"))
     return out.select(F.col("bad").isNull().alias("valid"), "records", F.col("bad.seq").alias("broken_at_seq"), F.when(F.col("bad").isNull(), F.col("head")).alias("head"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import running_sum
+
 
 def auc(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """ROC AUC by ranks; of equal scores positives rank first, as the lower.  Null for one class only.
 
-    Ranks come from counts by distinct score, so no sort over all rows is needed
-    beyond that of the distinct scores.
+    Ranks come from counts by distinct score and their running sum.
     """
     by = scores.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = by.withColumn("under", F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = running_sum(by, score, "n", "upto").withColumn("under", F.col("upto") - F.col("n"))
     wins = below.agg(F.sum(F.col("p") * F.col("under")).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return wins.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
 
@@ -21,7 +22,7 @@ def auc(scores: DataFrame, label: str = "label", score: str = "score") -> DataFr
 def auc_mid_rank(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """ROC AUC with ties counted half."""
     by = scores.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = by.withColumn("under", F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = running_sum(by, score, "n", "upto").withColumn("under", F.col("upto") - F.col("n"))
     wins = below.agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return wins.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
 
@@ -31,7 +32,7 @@ def recall_at_fpr(scores: DataFrame, fpr: float, label: str = "label", score: st
     total = scores.agg(F.count_if(~F.col(label)).alias("n"))
     at = F.least(F.col("n") - 1, F.ceil(F.col("n") * (1 - fpr)))
     by = scores.where(~F.col(label)).groupBy(score).agg(F.count("*").alias("c"))
-    upto = by.withColumn("upto", F.sum("c").over(Window.orderBy(score)))
+    upto = running_sum(by, score, "c", "upto")
     threshold = upto.join(F.broadcast(total.select(at.alias("k"), F.lit(1).alias("one"))), F.lit(1) == F.col("one")).where("upto > k").agg(F.min(score).alias("threshold"), F.lit(1).alias("one"))
     joined = scores.where(label).join(F.broadcast(threshold), F.lit(1) == F.col("one"))
     return joined.groupBy("threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("recall"))

@@ -233,3 +233,18 @@ def test_aggregator(spark):
     rows = spark.range(200).select((F.col("id") % 4 == 0).alias("label"), (F.when(F.col("id") % 4 == 0, 1.0).otherwise(0.0) + F.col("id") / 1000).alias("a"))
     assembler, model = C.fit_aggregator(rows, ["a"], "label")
     assert model.transform(assembler.transform(rows)).where((F.col("prediction") == 1) != F.col("label")).count() == 0
+
+
+def test_windows_over_a_total_order(spark):
+    from dossierlake.operators import windows as W
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    ordered = sorted(rows.collect())
+    for n in (1, 7, 64):
+        got = {r.k: r._before for r in W.before_each(rows, "k", "v", -1, n).collect()}
+        assert got == {b.k: (a.v if a else -1) for a, b in zip([None, *ordered], ordered, strict=False)}
+        total, want = 0, {}
+        for r in ordered:
+            total += r.v or 0
+            want[r.k] = total
+        assert {r.k: r.t for r in W.running_sum(rows.fillna(0), "k", "v", "t", n).collect()} == want
