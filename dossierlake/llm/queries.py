@@ -64,7 +64,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_join import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,23 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])) END AS sh
+            FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+            FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+        l2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a AS doc_id, b AS reached FROM l2 UNION SELECT r.doc_id, l2.b FROM r JOIN l2 ON l2.a = r.reached),
+        m AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) AS component_id
+        FROM s LEFT JOIN m ON m.doc_id = s.doc_id""",
     "op8_line_dedup": r"""
         WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
         p AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
