@@ -29,13 +29,12 @@ def auc_mid_rank(scores: DataFrame, label: str = "label", score: str = "score")
 
 def recall_at_fpr(scores: DataFrame, fpr: float, label: str = "label", score: str = "score") -> DataFrame:
     """The threshold that lets at most ``fpr`` of the negatives above it, and the recall beyond it."""
-    total = scores.agg(F.count_if(~F.col(label)).alias("n"))
-    at = F.least(F.col("n") - 1, F.ceil(F.col("n") * (1 - fpr)))
+    n = scores.agg(F.count_if(~F.col(label))).scalar()
     by = scores.where(~F.col(label)).groupBy(score).agg(F.count("*").alias("c"))
     upto = running_sum(by, score, "c", "upto")
-    threshold = upto.join(F.broadcast(total.select(at.alias("k"), F.lit(1).alias("one"))), F.lit(1) == F.col("one")).where("upto > k").agg(F.min(score).alias("threshold"), F.lit(1).alias("one"))
-    joined = scores.where(label).join(F.broadcast(threshold), F.lit(1) == F.col("one"))
-    return joined.groupBy("threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("recall"))
+    threshold = upto.where(F.col("upto") > F.least(n - 1, F.ceil(n * (1 - fpr)))).agg(F.min(score)).scalar()
+    positives = scores.where(label).withColumn("threshold", threshold)
+    return positives.groupBy("threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("recall"))
 
 
 def overlap(rows: DataFrame, inter: str = "inter", union: str = "union_px") -> DataFrame:
@@ -59,5 +58,14 @@ def share_text(good: Column, all_: Column) -> Column:
 
 
 def quantiles(rows: DataFrame, value: str, *points: float) -> DataFrame:
-    """Exact percentiles, interpolated, and the mean."""
-    return rows.agg(*[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in points], F.avg(value).alias("mean"))
+    """Exact percentiles, interpolated, and the mean; from counts by distinct value and their running sum."""
+    by = running_sum(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c")), value, "c", "upto")
+    n = rows.agg(F.count(value)).scalar()
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
+    out = by.agg(
+        *[f(p).alias(f"{name}{round(p * 100)}") for p in points for name, f in (("lo", lambda p: at(F.floor((n - 1) * p))), ("hi", lambda p: at(F.ceil((n - 1) * p))))],
+        (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.max("upto").alias("n"),
+    )
+    place = lambda p: (F.col("n") - 1) * p
+    between = lambda p: F.col(f"lo{round(p * 100)}") + (place(p) - F.floor(place(p))) * (F.col(f"hi{round(p * 100)}") - F.col(f"lo{round(p * 100)}"))
+    return out.select(*[between(p).alias(f"p{round(p * 100)}") for p in points], "mean")

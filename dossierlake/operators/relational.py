@@ -24,14 +24,13 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, per_page: int =
     instead of a window over everything.
     """
     number, per_page = max(1, number), max(1, min(MOST_PER_PAGE, per_page))
-    total = rows.agg(F.count("*").alias("total_count"))
     skip = (number - 1) * per_page
     # A top-k keeps skip + per_page rows; a deep page is first held against the count.
     if skip > DEEP and skip >= rows.count():
         cut = rows.limit(0)
     else:
         cut = rows.orderBy(*order).offset(skip).limit(per_page)
-    return cut.join(F.broadcast(total.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+    return cut.withColumn("total_count", rows.agg(F.count("*")).scalar())
 
 
 def optional(column: Column, value: object | None) -> Column:
