@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrow import arrow_function
 from .fuzzy import best_match
 
-# ISO 3166-1 alpha-3 codes, by first letter; the letters that follow it.
-_AFTER = {
-    "A": "BW FG GO IA LA LB ND RE RG RM SM TA TF TG US UT ZE",
-    "B": "DI EL EN ES FA GD GR HR HS IH LM LR LZ MU OL RA RB RN TN VT WA",
-    "C": "AF AN CK HE HL HN IV MR OD OG OK OL OM PV RI UB UW XR YM YP ZE",
-    "D": "EU JI MA NK OM ZA",
-    "E": "CU GY RI SH SP ST TH",
-    "F": "IN JI LK RA RO SM",
-    "G": "AB BR EO GY HA IB IN LP MB NB NQ RC RD RL TM UF UM UY",
-    "H": "KG MD ND RV TI UN",
-    "I": "DN MN ND OT RL RN RQ SL SR TA",
-    "J": "AM EY OR PN",
-    "K": "AZ EN GZ HM IR NA OR WT",
-    "L": "AO BN BR BY CA IE KA SO TU UX VA",
-    "M": "AC AF AR CO DA DG DV EX HL KD LI LT MR NE NG NP OZ RT SR TQ US WI YS YT",
-    "N": "AM CL ER FK GA IC IU LD OR PL RU ZL",
-    "O": "MN",
-    "P": "AK AN CN ER HL LW NG OL RI RK RT RY SE YF",
-    "Q": "AT",
-    "R": "EU OU US WA",
-    "S": "AU DN EN GP GS HN JM LB LE LV MR OM PM RB SD TP UR VK VN WE WZ XM YC YR",
-    "T": "CA CD GO HA JK KL KM LS ON TO UN UR UV WN ZA",
-    "U": "GA KR MI RY SA ZB",
-    "V": "AT CT EN GB IR NM UT",
-    "W": "LF SM",
-    "Y": "EM",
-    "Z": "AF MB WE",
-}
-SPECIAL = (
-    "D GBD GBN GBO GBP GBS EUE UNO UNA UNK RKS XBA XIM XCC XCE XCO XEC XES XMP XOM XPO XXA XXB XXC XXX UTO"
-).split()
-CODES = frozenset(first + rest for first, group in _AFTER.items() for rest in group.split()) | frozenset(SPECIAL)
+# Codes beside those of countries.
+SPECIAL = [
+    "D", "GBD", "GBN", "GBO", "GBP", "GBS", "EUE", "UNO", "UNA", "UNK", "RKS", "XBA", "XIM", "XCC", "XCE", "XCO", "XEC", "XES", "XMP", "XOM", "XPO",
+    "XXA", "XXB", "XXC", "XXX", "UTO",
+]
 
 # Printed names of nationalities.
 DEMONYMS = {
@@ -57,16 +32,28 @@ DEMONYMS = {
 }
 
 
+@lru_cache(maxsize=1)
+def codes() -> frozenset[str]:
+    """Country codes of three letters, as the Java runtime lists them, and the special ones."""
+    locale = SparkContext._active_spark_context._jvm.java.util.Locale
+    kinds = SparkContext._active_spark_context._jvm.java.util.Locale.IsoCountryCode
+    return frozenset(locale.getISOCountries(kinds.PART1_ALPHA3)) | frozenset(SPECIAL)
+
+
 def is_code(code: Column) -> Column:
-    return F.upper(F.translate(F.coalesce(code, F.lit("")), "<", "")).isin(sorted(CODES))
+    return F.upper(F.translate(F.coalesce(code, F.lit("")), "<", "")).isin(sorted(codes()))
 
 
-def code_of(text: str | None) -> str | None:
+def code_of(text: str | None, known: frozenset[str]) -> str | None:
     """A code as it is, else that of a printed name, else of the nearest name."""
     value = " ".join((text or "").upper().replace("<", " ").split())
-    return value if value in CODES else DEMONYMS.get(value) or (best_match(value, DEMONYMS, 85) if value else None)
+    return value if value in known else DEMONYMS.get(value) or (best_match(value, DEMONYMS, 85) if value else None)
+
+
+def to_code(text: Column) -> Column:
+    known = codes()
 
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: code_of(t, known))
 
-@arrow_function("string")
-def to_code(texts: pd.Series) -> pd.Series:
-    return texts.map(code_of)
+    return F.pandas_udf(find, "string")(text)

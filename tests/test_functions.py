@@ -95,9 +95,11 @@ def test_similarity():
         assert fuzzy.common(a, b) == max(len(s) for s in subs if inside(s, b))
 
 
-def test_codes():
-    assert len(icao.CODES) == 249 + 26
-    assert icao.code_of("IND") == "IND" and icao.code_of("Indian") == "IND" and icao.code_of("NEPALESEE") == "NPL" and icao.code_of("zzzz") is None
+def test_codes(spark):
+    known = icao.codes()
+    assert len(known) >= 249 + 26 and {"IND", "UTO", "D", "XXA", "GBR"} <= known
+    assert icao.code_of("IND", known) == "IND" and icao.code_of("Indian", known) == "IND" and icao.code_of("NEPALESEE", known) == "NPL" and icao.code_of("zzzz", known) is None
+    assert one(spark, icao.is_code(F.lit("D<<")), icao.is_code(F.lit("QQQ")), icao.to_code(F.lit("french"))) == (True, False, "FRA")
 
 
 @pytest.mark.parametrize("text", ["14 FEB 2002", "14/02/2002", "2002-02-14", "14.02.2002", "14-02-2002"])
