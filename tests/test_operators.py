@@ -248,3 +248,23 @@ def test_windows_over_a_total_order(spark):
             total += r.v or 0
             want[r.k] = total
         assert {r.k: r.t for r in W.running_sum(rows.fillna(0), "k", "v", "t", n).collect()} == want
+
+
+def run_stream(spark, frame, build, tmp_path, name):
+    for i in range(3):
+        frame.where(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(frame.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}c")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def test_chain_stream_equals_batch(spark, tmp_path):
+    rows = spark.range(1, 31).select("id", F.concat(F.lit("b"), "id").alias("body"), F.floor((F.col("id") - 1) / 10).alias("part"))
+    got = {(r.id, r.prev_hash, r.entry_hash) for r in run_stream(spark, rows, ST.chain_appends, tmp_path, "chained").collect()}
+    assert got == {(r.id, r.prev_hash, r.entry_hash) for r in A.build_chain(rows.drop("part")).collect()}
+
+
+def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    rows = spark.range(60).select((F.col("id") % 2).alias("ip"), F.timestamp_seconds(F.col("id") * 241).alias("at"), F.floor(F.col("id") / 20).alias("part"))
+    got = {tuple(r) for r in run_stream(spark, rows, lambda s: ST.rate_limit_stream(s, "ip", "at", 15, 1), tmp_path, "limited").collect()}
+    assert got == {tuple(r) for r in ST.rate_limit(rows.drop("part"), "ip", "at", 15, 1).collect()} and {a for *_, a in got} == {True, False}
