@@ -343,7 +343,7 @@ def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: i
             yield flush()
 
     def mixed(table):
-        """The rows of tiles whose documents are not all connected, each with its tiles."""
+        """Tiles whose documents are not all connected: rows with their tiles, by the tile's first row."""
         read = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)])
         tile, row, band = read("tile", np.uint32), read("row", np.int64), read("band", np.uint8)
         cluster = -1 - row
@@ -353,68 +353,70 @@ def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: i
         # A tile is cut between size bands that cannot link; the last band is open to above.
         new = np.concatenate(([True], (tile[1:] != tile[:-1]) | ((band[1:] - band[:-1] > reach) & (band[1:] < 127)))) if len(tile) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
-        keep = np.zeros(0, bool)
+        keep, leader = np.zeros(0, bool), np.zeros(0, np.int64)
+        part = np.cumsum(new) - 1
         if len(starts):
-            differ = np.minimum.reduceat(cluster, starts) != np.maximum.reduceat(cluster, starts)
-            keep = differ[np.cumsum(new) - 1]
-        part = (np.cumsum(new) - 1)[keep].astype(np.int32)
-        row, cluster = row[keep], cluster[keep]
-        order = np.argsort(row, kind="stable")
-        row, cluster, part = row[order], cluster[order], part[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+            keep = (np.minimum.reduceat(cluster, starts) != np.maximum.reduceat(cluster, starts))[part]
+            leader = np.minimum.reduceat(row, starts)[part]
+        part = (part[keep] + (table.column("g")[0].as_py() << 32)).astype(np.int64) if len(keep) else np.zeros(0, np.int64)
+        row, cluster, leader = row[keep], cluster[keep], leader[keep]
+        order = np.lexsort((row, leader))
+        row, cluster, leader, part = row[order], cluster[order], leader[order], part[order]
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (leader[1:] != leader[:-1])))) if len(row) else np.zeros(0, np.int64)
         cuts = np.concatenate((first, [len(row)])).tolist()
-        n = len(first)
-        return pa.table({
-            "g": pa.array(np.full(n, table.column("g")[0].as_py()), pa.int32()), "row": pa.array(row[first]), "cluster": pa.array(cluster[first]),
-            "tiles": pa.array([part[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-        })
+        tiles = [part[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"leader": pa.array(leader[first]), "row": pa.array(row[first]), "cluster": pa.array(cluster[first]), "tiles": pa.array(tiles, pa.binary())})
 
     def meet(table):
+        leaders = table.column("leader").to_numpy()
+        order = np.lexsort((table.column("n").to_numpy(), leaders))
+        table = table.take(pa.array(order))
         row, cluster, n = (table.column(c).to_numpy() for c in ("row", "cluster", "n"))
+        leaders = leaders[order]
         bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
-        tiles = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("tiles")]
-        doc = np.repeat(np.arange(len(tiles)), [len(x) for x in tiles])
-        tile = np.concatenate(tiles)
-        # By tile and size, so that a document's partners are those shortly after it.
-        order = np.lexsort((n[doc], tile))
-        doc, tile = doc[order], tile[order]
-        ends = np.searchsorted(tile, tile, side="right")
-        seen, out, held = np.zeros(0, np.int64), [], []
-        size = 0
-
-        def flush():
-            nonlocal seen, size
-            codes = np.setdiff1d(np.concatenate(held), seen)
-            held.clear()
-            size = 0
-            seen = np.union1d(seen, codes) if len(seen) + len(codes) < _FLUSH else codes
-            a, b = np.divmod(codes, len(row))
-            keep = _test_bits(a, b, n, bits, percent)
-            out.append(np.stack((row[a[keep]], row[b[keep]]), 1))
-
-        span = 1
-        todo = np.flatnonzero(ends - np.arange(len(doc)) > span)
-        while len(todo):
-            i, j = doc[todo], doc[todo + span]
-            fits = n[i] * 100 >= n[j] * percent
-            pick = fits & (cluster[i] != cluster[j])
-            held.append(np.minimum(i[pick], j[pick]) * np.int64(len(row)) + np.maximum(i[pick], j[pick]))
-            size += int(pick.sum())
-            if size > _FLUSH // 2:
-                flush()
-            span += 1
-            # Partners grow with the distance: the first too large one ends the search.
-            todo = todo[fits]
-            todo = todo[ends[todo] - todo > span]
-        if held:
-            flush()
-        pairs = np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+        tiles = [np.concatenate([np.frombuffer(x, np.int64) for x in some]) for some in table.column("tiles").to_pylist()]
+        cuts = np.flatnonzero(np.concatenate(([True], leaders[1:] != leaders[:-1], [True]))) if len(row) else np.zeros(1, np.int64)
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for i, j in _met(tiles[a:b], n[a:b], cluster[a:b], percent):
+                keep = _test_bits(a + i, a + j, n, bits, percent)
+                out.append(np.stack((row[a + i[keep]], row[a + j[keep]]), 1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     scattered = entries.select("row", "n", "prefix", "cluster").mapInArrow(scatter, "g int, tile binary, row binary, band binary, cluster binary")
-    rows = materialize(scattered.groupBy("g").applyInArrow(mixed, "g int, row long, cluster long, tiles binary"), "mixed")
-    signed = rows.join(features.select("row", "n", "bits"), "row")
-    return signed.groupBy("g").applyInArrow(meet, "a long, b long").distinct()
+    found = scattered.groupBy("g").applyInArrow(mixed, "leader long, row long, cluster long, tiles binary")
+    rows = materialize(found.groupBy("leader", "row").agg(F.first("cluster").alias("cluster"), F.collect_list("tiles").alias("tiles")), "mixed")
+    signed = rows.join(features.select("row", "n", "bits"), "row").withColumn("h", F.pmod(F.xxhash64("leader"), F.lit(4 * groups)))
+    return signed.groupBy("h").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _met(tiles: list[np.ndarray], n: np.ndarray, cluster: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs, each once, that share a tile, are in different clusters and of fitting size; n ascends.
+
+    Documents are taken a block at a time against those after them, in a matrix
+    of bounded size that every shared tile marks.
+    """
+    doc = np.repeat(np.arange(len(tiles)), [len(t) for t in tiles])
+    tile = np.unique(np.concatenate(tiles), return_inverse=True)[1]
+    order = np.lexsort((doc, tile))
+    doc, cuts = doc[order], np.concatenate(([0], np.cumsum(np.bincount(tile))))
+    # Partners of i end before the first document that is too large for it.
+    end = np.searchsorted(n * percent, n * 100, side="right")
+    step = max(1, (16 << 20) // len(tiles))
+    for a in range(0, len(tiles), step):
+        b = min(len(tiles), a + step)
+        marks = np.zeros((b - a, len(tiles)), bool)
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = doc[s:e]
+            lo, hi = np.searchsorted(own, (a, b))
+            if lo < hi:
+                marks[np.ix_(own[lo:hi] - a, own[lo:])] = True
+        i, j = np.nonzero(marks)
+        i += a
+        keep = (j > i) & (j < end[i]) & (cluster[i] != cluster[j])
+        if keep.any():
+            yield i[keep], j[keep]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
