@@ -9,7 +9,11 @@ offsets in the original text, in code points.
 Units with fewer than ``min_words`` words are never removed: such lines repeat
 by chance.  A repeated passage need not be a line of its own.  So lines are also
 cut into sentences, which are hashed and ranked the same way; a run of repeated
-sentences is removed if it has at least ``passage_words`` words.
+sentences is removed if it has at least ``passage_words`` words.  That misses
+passages that begin or end inside a sentence, or hold no stop.  With
+``any_words`` every run of ``passage_words`` words that an earlier place has is
+removed too, wherever it begins; only a place that does not overlap the one that
+stays is.  The registered query leaves that out, as its SQL does.
 
 Counts are combined before the shuffle, and the table of repeated
 digests is written before the join, so that a very common line is split by the
@@ -137,10 +141,78 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.where(F.col("n_words") >= passage_words).select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Removed units and passages, with ``unit`` as their kind; a passage may lie in a removed unit."""
+def _windows(docs: DataFrame, id_col: str, text_col: str, size: int, only_keys: bool) -> DataFrame:
+    """Every run of ``size`` words, listed by its key: the least hash of the half as long runs in it.
+
+    Equal runs have equal keys at equal places, so neighbours share a row:
+    ``key, doc_id, nth, hashes, starts, ends``; ``nth`` is the first word of the first.
+    """
+    small_batches(docs.sparkSession)
+    half = (size + 1) // 2
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = X.buffer_of(batch.column(1))
+            for a, b in X.steps(offsets):
+                raw, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                part = X.LOWER[raw]
+                starts, ends, counts = X.word_spans(part, at)
+                if len(starts) < size:
+                    continue
+                words, (up, down) = X.span_hashes(part, starts, ends), X._powers(len(starts) + 1)
+                with np.errstate(over="ignore"):
+                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)))
+                    short = X.mix((total[half:] - total[:-half]) * down[:-half])
+                    whole = X.mix((total[size:] - total[:-size]) * down[:-size] + np.uint64(size))
+                doc = np.repeat(np.arange(b - a), counts)
+                i = np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :])
+                if not len(i):
+                    continue
+                least = i + np.lib.stride_tricks.sliding_window_view(short, size - half + 1).argmin(1)[i]
+                new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (doc[i[1:]] != doc[i[:-1]]))))
+                keys = pa.array(short[least[new]].view(np.int64))
+                if only_keys:
+                    yield pa.RecordBatch.from_arrays([keys], ["key"])
+                    continue
+                points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                base, first = points[at[doc[i]]], np.cumsum(counts) - counts
+                lists = pa.array(np.append(new, len(i)).astype(np.int32))
+                columns = (whole[i].view(np.int64), (points[starts[i]] - base).astype(np.int32), (points[ends[i + size - 1]] - base).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [keys, batch.column(0).take(pa.array(a + doc[i[new]])), pa.array((i[new] - first[doc[i[new]]]).astype(np.int32)), *(pa.ListArray.from_arrays(lists, pa.array(c)) for c in columns)],
+                    ["key", "doc_id", "nth", "hashes", "starts", "ends"],
+                )
+
+    of = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(make, "key long" if only_keys else f"key long, doc_id {of}, nth int, hashes array<long>, starts array<int>, ends array<int>")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row per removed run of words that one earlier place has whole, with the columns of ``repeated_units``.
+
+    A run begins and ends at any word; runs that different places have may overlap.
+    """
+    twice = materialize(_windows(docs, id_col, text_col, passage_words, True).groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where("c > 1").select("k"), "keys")
+    met = _windows(docs, id_col, text_col, passage_words, False).join(twice.hint("merge"), F.col("key") == F.col("k"))
+    each = met.select("key", "doc_id", "nth", F.posexplode(F.arrays_zip("hashes", "starts", "ends")).alias("j", "w"))
+    each = materialize(each.select("key", "doc_id", (F.col("nth") + F.col("j")).alias("nth"), F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"), F.col("w.ends").alias("end")), "windows")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "nth", "start")
+    first = materialize(each.groupBy(F.col("key").alias("k"), F.col("h").alias("kh")).agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
+    found = each.join(first.hint("merge"), (F.col("key") == F.col("k")) & (F.col("h") == F.col("kh")))
+    ahead = F.col("nth") - F.col("first.nth")
+    found = found.where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (ahead >= passage_words))
+    found = found.select("doc_id", "nth", "start", "end", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), ahead.alias("ahead")).dropDuplicates(["doc_id", "nth"])
+    by = Window.partitionBy("doc_id", "keep_doc_id", "ahead").orderBy("nth")
+    runs = found.withColumn("run", F.col("nth") - F.row_number().over(by)).groupBy("doc_id", "keep_doc_id", "ahead", "run")
+    out = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.count("*") + passage_words - 1).alias("n_words"), F.min("keep_start").alias("keep_start"))
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "n_words")), "keep_doc_id", F.col("keep_start").cast("long").alias("keep_start"))
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "line", min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS, any_words: bool = True) -> DataFrame:
+    """Removed units and passages, with ``unit`` as their kind; removed spans may overlap."""
     units = repeated_units(docs, id_col, text_col, kind, min_words).withColumn("unit", F.lit(kind))
-    return units.unionByName(repeated_passages(docs, id_col, text_col, passage_words).withColumn("unit", F.lit("passage")))
+    out = units.unionByName(repeated_passages(docs, id_col, text_col, passage_words).withColumn("unit", F.lit("passage")))
+    return out.unionByName(repeated_runs(docs, id_col, text_col, passage_words).withColumn("unit", F.lit("words"))) if any_words else out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -32,7 +32,8 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import removed_spans
 
-    return removed_spans(_table(spark, sf_dir, "documents"))
+    # The rows are those of the SQL below, which knows runs of whole sentences only.
+    return removed_spans(_table(spark, sf_dir, "documents"), any_words=False)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,30 @@ def test_lines_of_repeated_rows(spark):
     assert line_dedup.removed_spans(docs.unionByName(docs)).count() == 0
 
 
+def test_runs_of_any_words(spark):
+    """Passages that begin inside a sentence or hold no stop, against all windows of 50 words."""
+    plain, cut, back = prose(81, 70), prose(82, 50), " ".join(f"u{i}" for i in range(55))
+    texts = [f"{prose(83, 9)} {plain} {prose(84, 9)}", f"É one. {plain.upper()} {prose(85, 9)}", f"a. {cut} b.", f"c {cut} d. e", " ".join(cut.split()[:49]), f"{back} {back}", "x " * 160, None, "", f"{prose(86, 9)} {plain} {cut}"]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    first, want = {}, set()
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            d, at = first.setdefault(tuple(w[k : k + 50]), (i, k))
+            if d != i or k - at >= 50:
+                want |= {(i, j) for j in range(k, k + 50)}
+    got, rows = set(), [r for r in line_dedup.removed_spans(make(spark, texts)).collect() if r.unit == "words"]
+    for r in rows:
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.doc_id])]
+        inside = [k for k, (a, b) in enumerate(spans) if r.start <= a and b <= r.end]
+        got |= {(r.doc_id, k) for k in inside}
+        at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.keep_doc_id])].index(r.keep_start)
+        assert [words[r.doc_id][k] for k in inside] == words[r.keep_doc_id][at : at + r.n_words] and len(inside) == r.n_words
+    assert got == want and {r.doc_id for r in rows} == {1, 3, 5, 6, 9}
+    clean = {r.doc_id: r.text for r in line_dedup.without_repeats(make(spark, texts)).collect()}
+    assert clean[3] == "c  d. e" and clean[5].strip() == back and clean[0] == texts[0]
+    assert line_dedup.repeated_runs(make(spark, texts).limit(0)).count() == 0
+
+
 # -- 1 ------------------------------------------------------------------------
 
 
