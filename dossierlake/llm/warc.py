@@ -6,13 +6,18 @@ of the page).  Both refer to the response by WARC-Refers-To, keep its target URI
 date and payload digest, and carry a block digest of their own.  Record ids are
 name-based UUIDs, so that a task that runs twice writes the same records.
 
+What the response says of itself is kept: ``read_response_records`` gives its record id,
+date, payload digest and HTTP headers, and ``derivatives`` takes them from the
+columns ``RESPONSE``.  Only where a column or its value is missing is an id, a
+date, a digest (of the page as UTF-8) or a content type made up.
+
 The work is one pass over the rows without a shuffle.
 
 Defined results
   * null html: an empty payload; its conversion record has an empty block.
   * null url: no target URI.  Broken markup: what is no tag counts as text.
   * very long pages: whole.  Repeated rows: each yields its records, with equal ids.
-  * empty table: an empty result.  Extra columns are ignored.
+  * empty table: an empty result.  Extra columns but those of ``RESPONSE`` are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from .store import small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_ID = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^<>\s]+>")
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
@@ -46,6 +52,8 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+#: Optional columns of a page, as its response record gives them; headers are "name: value" lines.
+RESPONSE = ("record_id", "warc_date", "payload_digest", "http_headers")
 FIELDS = ("page_id", "kind", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_digest", "block")
 
 
@@ -73,40 +81,55 @@ def one_line(value: str) -> str:
     return " ".join(html.unescape(value).split())
 
 
+def header_lines(head: str) -> list[tuple[str, str]]:
+    """(name, value) of each header line; a folded line belongs to the one before."""
+    out: list[tuple[str, str]] = []
+    for line in re.split(r"\r?\n", head):
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif colon and name.strip():
+            out.append((name.strip(), value.strip()))
+    return out
+
+
 def derive(source_id: str, uri: str | None, source_headers: list[tuple[str, str]], payload: str) -> list[tuple[str, str, str]]:
     """(kind, content type, block) of the records derived from one response."""
     title, language = _TITLE.search(payload), _LANG.search(payload)
     fields = [("title", one_line(title[1]) if title else ""), ("language", language[1] if language else "")]
     fields += [(f"source-{name.lower()}", value) for name, value in source_headers]
     fields += [("outlink", one_line(a or b or c)) for a, b, c in _LINK.findall(payload)]
-    block = "".join(f"{name}: {value}\r\n" for name, value in fields if value)
+    block = "".join(f"{name}: {value}\r\n" for name, value in fields if value or name.startswith("source-"))
     return [("metadata", "application/warc-fields", block), ("conversion", "text/plain; charset=utf-8", plain_text(payload))]
 
 
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
-    """Two rows per page, with the columns ``FIELDS``."""
+    """Two rows per page, with the columns ``FIELDS``; the columns ``RESPONSE`` are used where there are any."""
     small_batches(pages.sparkSession)
+    known = [pages[c].cast("string").alias(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in RESPONSE]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in FIELDS]
             at: list[int] = []
-            for i, (key, url, page) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            for i, (key, url, page, own, when, payload, http) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)):
                 page = page or ""
-                payload = digest(page.encode())
-                source = record_id("response", key, url, payload)
-                headers = [("Content-Type", "text/html; charset=utf-8"), ("WARC-Record-ID", source), ("WARC-Payload-Digest", payload)]
+                payload = payload or digest(page.encode())
+                source = own or (key if isinstance(key, str) and _ID.fullmatch(key) else record_id("response", key, url, payload))
+                when = when or date
+                headers = header_lines(http) if http is not None else [("Content-Type", "text/html; charset=utf-8")]
+                headers += [("WARC-Record-ID", source), ("WARC-Payload-Digest", payload)]
                 for kind, content, block in derive(source, url, headers, page):
                     data = block.encode()
                     at.append(i)
-                    for column, x in zip(out[1:], (kind, record_id(kind, source), source, url, date, content, len(data), digest(data), payload, block), strict=True):
+                    for column, x in zip(out[1:], (kind, record_id(kind, source), source, url, when, content, len(data), digest(data), payload, block), strict=True):
                         column.append(x)
             arrays = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64() if name == "content_length" else pa.string()) for name, x in zip(FIELDS[1:], out[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, list(FIELDS))
 
     kind = pages.schema[id_col].dataType.simpleString()
     rest = ", ".join(f"{f} {'long' if f == 'content_length' else 'string'}" for f in FIELDS[1:])
-    return pages.select(pages[id_col], pages[url_col], pages[html_col]).mapInArrow(make, f"page_id {kind}, {rest}")
+    return pages.select(pages[id_col], pages[url_col], pages[html_col], *known).mapInArrow(make, f"page_id {kind}, {rest}")
 
 
 # -- records as bytes ---------------------------------------------------------
@@ -151,8 +174,12 @@ def record_bytes(records: DataFrame, compress: bool = True) -> DataFrame:
     return records.select(*FIELDS).mapInArrow(make, f"page_id {kind}, kind string, record binary")
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, html) of the response records of WARC files; page_id is the record id."""
+def read_response_records(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, html) of the response records of WARC files, and the columns ``RESPONSE``; page_id is the record id.
+
+    The digest is the record's own, else that of the payload's bytes.  A response
+    without a record id has null for it.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +187,19 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for headers, block in from_bytes(content.as_py()):
                     if headers.get("warc-type") == "response":
-                        body = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
-                        rows.append((headers.get("warc-record-id"), headers.get("warc-target-uri"), body.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["page_id", "url", "html"])
-
+                        http, body = None, block
+                        if block.startswith(b"HTTP/"):
+                            head, _, body = block.partition(b"\r\n\r\n")
+                            http = head.partition(b"\r\n")[2].decode("utf-8", "replace")
+                        own = headers.get("warc-record-id")
+                        rows.append((own, headers.get("warc-target-uri"), body.decode("utf-8", "replace"), own, headers.get("warc-date"), headers.get("warc-payload-digest") or digest(body), http))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+
+    names = ["page_id", "url", "html", *RESPONSE]
     small_batches(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "page_id string, url string, html string").where(F.col("page_id").isNotNull())
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, html) of the response records of WARC files; page_id is the record id."""
+    return read_response_records(spark, path).select("page_id", "url", "html")

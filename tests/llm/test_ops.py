@@ -369,6 +369,30 @@ def test_warc(spark, tmp_path):
     assert tuple(warc.read_responses(spark, str(tmp_path / "a.warc.gz")).first()) == ("<urn:x>", "http://e", page)
 
 
+def test_warc_keeps_what_the_response_says(spark, tmp_path):
+    """From a WARC file to derived records and back: id, date, digest and HTTP headers of the response."""
+    body = b"<title>T</title>caf\xe9"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2;\r\n path=/\r\nX-Empty:\r\n\r\n"
+    one = warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://e"), ("WARC-Date", "2021-05-06T07:08:09Z"), ("WARC-Payload-Digest", "sha1:GIVEN")], http + body)
+    two = warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Target-URI", "http://f")], http + body)
+    three = warc.to_bytes([("WARC-Type", "response"), ("WARC-Target-URI", "http://g")], body)
+    (tmp_path / "a.warc.gz").write_bytes(one + two + three)
+    derived = warc.derivatives(warc.read_response_records(spark, str(tmp_path / "a.warc.gz")))
+    rows = {(r.target_uri, r.kind): r for r in derived.collect()}
+    assert len(rows) == 6
+    for kind in ("metadata", "conversion"):
+        r = rows["http://e", kind]
+        assert (r.refers_to, r.warc_date, r.source_digest) == ("<urn:uuid:1>", "2021-05-06T07:08:09Z", "sha1:GIVEN")
+        r = rows["http://f", kind]
+        assert (r.refers_to, r.warc_date, r.source_digest) == ("<urn:uuid:2>", warc.DATE, warc.digest(body))
+        assert rows["http://g", kind].refers_to.startswith("<urn:uuid:") and rows["http://g", kind].source_digest == warc.digest(body)
+    assert "source-content-type: text/html; charset=latin-1\r\nsource-set-cookie: a=1\r\nsource-set-cookie: b=2; path=/\r\nsource-x-empty: \r\nsource-warc-record-id: <urn:uuid:1>\r\n" in rows["http://e", "metadata"].block
+    back = [h for r in warc.record_bytes(derived).collect() for h, _ in warc.from_bytes(bytes(r.record))]
+    assert sum((h["warc-refers-to"], h["warc-date"]) == ("<urn:uuid:1>", "2021-05-06T07:08:09Z") for h in back) == 2
+    short = warc.derivatives(warc.read_responses(spark, str(tmp_path / "a.warc.gz"))).where("target_uri = 'http://e'").first()
+    assert short.refers_to == "<urn:uuid:1>"
+
+
 # -- 5 ------------------------------------------------------------------------
 
 
