@@ -8,7 +8,9 @@ last return the columns of ``documents``.
 2.  exact dedup: of equal texts the longest original stays.
 3.  n-gram Jaccard join: of each component the smallest id stays.
 4.  mixing: all documents, put in the order of the mix to target weights.
-5.  packing: token pieces with their place in a sequence.
+5.  packing: token pieces with their place in a sequence; of each length the
+    pieces are taken in the order of the mix, and sequences are numbered by the
+    first document they hold.
 """
 
 from __future__ import annotations
@@ -47,8 +49,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences."""
-    return pack_documents(docs)
+    """Pack the documents into sequences, in the order of their files, which is that of the mix."""
+    return pack_documents(docs, in_order=True)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -12,6 +12,10 @@ Ranks need no global sort and no task per length: pieces are dealt to blocks by
 a hash, ranked inside (block, length), and the counts of (block, length) give
 the offsets.  A length that holds a third of all pieces is spread over all blocks.
 
+With ``in_order`` the order of the rows in their files carries on: blocks are runs
+of rows, so that ranks follow the files, and sequences are numbered by the first
+row that they hold.
+
 Defined results
   * null text: an empty document, whose only token is the end token.
   * very long text: cut into pieces of the capacity; only the first may be shorter.
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ END_TOKEN = 2
 #: Pieces that one ranking block holds on average.
 BLOCK_PIECES = 50_000
 MIN_BLOCKS = 64
+#: Rows of a file that one ranking block holds when packing in order.
+ORDER_ROWS = 16_384
 SPECIAL = "<|endoftext|>"
 
 _ENCODERS: dict[tuple[str, str], tuple] = {}
@@ -72,8 +79,8 @@ def _encoder(vocabulary: str, ranks: str):
     return _ENCODERS[key]
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32``."""
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32``, and the columns ``carry``."""
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +98,12 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     at.append(i)
                     for column, x in zip(out, (k, a, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            more = [batch.column(2 + k).take(pa.array(at, pa.int64())) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:]), *more], ["doc_id", "piece", "start", "length", "ids_crc32", *carry])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    rest = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(id_col, text_col, *carry).mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{rest}")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
@@ -157,18 +166,53 @@ def _places(plan: list[tuple[int, dict[int, int]]], counts: dict[int, int]) -> t
     return tuple(table.T)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give every row of ``pieces`` (with a ``length``) a ``sequence_id`` and an ``offset``."""
+def in_file_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the place of each row: ``_file``, which sorts as written, and ``_at``, the row in it.
+
+    Spark numbers the files that it writes by task.  What is no plain scan of
+    files has its rows in the order of its partitions.
+    """
+    try:
+        name = F.col("_metadata.file_name")
+        number = F.coalesce(F.lpad(F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")), 10, "0"), F.lit(""))
+        return docs.select(id_col, text_col, F.concat(number, name).alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        return docs.select(id_col, text_col, row.alias("_at")).withColumn("_file", F.lit(""))
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """Number the sequences by the first place they hold, without a global sort."""
+    placed = materialize(placed, "placed")
+    first = placed.groupBy(F.col("sequence_id").alias("_s")).agg(F.min(F.struct("_file", "_at", "piece")).alias("_first"))
+    first = materialize(first.withColumn("_block", F.struct(F.col("_first._file"), F.floor(F.col("_first._at") / ORDER_ROWS))), "firsts")
+    # One row for each block.
+    per = first.groupBy(F.col("_block").alias("_b")).agg(F.count("*").alias("_c"))
+    before = materialize(per.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before")), "before")
+    own = F.row_number().over(Window.partitionBy("_block").orderBy("_first")) - 1
+    numbers = first.withColumn("_own", own).join(before, F.col("_block") == F.col("_b")).select("_s", (F.col("_before") + F.col("_own")).alias("_new"))
+    out = placed.join(numbers.hint("merge"), F.col("sequence_id") == F.col("_s"))
+    return out.select(*(F.col("_new").alias(c) if c == "sequence_id" else c for c in placed.columns if c not in ("_file", "_at")))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, in_order: bool = False) -> DataFrame:
+    """Give every row of ``pieces`` (with a ``length``) a ``sequence_id`` and an ``offset``.
+
+    ``in_order`` expects ``_file`` and ``_at``, which go, and ``piece``.
+    """
     spark = pieces.sparkSession
     stored = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     # At most ``capacity`` rows reach the driver.
     counts = {r[0]: r[1] for r in stored.groupBy("length").count().collect()}
     blocks = max(MIN_BLOCKS, sum(counts.values()) // BLOCK_PIECES)
-    stored = stored.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
+    if in_order:
+        stored, within = stored.withColumn("_block", F.struct("_file", F.floor(F.col("_at") / ORDER_ROWS))), ["_at", "piece"]
+    else:
+        stored, within = stored.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks))), ["_row"]
     per = stored.groupBy(F.col("length").alias("_l"), F.col("_block").alias("_b")).agg(F.count("*").alias("_c"))
     before = materialize(per.select("_l", "_b", (F.sum("_c").over(Window.partitionBy("_l").orderBy("_b")) - F.col("_c")).alias("_before")), "ranks")
     ranked = (
-        stored.withColumn("_rank", F.row_number().over(Window.partitionBy("_block", "length").orderBy("_row")) - 1)
+        stored.withColumn("_rank", F.row_number().over(Window.partitionBy("_block", "length").orderBy(*within)) - 1)
         .join(before, (F.col("length") == F.col("_l")) & (F.col("_block") == F.col("_b")))
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
         .drop("_row", "_block", "_l", "_b", "_before")
@@ -189,9 +233,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(sequence[k] + turn), pa.array(start[k] + slot * length)], [*(n for n in names if n != "_rank"), "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    placed = ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    return _numbered(placed) if in_order else placed
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, in_order: bool = False) -> DataFrame:
     """Tokenise, cut and pack: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    if in_order:
+        return pack(token_pieces(in_file_order(docs, id_col, text_col), id_col, text_col, capacity, carry=("_file", "_at")), capacity, True)
     return pack(token_pieces(docs, id_col, text_col, capacity), capacity)

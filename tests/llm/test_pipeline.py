@@ -24,3 +24,29 @@ def test_pipeline(spark, tmp_path):
     kept = spark.read.parquet(str(tmp_path / "mixing"))
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
     assert {tuple(r) for r in corpus_pipeline.run(spark, FOLDER).select("doc_id", "piece", "ids_crc32").collect()} == {tuple(r) for r in docs.select("doc_id", "piece", "ids_crc32").collect()}
+
+
+def test_sequences_follow_the_mix(spark):
+    """Without the mixing stage, or if packing forgot its order, neither order would hold."""
+    from dossierlake.llm.mixing import pfair_slots
+
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    left = docs.join(spark.createDataFrame([(i,) for i in {r.doc_id for r in rows}], "doc_id long"), "doc_id", "left_semi")
+    place = {r.doc_id: (r.slot, r.turn) for r in pfair_slots(left).collect()}
+    first = {}
+    for r in rows:
+        at = (*place[r.doc_id], r.piece)
+        first[r.sequence_id] = min(first.get(r.sequence_id, at), at)
+    assert sorted(first) == list(range(len(first))) and len(first) > 10
+    order = [first[k] for k in range(len(first))]
+    assert order == sorted(order)
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in parts.values():
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at <= 1024
