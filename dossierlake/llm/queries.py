@@ -32,8 +32,7 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import removed_spans
 
-    # The rows are those of the SQL below, which knows runs of whole sentences only.
-    return removed_spans(_table(spark, sf_dir, "documents"), any_words=False)
+    return removed_spans(_table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,35 +116,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) AS component_id
         FROM s LEFT JOIN m ON m.doc_id = s.doc_id""",
     "op8_line_dedup": r"""
-        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-        p AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l),
+        WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS parts FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p),
         u AS (
-            SELECT doc_id, parts[i] AS line, CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
-            FROM p),
-        c AS (
-            SELECT doc_id, start AS line_start, string_split(regexp_replace(line, '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM u),
-        d AS (SELECT doc_id, line_start, parts, unnest(range(1, len(parts) + 1)) AS i FROM c),
-        e AS (
-            SELECT 'line' AS unit, doc_id, start, line AS t FROM u
-            UNION ALL
-            SELECT 'passage', doc_id, line_start + CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0) AS BIGINT), parts[i] FROM d),
-        n AS (
-            SELECT unit, doc_id, start, start + length(t) AS "end",
-                   list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-            FROM e),
-        r AS (
-            SELECT unit, doc_id, start, "end", CAST(len(words) AS BIGINT) AS n_words,
-                   first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start,
-                   row_number() OVER (PARTITION BY unit, doc_id ORDER BY start) AS nth
-            FROM n WHERE len(words) >= CASE unit WHEN 'line' THEN 5 ELSE 1 END WINDOW w AS (PARTITION BY unit, words ORDER BY doc_id, start)),
-        s AS (SELECT *, nth - row_number() OVER (PARTITION BY unit, doc_id ORDER BY start) AS run FROM r WHERE NOT (doc_id = keep_doc_id AND start = keep_start)),
-        g AS (
-            SELECT doc_id, min(start) AS start, max("end") AS "end", CAST(sum(n_words) AS BIGINT) AS n_words,
-                   arg_max(struct_pack(d := keep_doc_id, s := keep_start), (n_words, -start)) AS k
-            FROM s WHERE unit = 'passage' GROUP BY doc_id, run HAVING sum(n_words) >= 50)
-        SELECT doc_id, start, "end", n_words, keep_doc_id, keep_start, unit FROM s WHERE unit = 'line'
-        UNION ALL
-        SELECT doc_id, start, "end", n_words, k.d, k.s, 'passage' FROM g""",
+            SELECT doc_id, i, sum(length(parts[i])) OVER (PARTITION BY doc_id ORDER BY i) AS "end",
+                   regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', '') AS word
+            FROM n),
+        l AS (SELECT doc_id, list(word ORDER BY i) AS words FROM u GROUP BY doc_id),
+        k AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM l),
+        x AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS t FROM k),
+        g AS (SELECT doc_id, i, first_value(doc_id) OVER w AS first_id, first_value(i) OVER w AS first_i FROM x WINDOW w AS (PARTITION BY t ORDER BY doc_id, i)),
+        r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM g WHERE doc_id <> first_id OR i - first_i >= 50),
+        s AS (SELECT doc_id, i, sum(CASE WHEN i - prev <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+        e AS (SELECT doc_id, span, min(i) AS a, max(i) + 49 AS b FROM s GROUP BY doc_id, span)
+        SELECT e.doc_id, CAST(ua."end" - length(ua.word) AS BIGINT) AS start, CAST(ub."end" AS BIGINT) AS "end", CAST(b - a + 1 AS BIGINT) AS n_words
+        FROM e JOIN u ua ON ua.doc_id = e.doc_id AND ua.i = a JOIN u ub ON ub.doc_id = e.doc_id AND ub.i = b""",
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm

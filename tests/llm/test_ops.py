@@ -301,48 +301,82 @@ def test_training_learns(spark):
 
 
 def test_lines(spark):
-    passage = ". ".join(prose(70 + i, 14) for i in range(4)) + "."
-    texts = ["one two three four five\nown line here is this\n", "x\nONE  two three four FIVE\n\none two three four five", "é one two three four five", None, "", passage, f"before it. {passage} After it.", "short\nshort"]
-    rows = line_dedup.removed_spans(make(spark, texts)).collect()
-    lines = {(r.doc_id, r.start, r.end, r.keep_doc_id, r.keep_start) for r in rows if r.unit == "line"}
-    assert lines == {(1, 2, 26, 0, 0), (1, 28, 51, 0, 0)}
-    found = [r for r in rows if r.unit == "passage"]
-    assert [(r.doc_id, r.keep_doc_id) for r in found] == [(6, 5)]
-    assert texts[6][found[0].start : found[0].end].strip() == passage
-    clean = {r.doc_id: r for r in line_dedup.without_repeats(make(spark, texts)).collect()}
-    assert clean[1].text == "x\n\n\n" and clean[6].text == "before it. After it." and clean[0].text == texts[0] and clean[3].text == ""
+    texts = ["one two three four five\nown line here is this\n", "x\nONE  two three four FIVE\n\none two three four five", "é one two three four five", None, "", "short\nshort"]
+    rows = line_dedup.removed_spans(make(spark, texts), unit="line", min_words=5).collect()
+    assert {(r.doc_id, r.start, r.end, r.n_words, r.keep_doc_id) for r in rows} == {(1, 2, 26, 5, 0), (1, 28, 51, 5, 0)}
+    clean = {r.doc_id: r for r in line_dedup.without_repeats(make(spark, texts), unit="line", min_words=5).collect()}
+    assert clean[1].text == "x\n\n\n" and clean[0].text == texts[0] and clean[3].text == ""
     assert all("".join((texts[i] or "")[s.start : s.end] for s in clean[i].kept) == clean[i].text for i in range(len(texts)))
-    assert line_dedup.removed_spans(make(spark, texts).limit(0)).count() == 0
-    assert line_dedup.repeated_units(make(spark, ["a b c d e\nf\n \ng", "a b c d e\nf"]), kind="paragraph").count() == 1
+    assert line_dedup.removed_spans(make(spark, texts).limit(0), unit="line").count() == 0
+    assert line_dedup.removed_spans(make(spark, ["a b c d e\nf\n \ng", "a b c d e\nf"]), unit="paragraph", min_words=5).count() == 1
+    with pytest.raises(ValueError):
+        line_dedup.removed_spans(make(spark, texts), unit="page")
+
+
+def pieces(t):
+    return [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+
+
+def repeated_words(texts, size, ids=None):
+    """Brute force: (document, word) of all words in a run of ``size`` words that an earlier place has."""
+    first, out = {}, set()
+    ids = ids or list(range(len(texts)))
+    for i in sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0)):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), texts[i][a:b]) for a, b in pieces(texts[i])]
+        for k in range(len(w) - size + 1):
+            d, at = first.setdefault(tuple(w[k : k + size]), (i, k))
+            if d != i or k - at >= size:
+                out |= {(i, j) for j in range(k, k + size)}
+    return out
 
 
-def test_lines_of_repeated_rows(spark):
-    docs = make(spark, ["one two three four five"])
-    assert line_dedup.removed_spans(docs.unionByName(docs)).count() == 0
+def words_in(rows, texts, of=lambda r: r.doc_id):
+    got = set()
+    for r in rows:
+        inside = [k for k, (a, b) in enumerate(pieces(texts[of(r)])) if r.start <= a and b <= r.end]
+        assert len(inside) == r.n_words and pieces(texts[of(r)])[inside[0]][0] == r.start and pieces(texts[of(r)])[inside[-1]][1] == r.end
+        got |= {(of(r), k) for k in inside}
+    return got
 
 
 def test_runs_of_any_words(spark):
     """Passages that begin inside a sentence or hold no stop, against all windows of 50 words."""
     plain, cut, back = prose(81, 70), prose(82, 50), " ".join(f"u{i}" for i in range(55))
     texts = [f"{prose(83, 9)} {plain} {prose(84, 9)}", f"É one. {plain.upper()} {prose(85, 9)}", f"a. {cut} b.", f"c {cut} d. e", " ".join(cut.split()[:49]), f"{back} {back}", "x " * 160, None, "", f"{prose(86, 9)} {plain} {cut}"]
-    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
-    first, want = {}, set()
-    for i, w in enumerate(words):
-        for k in range(len(w) - 49):
-            d, at = first.setdefault(tuple(w[k : k + 50]), (i, k))
-            if d != i or k - at >= 50:
-                want |= {(i, j) for j in range(k, k + 50)}
-    got, rows = set(), [r for r in line_dedup.removed_spans(make(spark, texts)).collect() if r.unit == "words"]
-    for r in rows:
-        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.doc_id])]
-        inside = [k for k, (a, b) in enumerate(spans) if r.start <= a and b <= r.end]
-        got |= {(r.doc_id, k) for k in inside}
-        at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.keep_doc_id])].index(r.keep_start)
-        assert [words[r.doc_id][k] for k in inside] == words[r.keep_doc_id][at : at + r.n_words] and len(inside) == r.n_words
-    assert got == want and {r.doc_id for r in rows} == {1, 3, 5, 6, 9}
+    rows = line_dedup.removed_spans(make(spark, texts)).collect()
+    assert words_in(rows, texts) == repeated_words(texts, 50) and {r.doc_id for r in rows} == {1, 3, 5, 6, 9}
+    assert {(r.doc_id, r.keep_doc_id) for r in rows} == {(1, 0), (3, 2), (5, 5), (6, 6), (9, 0)}
     clean = {r.doc_id: r.text for r in line_dedup.without_repeats(make(spark, texts)).collect()}
     assert clean[3] == "c  d. e" and clean[5].strip() == back and clean[0] == texts[0]
-    assert line_dedup.repeated_runs(make(spark, texts).limit(0)).count() == 0
+    assert line_dedup.removed_spans(make(spark, texts).limit(0)).count() == 0
+    # A repeated line that is long enough is a repeated run.
+    lines = line_dedup.removed_spans(make(spark, [f"{cut}\nown", f"other\n{cut}\n"]), unit="line").collect()
+    assert [(r.doc_id, r.start, r.end) for r in lines] == [(1, 6, 6 + len(cut))]
+
+
+@pytest.mark.parametrize("size", [3, 6, 9])
+def test_runs_against_all_windows(spark, size):
+    """Few words, so that runs repeat in all ways: other neighbours, overlaps, periods, several kinds of places."""
+    texts = []
+    for seed in range(60):
+        rng = random.Random(seed)
+        texts.append(" ".join(rng.choice("ab" if seed % 3 else "abcd") for _ in range(rng.randrange(60))))
+    texts += [" ".join("ab" * 40), " ".join("abc" * 30), " ".join("abb" * 20) + " c " + " ".join("abb" * 20), "a " * 90]
+    rows = line_dedup.removed_spans(make(spark, texts), min_words=size).collect()
+    assert words_in(rows, texts) == repeated_words(texts, size)
+
+
+def test_runs_of_repeated_and_null_ids(spark):
+    """Rows with the same id and text are one document; other texts with that id, or none, are their own."""
+    passage, other = prose(90, 60), prose(91, 60)
+    docs = make(spark, [passage])
+    assert line_dedup.removed_spans(docs.unionByName(docs)).count() == 0
+    ids, texts = [None, 5, None, 5, 7], [passage, passage, f"{passage} end", other, f"x {other}"]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    found = line_dedup.removed_spans(rows).collect()
+    assert sorted((r.doc_id or -1, r.keep_doc_id, r.n_words) for r in found) == [(-1, 5, 60), (-1, 5, 60), (7, 5, 60)]
+    clean = sorted(r.text for r in line_dedup.without_repeats(rows).collect())
+    assert clean == sorted(["", passage, " end", other, "x "])
 
 
 # -- 1 ------------------------------------------------------------------------
