@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
-#: Rows handed to Python at once; with texts of a few KB this keeps an Arrow
-#: batch at a few MB.
+#: Rows handed to Python at once; Spark bounds the bytes itself, by 64 MB.
 ARROW_ROWS = 2000
+#: Spark deletes the shuffle files of a query that has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a plain scan."""
+    """Write ``df`` once to the shared folder and return it as a plain scan.
+
+    Its shuffle files go as soon as it is written, since nothing can read them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._dossierlake_path = path  # type: ignore[attr-defined]
     return out
@@ -59,7 +68,10 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as document rows carry whole texts."""
+    """Bound the rows of an Arrow batch, as document rows carry whole texts.
+
+    The setting stays, because a result that is read later runs with it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
