@@ -27,6 +27,8 @@ Defined results
   * fewer than k words: the whole sequence is the only shingle.
   * very long texts: whole; the bitmap grows with the set, up to ``MAX_BITS``.
   * repeated rows: equal sets, hence one component; each row is returned.
+  * null id: a row of its own, linked by its text; in a component it counts only
+    if there is no other id.
   * empty table: an empty result.  Extra columns are ignored.
 """
 
@@ -44,6 +46,7 @@ from .components import components
 from .store import materialize, small_batches
 
 #: The global order knows at most so many frequent shingles; the order decides speed, not results.
+#: Tiles of frequent shingles that it does not know are split by their true sizes.
 MAX_FREQUENT = 1 << 19
 #: A task reports shingles that it meets so often.
 FREQUENT_IN_TASK = 2
@@ -54,9 +57,7 @@ TILE_SIDE = 4096
 GROUP_ENTRIES = 1_000_000
 MIN_GROUPS = 6
 #: Rows of one spanning tree.
-TREE_ROWS = 1024
-#: Sets are broadcast by id up to so many rows, else joined.
-BROADCAST_ROWS = 200_000
+TREE_ROWS = 256
 _FLUSH = 2_000_000
 
 
@@ -150,12 +151,12 @@ def _features(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
             at = pa.array(np.arange(0, len(flat) + 1, MIN_HASHES, dtype=np.int32))
             join = lambda c: pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), join("n"), join("d1"), join("d2"), pa.array(out["bits"], pa.binary()), pa.array(out["prefix"], pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))],
-                ["_id", "n", "d1", "d2", "bits", "prefix", "keys"],
+                [batch.column(0), batch.column(2), join("n"), join("d1"), join("d2"), pa.array(out["bits"], pa.binary()), pa.array(out["prefix"], pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))],
+                ["_id", "_tag", "n", "d1", "d2", "bits", "prefix", "keys"],
             )
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_text").mapInArrow(make, f"_id {kind}, n long, d1 long, d2 long, bits binary, prefix binary, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+    return docs.select("_id", "_text", "_tag").mapInArrow(make, f"_id {kind}, _tag long, n long, d1 long, d2 long, bits binary, prefix binary, keys array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -245,26 +246,19 @@ def _linked(pairs: DataFrame, features: DataFrame, docs: DataFrame, k: int, perc
     """The pairs (a, b) whose exact similarity reaches the threshold."""
     spark = docs.sparkSession
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    needed = materialize(features.select("row", F.col("_id").alias("_nid"), "d1", "d2").join(rows, "row", "left_semi"), "needed")
-    side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    needed = materialize(features.select("row", F.col("_id").alias("_nid"), F.col("_tag").alias("_ntag")).join(rows, "row", "left_semi"), "needed")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, out = [], []
-            for a, b, *_, words, counts in X.lowered_words(batch.column(0)):
+            out = []
+            for *_, words, counts in X.lowered_words(batch.column(0)):
                 sets, sizes = X.shingle_sets(words, counts, k)
-                ends = np.cumsum(sizes)
-                for i in range(b - a):
-                    one = sets[ends[i] - sizes[i] : ends[i]]
-                    with np.errstate(over="ignore"):
-                        d1 = int(X.mix(one ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
-                    # Ids may repeat with other texts; the digest tells them apart.
-                    if d1 == batch.column(2)[a + i].as_py():
-                        keep.append(a + i)
-                        out.append(one.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["row", "elements"])
-
-    sets = materialize(docs.join(side, docs["_id"].eqNullSafe(side["_nid"])).select("_text", "row", "d1").mapInArrow(collect, "row long, elements binary"), "sets")
+                out += [one.tobytes() for one in np.split(sets, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["row", "elements"])
+
+    # The same plan at every size: texts meet their rows by id and hash.
+    met = docs.join(needed.hint("merge"), docs["_id"].eqNullSafe(needed["_nid"]) & (docs["_tag"] == needed["_ntag"]))
+    sets = materialize(met.select("_text", "row").mapInArrow(collect, "row long, elements binary"), "sets")
     both = pairs.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +281,22 @@ def _band(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log(np.maximum(n, 1)) / np.log(1.1)), 250).astype(np.uint8)
 
 
+def _split(part: np.ndarray, row: np.ndarray, cluster: np.ndarray, leader: np.ndarray, wide: set[int]) -> tuple[np.ndarray, ...]:
+    """The entries of tiles, the ``wide`` ones replaced by grids: block i meets block j in a tile of its own."""
+    out = [tuple(x[~np.isin(part, list(wide))] for x in (part, row, cluster, leader))]
+    for tile in sorted(wide):
+        at = np.flatnonzero(part == tile)
+        grid = -(-len(at) // TILE_SIDE)
+        block = (X.mix(row[at].astype(np.uint64)) % np.uint64(grid)).astype(np.int64)
+        for i in range(grid):
+            for j in range(i, grid):
+                here = at[(block == i) | (block == j)]
+                # Below zero, so apart from every row and every other tile.
+                own = np.full(len(here), -1 - int(X.mix(np.array([(tile * grid * grid + i * grid + j) % (1 << 64)], np.uint64))[0] >> np.uint64(2)))
+                out.append((own, row[here], cluster[here], own))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: int, frequent) -> DataFrame:
     """Pairs (a, b) of unconnected documents that share a tile; entries: row, n, prefix, cluster (null: alone)."""
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.1))) + 1
@@ -358,8 +368,11 @@ def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: i
         if len(starts):
             keep = (np.minimum.reduceat(cluster, starts) != np.maximum.reduceat(cluster, starts))[part]
             leader = np.minimum.reduceat(row, starts)[part]
-        part = (part[keep] + (table.column("g")[0].as_py() << 32)).astype(np.int64) if len(keep) else np.zeros(0, np.int64)
-        row, cluster, leader = row[keep], cluster[keep], leader[keep]
+        part, row, cluster, leader = (x[keep] for x in (part, row, cluster, leader)) if len(keep) else (np.zeros(0, np.int64),) * 4
+        wide = np.flatnonzero(np.bincount(part, minlength=1) > TILE_SIDE)
+        part = part + (table.column("g")[0].as_py() << 32 if len(part) else 0)
+        if len(wide):
+            part, row, cluster, leader = _split(part, row, cluster, leader, set((wide + (table.column("g")[0].as_py() << 32)).tolist()))
         order = np.lexsort((row, leader))
         row, cluster, leader, part = row[order], cluster[order], leader[order], part[order]
         first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (leader[1:] != leader[:-1])))) if len(row) else np.zeros(0, np.int64)
@@ -428,7 +441,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    docs = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.xxhash64(docs[text_col]).alias("_tag"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, k))
     features = materialize(_features(docs, k, percent, frequent), "features")
 

@@ -101,9 +101,12 @@ def family(seed, copies=60, n=90):
     return out
 
 
-@pytest.mark.parametrize("side", [4096, 8])
-def test_near_duplicates(spark, monkeypatch, side):
+@pytest.mark.parametrize("side, known", [(4096, True), (8, True), (8, False)])
+def test_near_duplicates(spark, monkeypatch, side, known):
+    """Also with small tiles, and with an order that knows no frequent shingle."""
     monkeypatch.setattr(near_join, "TILE_SIDE", side)
+    if not known:
+        monkeypatch.setattr(near_join, "_frequent", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     monkeypatch.setattr(near_join, "TREE_ROWS", 16)
     texts = edge_texts() + family(11) + family(12, 30) + [prose(50 + i, 40) + " a common line of words that many texts share here" for i in range(40)]
     sets, want = components(texts)
@@ -128,6 +131,9 @@ def test_near_duplicates_repeats_and_empty(spark):
     got = near_join.near_duplicates(again).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
     assert near_join.near_duplicates(docs.limit(0)).count() == 0
+    base = prose(1)
+    ids = spark.createDataFrame([(None, base), (None, base + " end"), (4, base + " end"), (9, prose(2)), (None, prose(3)), (None, None)], "doc_id long, text string")
+    assert sorted(str((r.doc_id, r.component_id)) for r in near_join.near_duplicates(ids).collect()) == sorted(["(None, 4)", "(None, 4)", "(4, 4)", "(9, 9)", "(None, None)", "(None, None)"])
 
 
 def test_bitmaps_never_lose_a_pair():
