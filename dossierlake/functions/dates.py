@@ -56,11 +56,6 @@ def read_date(text: str | None) -> date | None:
     return None
 
 
-@arrow_function("date")
-def parse_date(texts: pd.Series) -> pd.Series:
-    return texts.map(read_date)
-
-
 def clean_date(text: Column) -> Column:
     """Dates printed without confusions, by built-in functions alone."""
     value = F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -70,6 +65,18 @@ def clean_date(text: Column) -> Column:
     return F.when(F.year(found).between(*YEARS), found)
 
 
+@arrow_function("date")
+def _read(texts: pd.Series) -> pd.Series:
+    return texts.map(read_date)
+
+
+def parse_date(text: Column | str) -> Column:
+    """The first readable date; only texts that are no clean date go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    clean = clean_date(text)
+    return F.when(clean.isNotNull(), clean).otherwise(_read(F.when(clean.isNull(), text)))
+
+
 def _ymd(year: Column, month: Column, day: Column) -> Column:
     text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
     return F.when(year.between(*YEARS), F.try_to_date(text, "yyyy-MM-dd"))

@@ -1,8 +1,8 @@
 """Machine-readable zones: check digits, layouts, reading and writing.
 
 Check digits, formats and fields are column expressions over a layout table.
-Only the search for confirmed glyph repairs is an Arrow-batched function, and
-only rows whose digits fail go through it.
+Only the search for confirmed glyph repairs is an Arrow-batched function;
+``with_zone`` sends it only the zones whose digits fail.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from itertools import combinations, product
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import arrow_function
@@ -327,11 +327,71 @@ def _format(lines: list[str]) -> str | None:
 
 @arrow_function(RESULT)
 def parse_mrz(lines: pd.Series) -> pd.DataFrame:
+    """All fields of a zone, repaired where digits confirm it; ``with_zone`` spares sound zones the way to Python."""
     names = [x.split()[0] for x in re.sub("<[^>]*>", "", RESULT).split(", ")]
     rows = [read_zone(None if x is None else list(x)) for x in lines]
     return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
+def _is_sound(rows: Column, fmt: str) -> Column:
+    checks = field_checks(rows, fmt)
+    ok = (F.size(rows) == SHAPES[fmt][0]) & F.substring(rows[0], 1, 1).isin(*FIRST_LETTERS[fmt])
+    for name, f in FIELDS[fmt].items():
+        if f.check:
+            ok = ok & checks[name]
+    return ok & composite_check(rows, fmt) if fmt in COMPOSITE else ok
+
+
+def _sound_result(rows: Column, fmt: str) -> Column:
+    """The result for a zone whose digits all hold."""
+    names = split_name(cut(rows, NAMES[fmt]))
+    shown = [n for n, f in FIELDS[fmt].items() if f.check] + ["passport_number"] + (["composite"] if fmt in COMPOSITE else [])
+    code, none = F.substring(rows[0], 1, 2), F.lit(None).cast("string")
+    values = {n: cut(rows, f) for n, f in FIELDS[fmt].items()} | {
+        "valid_format": F.lit(True), "format": F.lit(fmt), "document_code": code, "document_type": F.substring(code, 1, 1), "issuing_state": cut(rows, STATE),
+        "document_number": F.translate(cut(rows, FIELDS[fmt]["document_number"]), "<", ""), "surname": names["surname"], "given_names": names["given_names"],
+        "check_digits": F.create_map(*[F.lit(x) for n in shown for x in (n, True)]), "composite_check_valid": F.lit(True if fmt in COMPOSITE else None).cast("boolean"),
+        "overall_check_digit_valid": F.lit(True), "raw_overall_check_digit_valid": F.lit(True), "repair_applied": F.lit(False),
+        "repairs": F.array().cast("array<string>"), "normalized_lines": rows,
+    }
+    fields = [x.split()[0] for x in re.sub("<[^>]*>", "", RESULT).split(", ")]
+    return F.struct(*[values.get(n, none).alias(n) for n in fields])
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sound_zone(lines: Column) -> Column:
+    """All fields of a zone whose digits all hold, else null; by built-in functions alone."""
+
+    def read(kind: Column, rows: Column) -> Column:
+        out = F
+        for fmt in SHAPES:
+            out = out.when(kind == fmt, F.when(_is_sound(rows, fmt), _sound_result(rows, fmt)))
+        return out
+
+    def frame(clean: Column, kind: Column) -> Column:
+        out = F
+        for fmt in SHAPES:
+            out = out.when(kind == fmt, framed(clean, fmt))
+        return out
+
+    clean = normal_lines(F.coalesce(lines, F.array().cast("array<string>")))
+    return _bound(clean, lambda c: _bound(detect_format(c), lambda k: _bound(frame(c, k), lambda r: read(k, r))))
+
+
+def with_zone(rows: DataFrame, lines: str, out: str = "zone") -> DataFrame:
+    """``rows`` with the fields of the zone in column ``lines``; only zones whose digits fail go to Python.
+
+    A projection of its own keeps the expressions from being computed for every use.
+    """
+    found = rows.withColumn("_sound", sound_zone(F.col(lines)))
+    mended = parse_mrz(F.when(F.col("_sound").isNull(), F.col(lines)))
+    return found.withColumn(out, F.when(F.col("_sound").isNotNull(), F.col("_sound")).otherwise(mended)).drop("_sound")
+
+
 # -- decoding of glyph probabilities --------------------------------------------
 
 
@@ -381,3 +441,46 @@ def fixed_length_path(log_probs, length: int, blank: int = 0):
     if n:
         labels.append(c)
     return labels[::-1], total
+
+
+# Fixed value: labels of the decoder after the blank.
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ<"
+
+
+def alternatives(frame: Column, n: int = 3) -> Column:
+    """The ``n`` most probable glyphs of one frame (blank first) as (glyph, p); of ties the first glyph."""
+    glyphs = F.transform(F.slice(frame, 2, len(ALPHABET)), lambda p, i: F.struct((-p).alias("order"), i.alias("i"), p.alias("p")))
+    best = F.slice(F.array_sort(glyphs), 1, n)
+    return F.transform(best, lambda x: F.struct(F.substring(F.lit(ALPHABET), x["i"] + 1, F.lit(1)).alias("glyph"), x["p"].alias("p")))
+
+
+def decoded(length: int | None = None):
+    """A column function frames (array of probability arrays) -> (text, score): greedy, or the best path of ``length`` glyphs."""
+
+    @arrow_function("text string, score double")
+    def decode(lines: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        for frames in lines:
+            if frames is None or not len(frames):
+                out.append((None, None))
+                continue
+            p = np.array([list(f) for f in frames], float)
+            if length is None:
+                labels, score = greedy_glyphs(p.argmax(1).tolist()), float(np.log(np.maximum(p.max(1), 1e-12)).sum())
+            else:
+                labels, score = fixed_length_path(np.log(np.maximum(p, 1e-12)), length)
+            out.append(("".join(ALPHABET[c - 1] for c in labels), score))
+        return pd.DataFrame(out, columns=["text", "score"])
+
+    return decode
+
+
+def zone_score(zone: Column, confidence: Column) -> Column:
+    """0 to 100: shares of sound digits, of all digits together, and the mean confidence of the glyphs."""
+    digits = F.map_filter(zone["check_digits"], lambda k, v: k != "passport_number")
+    passed = F.size(F.map_filter(digits, lambda k, v: v))
+    whole = F.when(zone["overall_check_digit_valid"], 35.0).otherwise(0.0)
+    score = 40.0 * passed / F.greatest(F.lit(1), F.size(digits)) + whole + 25.0 * F.coalesce(confidence, F.lit(0.0))
+    return F.when(F.coalesce(zone["valid_format"], F.lit(False)), score).otherwise(0.0)

@@ -1,21 +1,21 @@
-"""Fixed values of the text rules: patterns and word lists.
+r"""Fixed values of the text rules: patterns and word lists.
 
-Word edges are written as ASCII look-arounds, since Java's ``\\b`` knows Unicode
-letters and the rules do not.
+``\b`` means an edge of ASCII words.  ``java`` and ``python`` give the form of a
+pattern for each engine: Java's own ``\b`` knows Unicode letters, and Python's
+does unless it is told.
 """
 
-_B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-
 # Fixed values.
-PHONE = rf"(?:\+?91[-\s]?)?{_B}[6-9][0-9]{{9}}{_B}"
-AADHAAR = rf"{_B}[0-9]{{4}}[\s-]?[0-9]{{4}}[\s-]?[0-9]{{4}}{_B}"
-EMAIL = rf"{_B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_B}"
-FIR_NUMBER = rf"(?i){_B}FIR\s*(?:No\.?|Number)?\s*[0-9]{{1,5}}\s*(?:of|/|-)\s*[0-9]{{4}}{_B}|{_B}(?:FIR[/\s-]?)?[0-9]{{1,5}}/[0-9]{{4}}{_B}"
-SECTION = rf"(?i){_B}(?:BNS|BNSS|BSA|IPC|CrPC)\s*(?:S(?:ec)?\.?|Section)?\s*[0-9]+[A-Z]?(?:\([0-9]+\))?|{_B}Section\s+[0-9]+[A-Z]?(?:\([0-9]+\))?"
-DATE = rf"{_B}[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}{_B}|{_B}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_B}"
-ROLES = ["complainant", "victim", "informant", "prosecutrix", "deceased"]
-RELATIONS = ["s/o", "d/o", "w/o", "c/o", "son of", "daughter of", "wife of", "husband of", "father of", "mother of"]
-ADDRESS_WORDS = ["r/o", "resident of", "residing at", "address"]
+PHONE = r"(?:\+?91[-\s]?)?\b[6-9][0-9]{9}\b"
+AADHAAR = r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+FIR_NUMBER = r"(?i)\bFIR\s*(?:No\.?|Number)?\s*[0-9]{1,5}\s*(?:of|/|-)\s*[0-9]{4}\b|\b(?:FIR[/\s-]?)?[0-9]{1,5}/[0-9]{4}\b"
+SECTION = r"(?i)\b(?:BNS|BNSS|BSA|IPC|CrPC)\s*(?:S(?:ec)?\.?|Section)?\s*[0-9]+[A-Z]?(?:\([0-9]+\))?|\bSection\s+[0-9]+[A-Z]?(?:\([0-9]+\))?"
+DATE = r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
+NAME = r"((?:[A-Z]\p{L}+[ \t]+){0,3}[A-Z]\p{L}+|\p{IsDevanagari}+(?:[ \t]+\p{IsDevanagari}+){0,3})"
+ROLE_NAME = r"(?iu)\b(?:complainant|victim|informant|prosecutrix|deceased)[ \t]*[:\-]?[ \t]*" + NAME
+RELATION_NAME = r"(?iu)\b(?:s/o|d/o|w/o|c/o|son of|daughter of|wife of|husband of|father of|mother of)[ \t]*[:\-]?[ \t]*" + NAME
+ADDRESS = r"(?iu)\b(?:r/o|resident of|residing at|address)\s*[:\-]?\s*([^\n.;]{4,70})"
 NOT_A_NAME = [
     "the", "and", "said", "above", "named", "aforesaid", "complainant", "victim", "informant", "accused", "police", "station",
     "inspector", "sub", "constable", "head", "section", "fir",
@@ -28,11 +28,18 @@ EVIDENCE_PREFIX = {
 }
 OTHER_PREFIX = "OTH"
 
-_NAME = r"((?:[A-Z]\p{L}+[ \t]+){0,3}[A-Z]\p{L}+|\p{IsDevanagari}+(?:[ \t]+\p{IsDevanagari}+){0,3})"
-_GAP = r"[ \t]*[:\-]?[ \t]*"
-ROLE_NAME = rf"(?iu){_B}(?:{'|'.join(ROLES)}){_GAP}{_NAME}"
-RELATION_NAME = rf"(?iu){_B}(?:{'|'.join(RELATIONS)}){_GAP}{_NAME}"
-ADDRESS = rf"(?iu){_B}(?:{'|'.join(ADDRESS_WORDS)})\s*[:\-]?\s*([^\n.;]{{4,70}})"
-
 IDENTIFYING = (PHONE, EMAIL, AADHAAR)
 PRESERVED = (FIR_NUMBER, SECTION, DATE)
+
+#: What every match of a pattern holds; texts without it need no search.
+HOLDS = {PHONE: "[0-9]{10}", AADHAAR: "[0-9]{4}", EMAIL: "@", FIR_NUMBER: "[0-9]{4}", SECTION: "[0-9]", DATE: "[0-9][/-][0-9]"}
+
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def java(pattern: str) -> str:
+    return pattern.replace(r"\b", _EDGE)
+
+
+def python(pattern: str) -> str:
+    return pattern.replace(r"\b", r"(?a:\b)")

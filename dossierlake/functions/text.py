@@ -6,8 +6,10 @@ needed does an Arrow-batched Python function run.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -28,12 +30,13 @@ def tokens(text: Column) -> Column:
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Distinct values of a pattern in order of first occurrence."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(P.java(pattern)), F.lit(group)))
+    return F.when(text.rlike(P.HOLDS.get(pattern, "")), found).otherwise(F.array().cast("array<string>"))
 
 
 def captures(text: Column, pattern: str) -> Column:
     """Distinct first groups, squeezed, of more than one character."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), squeeze)
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(P.java(pattern)), F.lit(1)), squeeze)
     return F.array_distinct(F.filter(found, lambda v: F.length(v) > 1))
 
 
@@ -84,13 +87,11 @@ def redaction_targets(identities: Column, found: Column) -> Column:
 # -- spans --------------------------------------------------------------------
 
 
-def _compiled(group: tuple[str, ...]) -> list:
-    import regex
-
-    return [regex.compile(p.replace(r"\p{IsDevanagari}", r"\p{Script=Devanagari}")) for p in group]
+def _compiled(group: tuple[str, ...]) -> list[re.Pattern]:
+    return [re.compile(P.python(p)) for p in group]
 
 
-def find_spans(text: str | None, compiled: list) -> list[tuple[int, int]]:
+def find_spans(text: str | None, compiled: list[re.Pattern]) -> list[tuple[int, int]]:
     """Non-empty, non-overlapping matches of each pattern."""
     return [m.span() for p in compiled for m in p.finditer(text or "") if m.end() > m.start()]
 
@@ -124,19 +125,22 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def span_finder(*group: str):
-    """A column function text -> array of (start, end, value) of the given patterns."""
+    """A column function text -> array of (start, end, value) of the given patterns.
+
+    Texts that hold no match for sure reach Python as nulls.
+    """
 
     @arrow_function(SPANS)
     def find(texts: pd.Series) -> pd.Series:
         compiled = _compiled(group)
         return texts.map(lambda t: [{"start": a, "end": b, "value": t[a:b]} for a, b in find_spans(t, compiled)])
 
-    return find
+    may = "|".join(P.HOLDS.get(p, "") for p in group)
+    return lambda text: find(F.when(text.rlike(may), text))
 
 
 @arrow_function("text string, removed int")
-def redact(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
-    """Targets and identifying patterns replaced; spans that touch evidence are left alone."""
+def _redacted(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
     remove, keep = _compiled(P.IDENTIFYING), _compiled(P.PRESERVED)
     out, counts = [], []
     for text, wanted in zip(texts, targets, strict=True):
@@ -144,8 +148,8 @@ def redact(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
             out.append(None)
             counts.append(0)
             continue
-        kept = find_spans(text, keep)
         found = [s for t in (wanted if wanted is not None else ()) for s in literal_spans(text, t)] + find_spans(text, remove)
+        kept = find_spans(text, keep) if found else []
         cut = merge_spans([s for s in found if not any(s[0] < k[1] and k[0] < s[1] for k in kept)])
         edges = [0, *(x for s in cut for x in s), len(text)]
         out.append(P.MARK.join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
@@ -153,6 +157,17 @@ def redact(texts: pd.Series, targets: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": out, "removed": pd.Series(counts, dtype="int32")})
 
 
+def redact(text: Column, targets: Column) -> Column:
+    """Targets and identifying patterns replaced; spans that touch evidence are left alone.
+
+    Only texts that may hold something to remove reach Python.
+    """
+    named = F.exists(targets, lambda t: F.contains(F.lower(text), F.lower(F.trim(t))))
+    may = text.rlike("|".join(P.HOLDS[p] for p in P.IDENTIFYING)) | F.coalesce(named, F.lit(False))
+    done = _redacted(F.when(may, text), F.when(may, targets))
+    return F.when(may, done).otherwise(F.struct(text.alias("text"), F.lit(0).alias("removed")))
+
+
 def merged(spans: Column) -> Column:
     """``merge_spans`` of an array of (start, end) as a column expression."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
@@ -166,6 +181,15 @@ def merged(spans: Column) -> Column:
     return F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
+def merged_rows(spans: DataFrame, *keys: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Overlapping or touching spans of each key joined; as rows, so that a key may have any number of them."""
+    by = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("int")
+    islands = spans.select(*keys, start, end).withColumn("_reach", reach).withColumn("_island", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
 def outside(spans: Column, kept: Column) -> Column:
     """The spans that overlap none of ``kept``; half-open."""
     return F.filter(spans, lambda s: ~F.exists(kept, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"])))
@@ -239,8 +263,6 @@ def headline(text: Column, query: list[str], words: int = 18) -> Column:
 
     @arrow_function("string")
     def cut(texts: pd.Series) -> pd.Series:
-        import re
-
         wanted = set(query)
 
         def one(t):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Which rank may do what, and how sensitivities rank.
 SENSITIVITY = {"normal": 0, "sensitive": 1, "protected": 2}
 PER_PAGE, MOST_PER_PAGE = 25, 100
-DEEP = 100_000
+LIST_COLUMNS = ("document_number", "document_type", "issuing_state", "surname", "given_names", "date_of_birth", "nationality")
 
 
 def scoped(rows: DataFrame, assignments: DataFrame, user: object | None = None, on: str = "case_id") -> DataFrame:
@@ -21,16 +21,12 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, per_page: int =
     """One page with the number of all rows; a page past the end is empty.
 
     The count is a separate aggregate, so the page itself stays a bounded top-k
-    instead of a window over everything.
+    instead of a window over everything; past the end no row enters it.
     """
     number, per_page = max(1, number), max(1, min(MOST_PER_PAGE, per_page))
     skip = (number - 1) * per_page
-    # A top-k keeps skip + per_page rows; a deep page is first held against the count.
-    if skip > DEEP and skip >= rows.count():
-        cut = rows.limit(0)
-    else:
-        cut = rows.orderBy(*order).offset(skip).limit(per_page)
-    return cut.withColumn("total_count", rows.agg(F.count("*")).scalar())
+    total = rows.agg(F.count("*")).scalar()
+    return rows.where(total > skip).orderBy(*order).offset(skip).limit(per_page).withColumn("total_count", total)
 
 
 def optional(column: Column, value: object | None) -> Column:
@@ -65,7 +61,7 @@ def access_decision(requests: DataFrame, permissions: DataFrame, assignments: Da
     Rank comes before case: no permission is ``rank``, creating a case needs none,
     a missing case is ``no_case_context``, else assignment decides.
     """
-    held = F.broadcast(permissions.select("rank", "action", F.lit(True).alias("_may")))
+    held = permissions.select("rank", "action", F.lit(True).alias("_may"))
     mine = assignments.select("case_id", "user_id", F.lit(True).alias("_on")).distinct()
     reason = F.when(F.col("_may").isNull(), "rank").when(F.col("action") == "case.create", F.lit(None)).when(F.col("case_id").isNull(), "no_case_context").when(F.col("_on").isNull(), "not_assigned")
     return requests.join(held, ["rank", "action"], "left").join(mine, ["case_id", "user_id"], "left").withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).drop("_may", "_on")
@@ -148,3 +144,77 @@ def altered(before: DataFrame, after: DataFrame, key: str, fixed: list[str]) ->
     """Rows whose immutable columns differ between two snapshots."""
     a, b = before.select(key, F.struct(*fixed).alias("was")), after.select(key, F.struct(*fixed).alias("now"))
     return a.join(b, key).where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def permissions_of(permissions: DataFrame) -> DataFrame:
+    """The actions of each rank as one sorted list."""
+    return permissions.groupBy("rank").agg(F.array_sort(F.collect_set("action")).alias("permissions"))
+
+
+def decision_context(requests: DataFrame, documents: DataFrame, cases: DataFrame, identities: DataFrame) -> DataFrame:
+    """Requests by ``document_id`` with case, sensitivity, number and identities of the case; look-ups as joins.
+
+    Requests for unknown documents stay, with nulls.
+    """
+    of = documents.select(F.col("id").alias("document_id"), "case_id")
+    case = cases.select(F.col("id").alias("case_id"), "sensitivity", "case_number")
+    named = identities.groupBy("case_id").agg(F.array_sort(F.collect_set("value")).alias("identities"))
+    return requests.join(of, "document_id", "left").join(case, "case_id", "left").join(named, "case_id", "left")
+
+
+def live_challenges(challenges: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
+    """One-time codes that may still be tried: not used, not expired, attempts left, of an active user."""
+    open_ = challenges.where(F.col("verified_at").isNull() & (F.col("expires_at") > as_of) & (F.col("attempts") < F.col("max_attempts")))
+    return open_.join(users.where("is_active").select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+
+def live_sessions(sessions: DataFrame, as_of: Column) -> DataFrame:
+    """Sessions that have not expired."""
+    return sessions.where(F.col("expires_at") >= as_of)
+
+
+def unassigned(assignments: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assignments left, removals refused); removals: case_id, user_id, removed_by.  No one removes themselves."""
+    refused = removals.where(F.col("user_id") == F.col("removed_by"))
+    valid = removals.where(~F.col("user_id").eqNullSafe(F.col("removed_by")))
+    return assignments.join(valid, ["case_id", "user_id"], "left_anti"), refused
+
+
+def settled(events: DataFrame, key: str, order: str, status: str = "status", waiting: tuple[str, ...] = ("pending", "processing")) -> DataFrame:
+    """The state of each key from its log of transitions: the newest that is not waiting, else the newest.
+
+    So a failure is never left waiting, and a late ``pending`` undoes nothing.
+    """
+    done = ~F.col(status).isin(*waiting)
+    rest = [c for c in events.columns if c not in (key, order)]
+    best = F.max(F.struct(done.alias("_done"), order, *rest)).alias("_r")
+    return events.groupBy(key).agg(best).select(key, F.col(f"_r.{order}").alias(order), *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def watch_entries(arrivals: DataFrame) -> DataFrame:
+    """Watchlist arrivals as stored: identifying columns in upper case, empty ones null, active."""
+    upper = {c: F.nullif(F.upper(F.col(c).cast("string")), F.lit("")) for c in LIST_COLUMNS if c in arrivals.columns}
+    return arrivals.withColumns(upper).withColumn("active", F.lit(True))
+
+
+def deactivated(entries: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """Entries with ``active`` false where their id was withdrawn; none is deleted."""
+    gone = withdrawn.select(F.col("id"), F.lit(True).alias("_gone")).distinct()
+    return entries.join(gone, "id", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+
+
+def stripped(rows: DataFrame, hidden: tuple[str, ...] = ("embedding", "live_embedding")) -> DataFrame:
+    """Rows without fields that begin with an underscore or hold embeddings, at every depth."""
+    from pyspark.sql.types import ArrayType, DataType, StructType
+
+    shown = lambda name: not name.startswith("_") and name not in hidden
+
+    def clean(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            inner = F.struct(*[clean(value[f.name], f.dataType).alias(f.name) for f in kind.fields if shown(f.name)])
+            return F.when(value.isNotNull(), inner)
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
+            return F.transform(value, lambda x: clean(x, kind.elementType))
+        return value
+
+    return rows.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields if shown(f.name)])

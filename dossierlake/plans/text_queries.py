@@ -12,28 +12,61 @@ from ..functions import text as X
 from ..operators import audit as A
 from .registry import Tables, query
 
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+# The SQL engine's word edges are those of ASCII, as in the rules.
+PHONE, EMAIL, AADHAAR = P.PHONE, P.EMAIL, P.AADHAAR
+#: Case data that the tables lack, written behind each text: the same text in both engines.
+PLANTED = """coalesce(text, '') || ' FIR No. ' || (doc_id % 99999 + 1) || '/2021 under Section ' || (doc_id % 500 + 1) || '(2) and IPC 302, dated 2021-03-0' || (doc_id % 9 + 1)
+    || ' and 5/6/2021. Complainant: Asha Verma r/o ' || doc_id || ' Lake Road, Bhopal; phone 98765' || lpad(CAST(doc_id % 100000 AS STRING), 5, '0') || ', also +91 9000000001, mail z' || doc_id
+    || '@ex.org, admin@ex.org and z' || doc_id || '@ex.org; card 1234 5678 ' || (doc_id % 9000 + 1000) || '. ASHA VERMA asked Ashaverma.'"""
+_SQL = PLANTED.replace("AS STRING", "AS VARCHAR")
+_FOUND = "list_filter({m}, lambda x, i: list_position({m}, x) = i)"
 
 
-@query(rf"SELECT doc_id, list_distinct(regexp_extract_all(text, '{EMAIL}')) AS emails FROM documents WHERE regexp_matches(text, '{EMAIL}') AND len(list_distinct(regexp_extract_all(text, '{EMAIL}'))) = 1")
+def _sql_matches(pattern: str) -> str:
+    """Distinct matches in order of first occurrence."""
+    return _FOUND.format(m=f"regexp_extract_all(t, '{pattern}')")
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_SQL} AS t FROM documents)
+SELECT doc_id, {_sql_matches(EMAIL)} AS emails FROM d""")
 def emails(t: Tables):
-    return t.documents.select("doc_id", X.matches(F.col("text"), P.EMAIL).alias("emails")).where(F.size("emails") == 1)
+    """Addresses of every text, each once, in order of first occurrence."""
+    return t.documents.select("doc_id", X.matches(F.expr(PLANTED), P.EMAIL).alias("emails"))
 
 
-@query(rf"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), '{EMAIL}'))) AS INTEGER) AS emails FROM documents")
+@query(rf"""
+WITH d AS (SELECT doc_id, {_SQL} AS t FROM documents)
+SELECT doc_id, ['Asha Verma'] AS persons, [doc_id || ' Lake Road, Bhopal'] AS addresses, {_sql_matches(PHONE)} AS phones, {_sql_matches(EMAIL)} AS emails, {_sql_matches(AADHAAR)} AS aadhaar,
+       {_sql_matches(P.FIR_NUMBER)} AS fir_numbers, {_sql_matches(P.SECTION)} AS sections, {_sql_matches(P.DATE)} AS dates
+FROM d""")
 def entities(t: Tables):
     """All rules over all texts."""
-    return t.documents.select("doc_id", X.entities(F.col("text")).alias("e")).select("doc_id", F.size("e.emails").alias("emails"))
+    found = t.documents.select("doc_id", X.entities(F.expr(PLANTED)).alias("e"))
+    return found.select("doc_id", *[F.col(f"e.{c}") for c in ("persons", "addresses", "phones", "emails", "aadhaar", "fir_numbers", "sections", "dates")])
 
 
-@query(rf"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[REDACTED]', 'g') AS text, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS INTEGER) AS removed FROM documents")
+@query(rf"""
+WITH d AS (SELECT doc_id, {_SQL} AS t FROM documents),
+m AS (SELECT *, [list_extract(regexp_extract_all(t, 'FIR No. [0-9]+/2021'), -1)] AS f FROM d)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{EMAIL}', '[REDACTED]', 'g'), '{PHONE}', '[REDACTED]', 'g'), '{AADHAAR}', '[REDACTED]', 'g'), '\bAsha Verma\b', '[REDACTED]', 'gi') AS text,
+       CAST(len(regexp_extract_all(t, '{EMAIL}')) + len(regexp_extract_all(t, '{PHONE}')) + len(regexp_extract_all(t, '{AADHAAR}')) + len(regexp_extract_all(t, '(?i)\bAsha Verma\b')) AS INTEGER) AS removed
+FROM m""")
 def redacted_texts(t: Tables):
-    return t.documents.select("doc_id", X.redact(F.col("text"), F.array().cast("array<string>")).alias("r")).select("doc_id", "r.text", "r.removed")
+    """Registered names and identifying patterns go; numbers of evidence stay, also where one is a target."""
+    targets = F.array(F.lit("Asha Verma"), F.expr("'FIR No. ' || (doc_id % 99999 + 1) || '/2021'"))
+    return t.documents.select("doc_id", X.redact(F.expr(PLANTED), targets).alias("r")).select("doc_id", "r.text", "r.removed")
 
 
-@query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '{EMAIL}')")
+@query(rf"""
+WITH d AS (SELECT doc_id, {_SQL} AS t FROM documents), p AS (SELECT doc_id, t, regexp_extract_all(t, '{EMAIL}') AS m FROM d),
+u AS (SELECT doc_id, t, m, unnest(range(1, len(m) + 1)) AS i FROM p),
+s AS (SELECT doc_id, m[i] AS value, string_split(t, m[i]) AS parts, len(list_filter(m[1:i - 1], lambda x: x = m[i])) AS before FROM u)
+SELECT doc_id, value, CAST(list_sum(list_transform(parts[1:before + 1], lambda x: length(x))) + before * length(value) AS INTEGER) AS start FROM s""")
 def entity_spans(t: Tables):
-    return t.documents.select("doc_id", F.size(X.span_finder(P.EMAIL)(F.col("text"))).alias("n")).where("n > 0")
+    """Every address with its offset."""
+    found = t.documents.select("doc_id", F.explode(X.span_finder(P.EMAIL)(F.expr(PLANTED))).alias("s"))
+    return found.select("doc_id", "s.value", "s.start")
 
 
 @query("""
@@ -46,14 +79,13 @@ def whole_words(t: Tables):
 
 
 @query("""
-WITH i AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS a, CAST(l_quantity AS INTEGER) + 4 AS b FROM lineitem),
+WITH i AS (SELECT DISTINCT l_orderkey, CAST(l_quantity AS INTEGER) AS a, CAST(l_quantity AS INTEGER) + 4 AS b FROM lineitem),
 m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM i),
 g AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT l_orderkey, min(a) AS start, max(b) AS "end" FROM g GROUP BY l_orderkey, island""")
 def merged_spans(t: Tables):
     q = F.col("l_quantity").cast("int")
-    spans = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(q.alias("start"), (q + 4).alias("end"))).alias("s"))
-    return spans.select("l_orderkey", F.explode(X.merged(F.col("s"))).alias("m")).select("l_orderkey", "m.start", "m.end")
+    return X.merged_rows(t.lineitem.select("l_orderkey", q.alias("start"), (q + 4).alias("end")), "l_orderkey")
 
 
 @query("""
@@ -91,12 +123,26 @@ def record_hashes(t: Tables):
     return rows.select("event_id", A.record_hash(F.lit(H.GENESIS), F.col("detail")).alias("h"))
 
 
-@query("SELECT true AS intact, CAST(NULL AS BIGINT) AS broken_at")
+@query("""
+WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n, count(*) OVER () AS total FROM events)
+SELECT k.kind, k.kind = 'whole' AS intact, CASE WHEN k.kind <> 'whole' THEN (SELECT min(event_id) FROM e WHERE n > total * k.share) END AS broken_at
+FROM (VALUES ('whole', 0.0), ('edited', 0.5), ('removed', 0.75)) AS k(kind, share)""")
 def chain_intact(t: Tables):
-    """The audit log, chained and verified."""
+    """The audit log, chained and verified: as it is, with a record edited, and with one removed."""
     rows = t.events.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("action"), *[F.lit(None).cast("string").alias(c) for c in ("document_id", "case_id", "version")], F.date_trunc("millisecond", F.col("ts")).cast("timestamp").alias("occurred_at"), F.col("props").alias("detail"))
     body = H.payload(*[F.col(p) for p in A.PARTS], H.iso_millis(F.col("occurred_at")), F.col("detail"))
-    return A.verify_chain(A.build_chain(rows.withColumn("body", body)))
+    chain = A.build_chain(rows.withColumn("body", body))
+    total = rows.count()
+    place = lambda share: rows.orderBy("id").offset(int(total * share)).limit(1).select("id").first()[0]
+    middle, late = place(0.5), place(0.75)
+    edited = chain.withColumn("action", F.when(F.col("id") == middle, F.lit("forged")).otherwise(F.col("action")))
+    # Without its record, the next one names a record that is not there.
+    before = rows.where(F.col("id") < late).agg(F.max("id")).first()[0]
+    out = None
+    for kind, log in (("whole", chain), ("edited", edited), ("removed", chain.where(F.col("id") != before))):
+        one = A.verify_chain(log).select(F.lit(kind).alias("kind"), "intact", "broken_at")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT event_id, lag(event_type, 1, 'first') OVER (ORDER BY event_id) AS before FROM events")
@@ -144,11 +190,33 @@ def check_digits(t: Tables):
     return t.part.select("p_partkey", M.check_digit(F.translate(F.upper("p_name"), " ", "<")).alias("digit"))
 
 
-@query("SELECT c_custkey, true AS sound, CAST(c_custkey AS VARCHAR) AS number FROM customer")
+def _sql_digit(data: str) -> str:
+    """A check digit in the SQL engine."""
+    worth = "CASE WHEN ascii(c) BETWEEN 48 AND 57 THEN ascii(c) - 48 WHEN ascii(c) BETWEEN 65 AND 90 THEN ascii(c) - 55 ELSE 0 END * [7, 3, 1][(i - 1) % 3 + 1]"
+    return f"CAST(list_sum(list_transform(string_split({data}, ''), lambda c, i: {worth})) % 10 AS VARCHAR)"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, rpad(CAST(c_custkey AS VARCHAR), 9, '<') AS n, lpad(CAST(c_custkey % 90 AS VARCHAR), 2, '0') || '0101' AS b FROM customer),
+d AS (SELECT c_custkey, n || {_sql_digit("n")} AS n, b || {_sql_digit("b")} AS b, '300101' || {_sql_digit("'300101'")} AS x, repeat('<', 14) || '0' AS o FROM c),
+z AS (SELECT c_custkey, 'P<UTODOE<<JANE' || repeat('<', 30) AS upper, n || 'UTO' || b || 'F' || x || o AS lower, {_sql_digit("(n || b || x || o)")} AS total FROM d)
+SELECT c_custkey, [upper, lower || CASE WHEN c_custkey % 10 = 3 THEN CAST((CAST(total AS INTEGER) + 1) % 10 AS VARCHAR) ELSE total END] AS lines, c_custkey % 10 <> 3 AS sound, CAST(c_custkey AS VARCHAR) AS number,
+       CASE WHEN c_custkey % 10 <> 3 THEN 'JANE' END AS given_names, lpad(CAST(c_custkey % 90 AS VARCHAR), 2, '0') || '0101' AS date_of_birth, CASE WHEN c_custkey % 10 = 4 THEN 1 ELSE 0 END AS repairs
+FROM z""")
 def zone_round_trip(t: Tables):
-    """Zones written by expressions and read back, digits checked."""
-    lines = M.generate("TD3", F.lit("P"), F.lit("UTO"), F.col("c_custkey").cast("string"), F.lit("UTO"), F.lit("800101"), F.lit("F"), F.lit("300101"), F.lit("DOE"), F.lit("JANE"))
-    return t.customer.select("c_custkey", M.parse_mrz(lines).alias("z")).select("c_custkey", F.col("z.overall_check_digit_valid").alias("sound"), F.col("z.document_number").alias("number"))
+    """Zones written and read back: most sound, some with a wrong composite digit, some with a letter in a date."""
+    key = F.col("c_custkey")
+    birth = F.concat(F.lpad((key % 90).cast("string"), 2, "0"), F.lit("0101"))
+    rows = t.customer.select("c_custkey", M.generate("TD3", F.lit("P"), F.lit("UTO"), key.cast("string"), F.lit("UTO"), birth, F.lit("F"), F.lit("300101"), F.lit("DOE"), F.lit("JANE")).alias("whole"))
+    last = F.substring(F.col("whole")[1], 44, 1)
+    # A tenth has the next composite digit; another tenth the letter I where its date has the digit 1.
+    forged = F.concat(F.substring(F.col("whole")[1], 1, 43), ((last.cast("int") + 1) % 10).cast("string"))
+    blurred = F.concat(F.substring(F.col("whole")[1], 1, 16), F.lit("I"), F.substring(F.col("whole")[1], 18, 27))
+    rows = rows.withColumn("lines", F.array(F.col("whole")[0], F.when(key % 10 == 3, forged).otherwise(F.col("whole")[1])))
+    rows = rows.withColumn("seen", F.when(key % 10 == 4, F.array(F.col("whole")[0], blurred)).otherwise(F.col("lines")))
+    z = M.with_zone(rows, "seen")
+    ok = F.col("zone.overall_check_digit_valid")
+    return z.select("c_custkey", "lines", ok.alias("sound"), F.col("zone.document_number").alias("number"), F.when(ok, F.col("zone.given_names")).alias("given_names"), "zone.date_of_birth", F.size("zone.repairs").alias("repairs"))
 
 
 @query("""
@@ -175,7 +243,14 @@ def normalised_pages(t: Tables):
     return t.documents.select("doc_id", X.page_text(F.array("text")).alias("t"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+w AS (
+    SELECT user_id, i, ts, ts AS start, 1 AS n FROM e WHERE i = 1
+    UNION ALL
+    SELECT e.user_id, e.i, e.ts, CASE WHEN e.ts >= w.start + INTERVAL 15 MINUTE THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 15 MINUTE THEN 1 ELSE w.n + 1 END
+    FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.i = w.i + 1)
+SELECT user_id, ts, n <= 2 AS allowed FROM w""")
 def fixed_window_limits(t: Tables):
     """First-request-anchored windows; no built-in window has these bounds."""
     from ..streaming.streams import rate_limit

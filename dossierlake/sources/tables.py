@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +41,16 @@ def metadata_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def config(path: str) -> dict:
-    """A JSON policy or manifest; small, read once by the driver."""
+def _read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
+def config(path: str, override: str | None = None) -> dict:
+    """A JSON policy or manifest; small, read once by the driver.  The environment variable ``override`` may name another file."""
+    return _read_config(os.environ.get(override, path) if override else path)
+
+
 def blobs(spark: SparkSession, path: str) -> DataFrame:
     """Stored objects as (storage_path, content)."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("storage_path"), "content")
@@ -70,6 +75,21 @@ def catalog_columns(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([(name, c.name, c.dataType) for c in columns], "table_name string, column_name string, data_type string")
 
 
+def labels_of(rows: DataFrame, column: str) -> DataFrame:
+    """The values that a column takes, as one sorted text, as a catalog lists the labels of a type."""
+    return rows.select(F.col(column).cast("string").alias("v")).distinct().agg(F.array_join(F.array_sort(F.collect_set("v")), ", ").alias("labels"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     report.write.mode("overwrite").json(path)
+
+
+def write_markdown(report: DataFrame, path: str) -> None:
+    """A report as text files of Markdown table rows, under a header for each file; cells keep no bars or line breaks."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[|\n\r]+", " ")
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    head = report.sparkSession.range(1).select(F.lit(0).alias("k"), line([F.lit(c) for c in report.columns]).alias("value"))
+    rule = report.sparkSession.range(1).select(F.lit(1).alias("k"), line([F.lit("---")] * len(report.columns)).alias("value"))
+    body = report.select(F.lit(2).alias("k"), line([cell(c) for c in report.columns]).alias("value"))
+    head.unionByName(rule).unionByName(body).repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)

@@ -142,6 +142,19 @@ def test_zone_round_trip(spark, fmt):
     assert all(checks) and one(spark, M.composite_check(M.framed(own, fmt), fmt)) in (True, None)
 
 
+def test_zones_of_a_table(spark):
+    """Sound zones without Python and the others with it: the same rows."""
+    sound = [zone(spark, f) for f in M.SHAPES]
+    lines = sound + [[x.lower() for x in sound[0]], [sound[0][0], sound[0][1][:42] + "Q8"], [sound[1][0]], [], None, ["x"] + sound[4], [sound[2][0].replace("V", "P", 1), sound[2][1]]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, lines array<string>")
+    got = {r.i: r.zone.asDict(True) for r in M.with_zone(rows, "lines").collect()}
+    for i, x in enumerate(lines):
+        want = M.read_zone(x)
+        assert {k: v for k, v in got[i].items() if v is not None} == {k: v for k, v in want.items() if v is not None}, x
+    native = rows.where("i < 6").select(M.sound_zone(F.col("lines")).isNotNull().alias("s")).collect()
+    assert all(r.s for r in native)
+
+
 def test_zone_repairs(spark):
     lines = zone(spark, "TD3")
     cut = [lines[0], lines[1][:42] + "Q8"]

@@ -3,12 +3,15 @@
 import json
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake.functions import hashing as H
+from dossierlake.functions import mrz as M
 from dossierlake.operators import audit as A
 from dossierlake.operators import evaluation as E
+from dossierlake.operators import heatmaps as HM
 from dossierlake.operators import relational as R
 from dossierlake.operators import screening as S
 from dossierlake.sources import tables as T
@@ -268,3 +271,135 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     rows = spark.range(60).select((F.col("id") % 2).alias("ip"), F.timestamp_seconds(F.col("id") * 241).alias("at"), F.floor(F.col("id") / 20).alias("part"))
     got = {tuple(r) for r in run_stream(spark, rows, lambda s: ST.rate_limit_stream(s, "ip", "at", 15, 1), tmp_path, "limited").collect()}
     assert got == {tuple(r) for r in ST.rate_limit(rows.drop("part"), "ip", "at", 15, 1).collect()} and {a for *_, a in got} == {True, False}
+
+
+def test_pages_past_the_end_and_permissions(spark):
+    rows = spark.range(60)
+    assert [r.id for r in R.page(rows, [F.col("id")], 3).collect()] == list(range(50, 60)) and R.page(rows, [F.col("id")], 4).count() == 0
+    held = spark.createDataFrame([("si", "b"), ("si", "a"), ("pc", "a"), ("si", "a")], "rank string, action string")
+    assert {r["rank"]: r.permissions for r in R.permissions_of(held).collect()} == {"si": ["a", "b"], "pc": ["a"]}
+
+
+def test_decision_context(spark):
+    requests = spark.createDataFrame([("d1",), ("d9",)], "document_id string")
+    documents = spark.createDataFrame([("d1", "c1")], "id string, case_id string")
+    cases = spark.createDataFrame([("c1", "protected", "7/2024")], "id string, sensitivity string, case_number string")
+    named = spark.createDataFrame([("c1", "B"), ("c1", "A")], "case_id string, value string")
+    got = {r.document_id: r for r in R.decision_context(requests, documents, cases, named).collect()}
+    assert got["d1"].sensitivity == "protected" and got["d1"].identities == ["A", "B"] and got["d9"].case_id is None
+
+
+def test_challenges_and_sessions(spark):
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp")
+    rows = [("ok", "u", None, "2026-01-01 12:05", 2, 3), ("late", "u", None, "2026-01-01 11:59", 0, 3), ("used", "u", "2026-01-01 11:00", "2026-01-01 12:05", 0, 3), ("tries", "u", None, "2026-01-01 12:05", 3, 3), ("gone", "v", None, "2026-01-01 12:05", 0, 3)]
+    challenges = spark.createDataFrame(rows, "id string, user_id string, verified_at string, expires_at string, attempts int, max_attempts int").withColumn("expires_at", F.to_timestamp("expires_at"))
+    users = spark.createDataFrame([("u", True), ("v", False)], "id string, is_active boolean")
+    assert [r.id for r in R.live_challenges(challenges, users, now).collect()] == ["ok"]
+    assert {r.id for r in R.live_sessions(challenges, now).collect()} == {"ok", "used", "tries", "gone"}
+
+
+def test_unassign_settle_and_watch(spark):
+    on = spark.createDataFrame([("c", "a"), ("c", "b")], "case_id string, user_id string")
+    wish = spark.createDataFrame([("c", "a", "a"), ("c", "b", "a")], "case_id string, user_id string, removed_by string")
+    left, refused = R.unassigned(on, wish)
+    assert [r.user_id for r in left.collect()] == ["a"] and [r.user_id for r in refused.collect()] == ["a"]
+    log = spark.createDataFrame([("v", 1, "pending", None), ("v", 2, "anchored", "t"), ("v", 3, "pending", None), ("w", 1, "pending", None), ("x", 1, "pending", None), ("x", 2, "failed", None)], "id string, at int, status string, tx string")
+    assert {r.id: (r.status, r.tx, r.at) for r in R.settled(log, "id", "at").collect()} == {"v": ("anchored", "t", 2), "w": ("pending", None, 1), "x": ("failed", None, 2)}
+    entries = R.watch_entries(spark.createDataFrame([("1", "k71", ""), ("2", "p5", "doe")], "id string, document_number string, surname string"))
+    got = R.deactivated(entries, spark.createDataFrame([("2",)], "id string")).orderBy("id").collect()
+    assert [(r.document_number, r.surname, r.active) for r in got] == [("K71", None, True), ("P5", "DOE", False)]
+
+
+def test_stripped(spark):
+    rows = spark.sql("select 1 as a, 2 as _b, named_struct('embedding', array(1.0), 'c', named_struct('_d', 1, 'e', 2)) as f, array(named_struct('_g', 1, 'h', 3)) as l, cast(null as struct<x: int, _y: int>) as n")
+    assert R.stripped(rows).first().asDict(True) == {"a": 1, "f": {"c": {"e": 2}}, "l": [{"h": 3}], "n": None}
+
+
+def test_anchors_and_files(spark, tmp_path, monkeypatch):
+    ledger = spark.createDataFrame([("v1", 1)], "version_id string, seq int")
+    good = "a" * 64
+    rows = [("v1", good, "anchor"), ("v2", "x", "anchor"), ("v2", good, "anchor"), ("v1", None, "lend"), ("v9", None, "share"), ("v1", None, "share")]
+    arrivals = spark.createDataFrame(rows, "version_id string, sha256 string, action string")
+    assert sorted((r.version_id, r.reason) for r in A.bad_anchors(arrivals, ledger).collect()) == [("v1", "action"), ("v1", "exists"), ("v2", "hash"), ("v9", "missing")]
+    (tmp_path / "train.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert T.metadata_split(spark, str(tmp_path), "train").count() == 2
+    (tmp_path / "p.json").write_text('{"v": 1}')
+    (tmp_path / "q.json").write_text('{"v": 2}')
+    monkeypatch.setenv("SOME_POLICY", str(tmp_path / "q.json"))
+    assert T.config(str(tmp_path / "p.json")) == {"v": 1} and T.config(str(tmp_path / "p.json"), "SOME_POLICY") == {"v": 2}
+    report = spark.createDataFrame([("a|b", 1), (None, 2)], "name string, n int")
+    T.write_report(report, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+    T.write_markdown(report.coalesce(1), str(tmp_path / "m"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    assert text.splitlines() == ["| name | n |", "| --- | --- |", "| a b | 1 |", "|  | 2 |"]
+    report.createOrReplaceTempView("a_view")
+    assert [(r.column_name, r.data_type) for r in T.catalog_columns(spark, "a_view").collect()] == [("name", "string"), ("n", "int")] and T.catalog_columns(spark, "nothing").count() == 0
+    assert T.labels_of(report, "n").first().labels == "1, 2"
+
+
+def test_isolated_rows(spark):
+    rows = spark.createDataFrame([("1",), ("x",), ("3",)], "t string")
+    got = rows.select(ST.isolated("long", int)("t").alias("r")).select("r.*").collect()
+    assert [r.value for r in got] == [1, None, 3] and got[1].error.startswith("ValueError") and got[0].error is None
+
+
+def test_runs_effects_and_expiry(spark, tmp_path):
+    ran = []
+    ST.run_every(spark, ran.append, str(tmp_path / "c"), once=True).awaitTermination(60)
+    assert len(ran) <= 1
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    rows.write.parquet(str(tmp_path / "versions"))
+
+    def bad(batch, number):
+        raise ValueError("no ledger")
+
+    runs = ST.after_commit(lambda: ST.versions_stream(spark, str(tmp_path / "versions"), "id long, t string"), {"screen": lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out{n}")), "anchor": bad}, str(tmp_path / "e"))
+    runs["screen"].awaitTermination(60)
+    with pytest.raises(Exception, match="no ledger"):
+        runs["anchor"].awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out0")).count() == 2
+    acts = spark.createDataFrame([("u", "2026-01-01 10:00"), ("u", "2026-01-01 10:10"), ("v", "2026-01-01 12:00"), ("w", "2026-01-01 15:00")], "k string, at string").withColumn("at", F.to_timestamp("at"))
+    got = run_stream(spark, acts.withColumn("part", F.lit(0)), lambda s: ST.expired_sessions(s, "k", "at"), tmp_path, "sessions").collect()
+    assert {(r.k, str(r.expired), r.actions) for r in got} == {("u", "2026-01-01 10:40:00", 2), ("v", "2026-01-01 12:30:00", 1)}
+
+
+def test_stale_claims(spark, tmp_path):
+    rows = [("a", "2026-01-01 10:00", "processing", 0), ("b", "2026-01-01 10:01", "processing", 0), ("b", "2026-01-01 10:05", "done", 0), ("z", "2026-01-01 11:00", "processing", 1), ("z", "2026-01-01 11:01", "done", 2)]
+    claims = spark.createDataFrame(rows, "k string, at string, status string, part int").withColumn("at", F.to_timestamp("at"))
+    got = run_stream(spark, claims, lambda s: ST.stale_claims(s.withWatermark("at", "1 minute"), "k", "at"), tmp_path, "claims").collect()
+    assert [(r.k, str(r.since)) for r in got] == [("a", "2026-01-01 10:00:00")]
+
+
+def test_heatmaps(spark):
+    p = np.zeros((40, 50))
+    p[5:15, 10:20] = 0.9
+    p[15, 20] = 0.6
+    p[30, 40] = 0.7
+    rows = spark.createDataFrame([(p.ravel().tolist(), 50), (None, 5), ([1.0, 2.0, 3.0], 2)], "v array<double>, w int")
+    got = [r.s for r in rows.select(HM.heatmap_features("v", "w").alias("s")).collect()]
+    assert got[0].n_comps == 2 and abs(got[0].largest_comp_area - 101 / 2000) < 1e-9 and abs(got[0].largest_comp_mean - (90 + 0.6) / 101) < 1e-9
+    assert abs(got[0].max_blur7 - 0.9) < 1e-9 and abs(got[0].area_gt80 - 0.05) < 1e-9 and abs(got[0].mean_prob - p.mean()) < 1e-9
+    assert all(x is None or np.isnan(x) for r in got[1:] for x in r)
+    grey = np.full((80, 80), 100.0)
+    grey[:10, :10], grey[70:, 70:] = 250, 10
+    b = spark.createDataFrame([(grey.ravel().tolist(), 80)], "v array<double>, w int").select(HM.block_features("v", "w").alias("b")).first().b
+    assert (b.local_contrast_p10, b.saturated_blocks, b.dark_blocks, b.min_side) == (0, 1 / 64, 1 / 64, 80)
+    quad = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 10D, 'y', 0D), named_struct('x', 10D, 'y', 5D), named_struct('x', 0D, 'y', 5D))"
+    q = spark.sql(f"select {quad} as c").select(HM.quad_shape(F.col("c"), F.lit(20.0), F.lit(10.0)).alias("q")).first().q
+    assert (q.doc_found, q.coverage, q.skew) == (1.0, 0.25, 1.0)
+
+
+def test_glyph_decoding(spark):
+    def frame(**p):
+        out = [0.01] * (len(M.ALPHABET) + 1)
+        for g, v in p.items():
+            out[0 if g == "blank" else M.ALPHABET.index(g.strip("_")) + 1] = v
+        return out
+
+    frames = [frame(A=0.9), frame(A=0.8), frame(blank=0.9), frame(A=0.6, _4=0.5), frame(B=0.9, _8=0.3)]
+    rows = spark.createDataFrame([(frames,), (None,)], "f array<array<double>>")
+    got = rows.select(M.decoded()("f").alias("g"), M.decoded(2)("f").alias("two"), M.alternatives(F.col("f")[3]).alias("alt")).collect()
+    assert got[0].g.text == "AAB" and len(got[0].two.text) == 2 and [a.glyph for a in got[0].alt] == ["A", "4", "0"] and got[1].g.text is None
+    zone = F.struct(F.lit(True).alias("valid_format"), F.lit(False).alias("overall_check_digit_valid"), F.create_map(F.lit("a"), F.lit(True), F.lit("b"), F.lit(False), F.lit("passport_number"), F.lit(True)).alias("check_digits"))
+    assert spark.range(1).select(M.zone_score(zone, F.lit(0.8)).alias("s")).first().s == 40.0
