@@ -269,6 +269,42 @@ def test_top_k(spark, size, scale):
     assert topk.top_k(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_levels_and_envelopes_never_lose_a_score():
+    """Bounds against all scores; on near vectors most pairs fall away, coarse to fine, and most tiles with them."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 32)) * 300
+    x = np.floor(np.repeat(centres, 120, 0) + rng.normal(size=(1440, 32)) * 4)
+    turn = np.linalg.eigh(np.cov(x, rowvar=False))[1][:, ::-1]
+    x = x[np.argsort((x @ turn)[:, 0])].astype(np.int64)
+    ids, counts = np.arange(len(x)), []
+    got = topk.tile_top(ids[::40], x[::40], ids, x, 5, turn, counts=counts)
+    score = x[::40] @ x.T
+    score[np.arange(36), ids[::40]] = -(10**15)
+    for i, row in enumerate(score):
+        want = np.lexsort((ids, -row))[:5]
+        own = got[0] == ids[::40][i]
+        assert got[1][own].tolist() == want.tolist() and got[2][own].tolist() == row[want].tolist()
+    assert all(a >= b for seen in counts for a, b in zip(seen[1:], seen[2:], strict=False)) and sum(s[-1] for s in counts) < 0.2 * sum(s[0] for s in counts)
+    blocks = np.split(x, 12)
+    tops = [topk.envelope(b @ turn) for b in blocks]
+    kept = 0
+    for i, a in enumerate(blocks):
+        worst = np.sort(a @ a.T, 1)[:, -6].min()
+        for j, b in enumerate(blocks):
+            assert topk.most(tops[i], tops[j]) >= (a @ b.T).max()
+            kept += topk.most(tops[i], tops[j]) >= worst
+    assert kept < 80
+
+
+def test_top_k_by_tiles(spark):
+    """Several blocks on both sides, seeds first, then the tiles that may do better."""
+    rng = np.random.default_rng(8)
+    v = {i: ((rng.normal(size=8) + 9 * (i % 5)) * 2).round(2).tolist() for i in range(600)}
+    frame = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, F.col("id") % 20 == 0, 20, query_block=8, candidate_block=64)
+    assert {tuple(r) for r in got.collect()} == brute_top(v, 20)
+
+
 # -- 7 ------------------------------------------------------------------------
 
 
