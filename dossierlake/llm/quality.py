@@ -5,11 +5,14 @@
     picks which, if there are more).  Its log-odds less the prior log-odds is
     the document's evidence.
 2.  Sites.  Over *all* documents, grouped sums of the document posteriors give
-    each site (host) and each path below it a mean rate.  A rate is shrunk to
-    its parent, path to site and site to the global rate, by a beta prior whose
-    strength is estimated from the spread between sites (method of moments), so
-    that sparse sites stay near the global rate.
-3.  A document's score is its evidence on top of the rate of its path.
+    each site and each path below it a mean rate.  ``levels`` names the columns
+    from the site down, as many as there are; ``url_levels`` makes them from a URL
+    (host, first folder, first two folders).  The registered query has no URLs and
+    takes source and language.  A rate is shrunk to its parent, the first level to
+    the global rate, by a beta prior whose strength is estimated from the spread
+    of the level's groups (method of moments), so that sparse sites stay near what
+    is above them.
+3.  A document's score is its evidence on top of the rate of its finest group.
 
 The sums are combined before the shuffle; only per-level totals reach the driver.
 
@@ -18,8 +21,10 @@ Defined results
   * null site or path: a site or path of its own.
   * repeated rows: each is scored.  Repeated or null labels: a null label is
     ignored; a document labelled twice counts twice in the fit.
+  * documents repeated under one labelled id: each takes part in the fit, of which
+    a hash then picks as many as the bound allows.
   * no labels, or one class only: no evidence; every document is kept.
-  * empty table: an empty result.  Extra columns are ignored.
+  * empty table: an empty result.  Extra columns, also such as ``n`` or ``score``, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -122,8 +127,13 @@ def _training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.n
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(x.ravel())), batch.column(1)], ["x", "y"])
 
     # At most ``limit`` labels, whose size is bounded, are broadcast.
-    rows = docs.join(F.broadcast(labels), F.col("_id") == F.col("_l")).select("_text", F.col("_y").cast("double").alias("_y")).mapInArrow(features, "x array<double>, y double")
-    rows = rows.toPandas()
+    met = docs.join(F.broadcast(labels), F.col("_id") == F.col("_l")).select("_id", "_text", F.col("_y").cast("double").alias("_y"))
+    # Ids that repeat could bring more rows than labels.
+    rows = materialize(met.select("_text", "_y", F.xxhash64("_id", "_text").alias("_h")), "labelled")
+    n = rows.count()
+    if n > limit:
+        rows = rows.where(F.pmod("_h", F.lit(1_000_000)) < int(1_000_000 * limit / n)).limit(limit)
+    rows = rows.select("_text", "_y").mapInArrow(features, "x array<double>, y double").toPandas()
     return (np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, FEATURES))), rows["y"].to_numpy(float)
 
 
@@ -139,11 +149,24 @@ def _strength(groups: DataFrame, parent: str) -> float:
     return float(min(max(pi * (1 - pi) / tau - 1, 1.0), 1e6))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, evidence, site_rate, path_rate, score, kept``."""
+def url_levels(url: Column, folders: int = 2) -> list[Column]:
+    """The host of a URL, lower-cased, and its first folders, one column for each level; null for no URL."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*/)", 1), "/"), lambda x: x != "")
+    host = F.nullif(host, F.lit(""))
+    return [host, *[F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, k), "/")) for k in range(1, folders + 1)]]
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str | Column, ...] = ("source", "lang"), label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, evidence, site_rate, path_rate, score, kept``.
+
+    ``site_rate`` is the rate of the first level, ``path_rate`` that of the last.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), docs[site_col].cast("string").alias("_site"), docs[path_col].cast("string").alias("_path"))
+    names = [f"_g{i}" for i in range(len(levels))]
+    groups = [(docs[c] if isinstance(c, str) else c).cast("string").alias(n) for c, n in zip(levels, names, strict=True)]
+    docs = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), *groups)
     x, y = _training_rows(docs, labels.select(labels[label_id].alias("_l"), labels[label_col].alias("_y")), train_rows)
     model = fit_logistic(x, y)
     prior = float(np.log(y.mean() / (1 - y.mean()))) if model else float(np.log(0.99 / 0.01))
@@ -155,24 +178,34 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 e = np.zeros(batch.num_rows)
             else:
                 mean, scale, w = shared.value
-                e = np.clip((text_features(batch.column(3)) - mean) / scale @ w[:-1] + w[-1], -30, 30) - prior
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(e)], ["_id", "_site", "_path", "e"])
+                e = np.clip((text_features(batch.column(1)) - mean) / scale @ w[:-1] + w[-1], -30, 30) - prior
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(e)], ["_id", *names, "e"])
 
     kind = docs.schema["_id"].dataType.simpleString()
     logistic = lambda z: 1 / (1 + F.exp(-z))
-    scored = materialize(docs.select("_id", "_site", "_path", "_text").mapInArrow(evidence, f"_id {kind}, _site string, _path string, e double"), "evidence")
-    paths = materialize(scored.groupBy("_site", "_path").agg(F.count("*").alias("n"), F.sum(logistic(F.col("e") + prior)).alias("p")), "paths")
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    whole = sites.select(F.sum("n"), F.sum("p")).first()
-    overall = whole[1] / whole[0] if whole[0] else 0.5
-    sites = materialize(sites.withColumn("top", F.lit(float(overall))), "sites")
-    m = _strength(sites, "top")
-    sites = sites.select(F.col("_site").alias("s"), ((F.col("p") + m * F.col("top")) / (F.col("n") + m)).alias("site_rate"))
-    paths = materialize(paths.join(sites, F.col("_site").eqNullSafe(F.col("s"))).drop("s"), "rates")
-    m = _strength(paths, "site_rate")
-    rates = materialize(paths.select(F.col("_site").alias("s"), F.col("_path").alias("q"), "site_rate", ((F.col("p") + m * F.col("site_rate")) / (F.col("n") + m)).alias("path_rate")), "rates")
+    scored = materialize(docs.select("_id", "_text", *names).mapInArrow(evidence, f"_id {kind}, {', '.join(f'{n} string' for n in names)}, e double"), "evidence")
+    finest = materialize(scored.groupBy(*names).agg(F.count("*").alias("n"), F.sum(logistic(F.col("e") + prior)).alias("p")), "groups")
+    whole = finest.select(F.sum("n"), F.sum("p")).first()
+    above, rates = None, []
+    for i, name in enumerate(names):
+        own = finest.groupBy(*names[: i + 1]).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        if above is None:
+            own = own.withColumn("up", F.lit(float(whole[1] / whole[0] if whole[0] else 0.5)))
+        else:
+            on = [F.col(n).eqNullSafe(F.col(f"{n}u")) for n in names[:i]]
+            own = own.join(above, on[0] if len(on) == 1 else on).drop(*[f"{n}u" for n in names[:i]])
+        own = materialize(own, "level")
+        m = _strength(own, "up")
+        rates.append(f"r{i}")
+        kept = [*names[: i + 1], *rates[:-1]]
+        own = own.select(*kept, ((F.col("p") + m * F.col("up")) / (F.col("n") + m)).alias(f"r{i}"))
+        above = own.select(*[F.col(n).alias(f"{n}u") for n in names[: i + 1]], *rates, F.col(f"r{i}").alias("up"))
+    final = materialize(above.drop("up"), "rates")
     safe = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = logistic(F.col("e") + F.log(safe("path_rate") / (1 - safe("path_rate"))))
-    return scored.join(rates, F.col("_site").eqNullSafe(F.col("s")) & F.col("_path").eqNullSafe(F.col("q"))).select(
-        F.col("_id").alias("doc_id"), F.col("e").alias("evidence"), "site_rate", "path_rate", score.alias("score"), (score >= threshold).alias("kept")
+    score = logistic(F.col("e") + F.log(safe(rates[-1]) / (1 - safe(rates[-1]))))
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}u"))
+    return scored.join(final, on).select(
+        F.col("_id").alias("doc_id"), F.col("e").alias("evidence"), F.col(rates[0]).alias("site_rate"), F.col(rates[-1]).alias("path_rate"), score.alias("score"), (score >= threshold).alias("kept")
     )
