@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source is cut into blocks of documents.  Its integer share W out of all shares
-(weights are rounded to multiples of 1/``slots``) is served in *rounds*: a round
+(weights are rounded to multiples of 1/``slots``, or of a quarter of the mean share
+if there are many sources, and none is below one) is served in *rounds*: a round
 takes W blocks of every source that still has them.  Served ideally, all sources
 advance together in proportion to their shares; block k of a source is released
 at the slot in which its ideal service begins and due at the slot in which that
@@ -23,6 +24,8 @@ Defined results
   * null source: a source of its own.  Null text plays no part.
   * repeated rows: each is placed.  Ties of the hash: by id.
   * sources without a weight: the smallest share.  Empty table: an empty result.
+  * null id: a document like others.  Extra columns, also with the names of the
+    result, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .store import materialize
 
 BLOCK_DOCS = 32
 SLOTS = 1000
+#: Slots for each source at least, so that many sources keep unequal shares.
+FINEST = 4
 #: Weight of a source by default: its documents to this power.
 TEMPERATURE = 0.5
 BUCKET_ROWS = 50_000
@@ -53,7 +58,8 @@ def _shares(counts: DataFrame, weights: dict | None, temperature: float, slots:
         raw = F.lit(0.0)
         for source, weight in weights.items():
             raw = F.when(F.col("s") == _key(F.lit(source)), F.lit(float(weight))).otherwise(raw)
-    total = counts.select(F.sum(raw)).first()[0] or 1.0
+    total, sources = counts.select(F.sum(raw), F.count("*")).first()
+    total, slots = total or 1.0, max(slots, FINEST * sources)
     return counts.withColumn("w", F.greatest(F.lit(1), F.round(raw / F.lit(float(total)) * slots)).cast("long"))
 
 

@@ -235,6 +235,17 @@ def test_mixing(spark, options):
         assert all(abs(served[x] - share[x] * (t + 1)) < 1 for x in left)
 
 
+def test_mixing_many_sources(spark):
+    """Shares stay apart with more sources than slots, and so do their places."""
+    sources = [f"s{i:03}" for i in range(40) for _ in range(1 + 4 * (i % 4))]
+    docs = make(spark, ["t"] * len(sources), sources)
+    rows = mixing.pfair_slots(docs, block_docs=1, slots=10, temperature=1.0).collect()
+    assert len(rows) == len(sources) and sorted(r.slot for r in rows) == list(range(len(sources)))
+    share = {r.source: r.share for r in rows}
+    assert len(set(share.values())) >= 3 and abs(sum(share.values()) - 1) < 1e-9
+    assert share["s003"] > share["s002"] > share["s000"]
+
+
 def test_mixed_rows(spark):
     docs = make(spark, [str(i) for i in range(50)], ["a", "b", None])
     out = mixing.mixed(docs)
@@ -523,6 +534,44 @@ def test_rates_shrink(spark):
     assert rate["junk"] < rate["tiny"] < rate["big"]
 
 
+def test_rates_against_brute_force(spark):
+    """Three levels: the rates and scores by the formulas, group by group."""
+    rng = random.Random(4)
+    good, bad = [prose(i, 40) for i in range(80)], [" ".join(w.upper() + "!!" for w in prose(i, 40).split()) for i in range(40)]
+    rows = [(i, t, rng.choice(["x.org", "y.org", None]), rng.choice(["a", "b"]), rng.choice(["1", "2", None])) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, folder string, page string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 80).cast("int").alias("quality")).where("doc_id % 2 = 0")
+    got = {r.doc_id: r for r in quality.quality(docs, labels, levels=("host", "folder", "page")).collect()}
+    prior = np.log(2 / 1)
+    p = {i: 1 / (1 + np.exp(-(got[i].evidence + prior))) for i in got}
+    up = {(): sum(p.values()) / len(p)}
+    for depth in (1, 2, 3):
+        groups = {}
+        for i, _, *names in rows:
+            groups.setdefault(tuple(names[:depth]), []).append(p[i])
+        above = [up[g[:-1]] for g in groups]
+        n, share = np.array([len(v) for v in groups.values()]), np.array([np.mean(v) for v in groups.values()])
+        tau = max(((n * (share - above) ** 2).sum() - sum(a * (1 - a) for a in above)) / n.sum(), 1e-9)
+        mean = np.mean(above)
+        m = min(max(mean * (1 - mean) / tau - 1, 1), 1e6)
+        up |= {g: (sum(v) + m * up[g[:-1]]) / (len(v) + m) for g, v in groups.items()}
+    for i, _, *names in rows:
+        path = min(max(up[tuple(names)], 1e-6), 1 - 1e-6)
+        score = 1 / (1 + np.exp(-(got[i].evidence + np.log(path / (1 - path)))))
+        assert abs(got[i].site_rate - up[(names[0],)]) < 1e-9 and abs(got[i].path_rate - up[tuple(names)]) < 1e-9 and abs(got[i].score - score) < 1e-9
+
+
+def test_levels_of_urls_and_bounded_training(spark):
+    urls = ["HTTPS://u@Ex.org:80/a/b/c.html?x=/y/", "http://ex.org", "http://ex.org/top.html", "no url", None]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = [tuple(r) for r in rows.select(*[c.alias(f"l{i}") for i, c in enumerate(quality.url_levels(F.col("u")))]).collect()]
+    assert got == [("ex.org", "ex.org/a", "ex.org/a/b"), ("ex.org", "ex.org/", "ex.org/"), ("ex.org", "ex.org/", "ex.org/"), (None, None, None), (None, None, None)]
+    docs = make(spark, [prose(1), "!! ??"] * 30).withColumn("doc_id", F.col("doc_id") % 2)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    x, _ = quality._training_rows(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), labels.toDF("_l", "_y"), 10)
+    assert len(x) <= 10
+
+
 # -- kernels ------------------------------------------------------------------
 
 

@@ -50,3 +50,29 @@ def test_sequences_follow_the_mix(spark):
             assert a == at
             at += n
         assert at <= 1024
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row long, _id string, kept string, component_id int, slot int, length int"
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, an empty table, clashing names."""
+    prose = " ".join(f"word{i % 97} other{i % 31}" for i in range(400))
+    texts = [prose, prose, prose + " end", None, "", " \t ", "short text", "x " * 30_000]
+    rows = [(i, t, "en" if i % 2 else None, "a" if i % 3 else None, len(t or "") if i % 4 else None, 1, "y", "z", 2, 3, 4) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, prose, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, EXTRA)
+    folder = str(tmp_path)
+    spark.createDataFrame([(0, 1, 0), (6, 0, 0), (None, 1, None), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        if name != "packing":
+            assert got.columns == docs.columns
+        ids[name] = sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x))
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.columns == got.columns and empty.count() == 0
+    assert ids["exact_dedup"] == [0, 2, 5, 6, 7, None, None]
+    assert ids["near_dedup"] == [0, 3, 4, 5, 6, 7, None, None]
+    assert ids["mixing"] == sorted((r[0] for r in rows), key=lambda x: (x is None, x))
+    assert len([i for i in ids["packing"] if i == 7]) > 1 and set(ids["packing"]) == {r[0] for r in rows}
