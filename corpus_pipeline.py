@@ -11,6 +11,17 @@ last return the columns of ``documents``.
 5.  packing: token pieces with their place in a sequence; of each length the
     pieces are taken in the order of the mix, and sequences are numbered by the
     first document they hold.
+
+Defined results of the stages, each on its own input
+  * null or empty text: judged by quality as an empty text; all of them are equal
+    in exact dedup; linked with nothing in near dedup; one end token in packing.
+  * very long texts: whole in every stage.
+  * repeated rows: rows with one id and text are kept once.  Ids should be unique: of
+    rows that share an id but not their text one stays if any is kept.
+  * null id: such rows stay in the first three stages, as decisions go by id.
+  * ties: by the smallest id.  No labels: quality keeps every document.
+  * empty table: an empty result with the columns of the stage.
+  * extra columns: kept by the first four stages whatever their names, ignored by packing.
 """
 
 from __future__ import annotations
