@@ -28,6 +28,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def has_all_words(text: Column, words: list[str]) -> Column:
+    """Whether every word (lower case) is among the words of the text; texts without the letters are not cut into words."""
+    low = F.lower(text)
+    may = F.lit(True)
+    for w in words:
+        may = may & F.contains(low, F.lit(w))
+    return F.when(may, F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(tokens(text), w))).otherwise(False)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Distinct values of a pattern in order of first occurrence."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(P.java(pattern)), F.lit(group)))

@@ -36,8 +36,7 @@ SELECT doc_id, CASE WHEN source = 'src0' THEN NULL ELSE left(text, 60) END AS sn
 FROM m ORDER BY n_chars DESC, doc_id LIMIT 25""")
 def search_documents(t: Tables):
     """Texts with all words asked for, protected snippets masked, one page and the total."""
-    words = X.tokens(F.col("text"))
-    hits = t.documents.where(F.forall(F.array(F.lit("that"), F.lit("and")), lambda q: F.array_contains(words, q)))
+    hits = t.documents.where(X.has_all_words(F.col("text"), ["that", "and"]))
     return R.page(hits, [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", F.when(F.col("source") == "src0", None).otherwise(F.substring("text", 1, 60)).alias("snippet"), "total_count")
 
 
