@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import capture as C
 from ..operators import evaluation as E
 from ..operators import screening as S
 from ..operators.vectors import similar_pairs
@@ -144,12 +145,29 @@ def detection_shares(t: Tables):
     return n.select("l_returnflag", F.substring_index(E.share_text(F.col("hits"), F.col("n")), " ", 1).alias("share"))
 
 
-@query("SELECT doc_id, CASE WHEN a >= b AND a >= c THEN 'the' WHEN b >= c THEN 'and' ELSE 'of' END AS kind FROM (SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) / 3 AS a, (length(text) - length(replace(text, 'and', ''))) / 3 AS b, (length(text) - length(replace(text, 'of', ''))) / 2 AS c FROM documents)")
+@query("""
+WITH r AS (
+    SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS valid, ['TD3', 'MRVA', 'TD1', 'TD2'][o_orderkey % 4 + 1] AS fmt, ['P', 'V', 'I', 'IR', 'C'][o_orderkey % 5 + 1] AS code,
+           CASE o_orderkey % 7 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.1 END AS word, o_orderkey % 11 = 0 AS hinted, 1.4 + o_orderkey % 13 / 60.0 AS aspect FROM orders),
+z AS (
+    SELECT *, CASE WHEN valid AND fmt IN ('TD1', 'TD2') THEN CASE WHEN code = 'IR' THEN 2.9 ELSE 0.4 END ELSE 0 END AS permit,
+           CASE WHEN valid AND fmt IN ('TD1', 'TD2') THEN CASE WHEN code = 'IR' THEN 0.4 ELSE 2.9 END ELSE 0 END AS card,
+           CASE WHEN word >= 0.85 THEN 1.5 * word WHEN word >= 0.7 THEN 0.8 * word ELSE 0 END AS printed FROM r),
+s AS (
+    SELECT k, [CASE WHEN valid AND fmt = 'TD3' AND code[1] = 'P' THEN 3.0 ELSE 0 END + greatest(0, 0.5 - abs(aspect - 1.42) * 4),
+               CASE WHEN valid AND fmt = 'MRVA' THEN 3.0 ELSE 0 END + printed + greatest(0, 0.5 - abs(aspect - 1.5) * 4),
+               card + greatest(0, 0.5 - abs(aspect - 1.586) * 4),
+               CASE WHEN valid THEN 0 ELSE 0.25 END + CASE WHEN hinted THEN 2.0 ELSE 0 END + greatest(0, 0.5 - abs(aspect - 1.586) * 4),
+               permit + greatest(0, 0.5 - abs(aspect - 1.586) * 4)] AS scores FROM z)
+SELECT k AS o_orderkey, ['passport', 'visa', 'national_id', 'driving_licence', 'residence_permit'][list_position(list_transform(scores, lambda x: round(x, 9)), round(list_max(scores), 9))] AS kind FROM s""")
 def document_kind(t: Tables):
-    """The kind with most evidence; of ties the first."""
-    kinds = ["the", "and", "of"]
-    scores = F.array(*[F.struct(((F.length("text") - F.length(F.replace("text", F.lit(k)))) / len(k)).alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(kinds)])
-    return t.documents.select("doc_id", F.array_max(scores)["k"].alias("kind"))
+    """The type with most evidence from zone, printed words, choice and shape; of ties the first."""
+    k = F.col("o_orderkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
+    mrz = F.struct((k % 3 != 0).alias("valid_format"), pick(4, "TD3", "MRVA", "TD1", "TD2").alias("format"), pick(5, "P", "V", "I", "IR", "C").alias("document_code"))
+    words = F.create_map(F.lit("visa"), F.when(k % 7 == 0, 0.9).when(k % 7 == 1, 0.75).otherwise(0.1))
+    kind = C.document_type(mrz, words, F.when(k % 11 == 0, "driving_licence"), 1.4 + (k % 13) / 60.0)
+    return t.orders.select("o_orderkey", kind.alias("kind"))
 
 
 @query("SELECT conv_id, round(avg(CASE WHEN role = 'user' THEN length(text) ELSE 0 END), 6) AS confidence, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -158,12 +176,14 @@ def page_totals(t: Tables):
     return by.select("conv_id", F.round("c", 6).alias("confidence"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-@query("SELECT conv_id, list_distinct(list(role)) IS NOT NULL AS ok, CAST(count(DISTINCT role) AS INTEGER) AS roles FROM conversations GROUP BY conv_id")
+@query("""
+WITH c AS (SELECT conv_id, list(role || CAST(length(text) % 3 AS VARCHAR) ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
+SELECT conv_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS seen FROM c""")
 def distinct_in_order(t: Tables):
     """Distinct values by first occurrence."""
-    by = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    roles = F.array_distinct(F.transform("r", lambda x: x["role"]))
-    return by.select("conv_id", roles.isNotNull().alias("ok"), F.size(roles).alias("roles"))
+    value = F.concat("role", (F.length("text") % 3).cast("string"))
+    by = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", value.alias("v")))).alias("r"))
+    return by.select("conv_id", F.array_distinct(F.transform("r", lambda x: x["v"])).alias("seen"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS failing, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS alerts, CAST(count(*) FILTER (WHERE value < 1) AS BIGINT) AS skipped FROM events")
