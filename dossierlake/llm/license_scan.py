@@ -10,6 +10,11 @@ covered as far as the text has its words, counted with multiplicity.  The bound
 is a vectorised lookup over all words; only texts that can reach the threshold
 are aligned.
 
+A match may span at most ``STRETCH`` times the template's words; one that is spread
+more thinly is not seen.  Alignment by anchors finds at most the longest common
+subsequence of words and may fall short of it where a text repeats them: of changed
+texts that reach the threshold by that measure it finds all but a few in a hundred.
+
 The work is one pass over the rows without a shuffle.
 
 Defined results

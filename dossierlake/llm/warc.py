@@ -15,6 +15,7 @@ The work is one pass over the rows without a shuffle.
 
 Defined results
   * null html: an empty payload; its conversion record has an empty block.
+  * codings or charsets that are unknown or broken: the bytes are read as they are.
   * null url: no target URI.  Broken markup: what is no tag counts as text.
   * very long pages: whole.  Repeated rows: each yields its records, with equal ids.
   * empty table: an empty result.  Extra columns but those of ``RESPONSE`` are ignored.
@@ -29,6 +30,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +54,10 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+#: Characters of pages that one batch of records holds, about.
+_HELD = 16_000_000
+
 #: Optional columns of a page, as its response record gives them; headers are "name: value" lines.
 RESPONSE = ("record_id", "warc_date", "payload_digest", "http_headers")
 FIELDS = ("page_id", "kind", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_digest", "block")
@@ -174,26 +180,88 @@ def record_bytes(records: DataFrame, compress: bool = True) -> DataFrame:
     return records.select(*FIELDS).mapInArrow(make, f"page_id {kind}, kind string, record binary")
 
 
+def _unchunked(body: bytes) -> bytes | None:
+    """The payload of a chunked body; None if it is not chunked as it should be."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def _inflated(body: bytes, coding: str) -> bytes | None:
+    """The decoded body; None for codings that are not known or bytes that do not fit."""
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return gzip.decompress(body)
+        if coding == "deflate":
+            # Some servers leave out the zlib header.
+            return zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+    except (OSError, EOFError, zlib.error):
+        pass
+    return None
+
+
+def payload_text(http: str | None, body: bytes) -> str:
+    """The page in a response: transfer and content codings undone, read in the charset that it names.
+
+    The charset is that of the Content-Type, else of a meta element near the start,
+    else UTF-8.  What cannot be decoded stays as it is.
+    """
+    fields: dict[str, str] = {}
+    for name, value in header_lines(http or ""):
+        fields.setdefault(name.lower(), value)
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        plain = _unchunked(body)
+        body = body if plain is None else plain
+    for coding in reversed([c.strip().lower() for c in fields.get("content-encoding", "").split(",") if c.strip()]):
+        plain = _inflated(body, coding)
+        if plain is None:
+            break
+        body = plain
+    named = _CHARSET.search(fields.get("content-type", "")) or _CHARSET.search(body[:1024].decode("latin-1"))
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def read_response_records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, html) of the response records of WARC files, and the columns ``RESPONSE``; page_id is the record id.
 
-    The digest is the record's own, else that of the payload's bytes.  A response
-    without a record id has null for it.
+    The digest is the record's own, else that of the payload's bytes as they are in
+    the record.  A response without a record id has null for it.  A file is read as a
+    stream of records and may have 2 GB, as a binary file of Spark.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for headers, block in from_bytes(content.as_py()):
                     if headers.get("warc-type") == "response":
                         http, body = None, block
                         if block.startswith(b"HTTP/"):
                             head, _, body = block.partition(b"\r\n\r\n")
                             http = head.partition(b"\r\n")[2].decode("utf-8", "replace")
-                        own = headers.get("warc-record-id")
-                        rows.append((own, headers.get("warc-target-uri"), body.decode("utf-8", "replace"), own, headers.get("warc-date"), headers.get("warc-payload-digest") or digest(body), http))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+                        own, text = headers.get("warc-record-id"), payload_text(http, body)
+                        rows.append((own, headers.get("warc-target-uri"), text, own, headers.get("warc-date"), headers.get("warc-payload-digest") or digest(body), http))
+                        held += len(text)
+                        if held > _HELD:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                yield batch_of(rows)
 
     names = ["page_id", "url", "html", *RESPONSE]
     small_batches(spark)

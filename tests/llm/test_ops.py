@@ -1,10 +1,13 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and clashes."""
 
+import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 from math import log10
 
 import numpy as np
@@ -235,6 +238,35 @@ def test_mixing(spark, options):
         assert all(abs(served[x] - share[x] * (t + 1)) < 1 for x in left)
 
 
+def test_mixing_against_simulation(spark):
+    """Every block's slot by a plain simulation: windows as fractions, of the released blocks the one due first."""
+    names = ["a"] * 70 + ["b"] * 25 + ["c"] * 9 + [None] * 3
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id long, source string")
+    rows = mixing.pfair_slots(docs, weights={"a": 5, "b": 3, "c": 1}, block_docs=4, slots=12).collect()
+    order = ["a", "b", "c", None]
+    w = {None: 1, "a": 9, "b": 5, "c": 2}  # of 16 slots, four for each source
+    assert all(abs(r.share - w[r.source] / 17) < 1e-12 for r in rows)
+    left, done, base, want = {s: -(-names.count(s) // 4) for s in order}, dict.fromkeys(order, 0), 0, {}
+    while any(left.values()):
+        c = {s: min(w[s], left[s]) for s in order}
+
+        def service(k, own, c=c):
+            return sum(min(Fraction(c[s]), Fraction(k * w[s], own)) for s in order)
+
+        windows = {s: [(math.floor(service(k, w[s])), math.ceil(service(k + 1, w[s]))) for k in range(c[s])] for s in order}
+        at = dict.fromkeys(order, 0)
+        for t in range(sum(c.values())):
+            ready = [(windows[s][at[s]][1], i, s) for i, s in enumerate(order) if at[s] < c[s] and windows[s][at[s]][0] <= t]
+            s = min(ready)[2]
+            assert t < windows[s][at[s]][1]
+            want[s, done[s] + at[s]] = base + t
+            at[s] += 1
+        for s in order:
+            done[s], left[s] = done[s] + c[s], left[s] - c[s]
+        base += sum(c.values())
+    assert {(r.source, r.block): r.slot for r in rows} == want
+
+
 def test_mixing_many_sources(spark):
     """Shares stay apart with more sources than slots, and so do their places."""
     sources = [f"s{i:03}" for i in range(40) for _ in range(1 + 4 * (i % 4))]
@@ -480,6 +512,32 @@ def test_warc_keeps_what_the_response_says(spark, tmp_path):
     assert short.refers_to == "<urn:uuid:1>"
 
 
+@pytest.mark.parametrize("chunked", [False, True])
+def test_payloads_are_decoded(spark, tmp_path, chunked):
+    """Transfer and content codings and charsets, also where they are broken."""
+    page = "<title>Caf\u00e9</title>d\u00e9j\u00e0 vu"
+
+    def response(key, body, *headers):
+        if chunked:
+            body = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+            headers = (*headers, "Transfer-Encoding: chunked")
+        http = "HTTP/1.1 200 OK\r\n" + "".join(f"{h}\r\n" for h in headers) + "\r\n"
+        return warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", key)], http.encode() + body)
+
+    latin = page.encode("latin-1")
+    records = [
+        response("zip", gzip.compress(latin), "Content-Encoding: gzip", "Content-Type: text/html; charset=ISO-8859-1"),
+        response("raw", zlib.compress(latin)[2:-4], "content-encoding: DEFLATE", 'Content-Type: text/html; charset="latin-1"'),
+        response("meta", b'<meta charset="iso-8859-1">' + latin),
+        response("odd", page.encode(), "Content-Encoding: snappy", "Content-Type: text/html; charset=no-such"),
+        response("cut", gzip.compress(latin)[:-9], "Content-Encoding: gzip"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    got = {r.page_id: r.html for r in warc.read_response_records(spark, str(tmp_path / "a.warc")).collect()}
+    assert got["zip"] == got["raw"] == got["odd"] == page and got["meta"].endswith(page) and len(got) == 5
+    assert warc.payload_text("Transfer-Encoding: chunked", b"no chunks") == "no chunks"
+
+
 # -- 5 ------------------------------------------------------------------------
 
 
@@ -497,6 +555,37 @@ def test_licenses(spark):
     assert license_scan.scan(make(spark, texts).limit(0)).count() == 0
 
 
+def test_changed_licenses_against_longest_common_subsequences(spark):
+    """Changed templates: coverage is never above the best alignment, and few that reach the threshold are missed."""
+
+    def words(t):
+        return re.findall(r"[a-z0-9\u0080-\uffff]+", t.lower())
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = 0
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng, texts, names = random.Random(6), [], []
+    for name, t in license_scan.TEMPLATES.items():
+        for _ in range(6):
+            w, rate = t.split(), rng.choice([0.02, 0.06, 0.12])
+            w = [x if rng.random() > rate else rng.choice(["", "other", f"{x} more", rng.choice(w)]) for x in w]
+            texts.append(f"{prose(len(texts), 20)} {' '.join(w)} {prose(900 + len(texts), 20)}")
+            names.append(name)
+    rows = {}
+    for r in license_scan.scan(make(spark, texts)).collect():
+        rows[r.doc_id, r.license] = max(r.coverage, rows.get((r.doc_id, r.license), 0))
+    best = {(i, n): common(words(texts[i]), words(license_scan.TEMPLATES[n])) / len(words(license_scan.TEMPLATES[n])) for i, n in enumerate(names)}
+    assert all(rows[k] <= best[k] + 1e-9 for k in best if k in rows)
+    due = [k for k in best if best[k] >= 0.8]
+    missed = [k for k in due if k not in rows and not any(i == k[0] for i, _ in rows)]
+    assert len(due) > 50 and len(missed) <= 0.05 * len(due)
+
+
 def test_patience():
     rng = random.Random(4)
     for _ in range(200):
