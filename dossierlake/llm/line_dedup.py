@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as X
-from .store import materialize, small_batches
+from .store import discard, materialize, small_batches
 
 MIN_WORDS = 50
 
@@ -264,6 +264,8 @@ def _run_spans(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     found = each.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set("one").alias("found"))
     met = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
     places = materialize(_taken_apart(met, size), "places")
+    for table in (anchors, known, first):
+        discard(table)
     runs = _firsts(places.where("h is not null"), ("k", "h"), "nth", "runs")
     runs = runs.where(~_own() | (F.col("nth") - F.col("first.nth") >= size)).withColumn("keep", F.col("first.doc_id"))
     cut = places.where("h is null").select("doc_id", "tag", "nth", "many", "start", "end", "keep").unionByName(runs.select("doc_id", "tag", "nth", "many", "start", "end", "keep"))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .components import components
-from .store import materialize, small_batches
+from .store import discard, materialize, small_batches
 
 #: The global order knows at most so many frequent shingles; the order decides speed, not results.
 #: Tiles of frequent shingles that it does not know are split by their true sizes.
@@ -97,6 +97,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     found = total.where(level > p).toPandas()
     h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
     order = np.argsort(h)
+    discard(total)
     return h[order], c[order]
 
 
@@ -243,7 +244,7 @@ def _test_bits(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[np.ndarra
 
 
 def _linked(pairs: DataFrame, features: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    """The pairs (a, b) whose exact similarity reaches the threshold, written; ``pairs`` goes."""
     spark = docs.sparkSession
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     needed = materialize(features.select("row", F.col("_id").alias("_nid"), F.col("_tag").alias("_ntag")).join(rows, "row", "left_semi"), "needed")
@@ -273,7 +274,10 @@ def _linked(pairs: DataFrame, features: DataFrame, docs: DataFrame, k: int, perc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     small_batches(spark)
-    return both.select("a", "b", "xa", "xb").mapInArrow(intersect, "a long, b long").distinct()
+    out = materialize(both.select("a", "b", "xa", "xb").mapInArrow(intersect, "a long, b long").distinct(), "links")
+    for table in (needed, sets, pairs):
+        discard(table)
+    return out
 
 
 def _band(n: np.ndarray) -> np.ndarray:
@@ -298,7 +302,7 @@ def _split(part: np.ndarray, row: np.ndarray, cluster: np.ndarray, leader: np.nd
 
 
 def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: int, frequent) -> DataFrame:
-    """Pairs (a, b) of unconnected documents that share a tile; entries: row, n, prefix, cluster (null: alone)."""
+    """Pairs (a, b) of unconnected documents that share a tile, written; entries: row, n, prefix, cluster (null: alone)."""
     reach = int(np.ceil(np.log(100 / percent) / np.log(1.1))) + 1
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +405,9 @@ def _candidates(entries: DataFrame, features: DataFrame, percent: int, groups: i
     found = scattered.groupBy("g").applyInArrow(mixed, "leader long, row long, cluster long, tiles binary")
     rows = materialize(found.groupBy("leader", "row").agg(F.first("cluster").alias("cluster"), F.collect_list("tiles").alias("tiles")), "mixed")
     signed = rows.join(features.select("row", "n", "bits"), "row").withColumn("h", F.pmod(F.xxhash64("leader"), F.lit(4 * groups)))
-    return signed.groupBy("h").applyInArrow(meet, "a long, b long").distinct()
+    out = materialize(signed.groupBy("h").applyInArrow(meet, "a long, b long").distinct(), "candidates")
+    discard(rows)
+    return out
 
 
 def _met(tiles: list[np.ndarray], n: np.ndarray, cluster: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -455,21 +461,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = materialize(features.select("row", "keys").join(reps, "row", "left_semi").select("row", F.posexplode("keys").alias("j", "key")), "keyed")
     shared = materialize(keyed.groupBy(F.col("j").alias("pj"), F.col("key").alias("pkey")).agg(F.count("*").alias("c")).where("c > 1"), "shared")
     part = F.pmod(F.xxhash64("row", "j"), F.ceil(F.col("c") / TREE_ROWS))
-    keyed = keyed.join(shared, (F.col("key") == F.col("pkey")) & (F.col("j") == F.col("pj"))).select("j", "key", "row", part.alias("part"))
-    first = materialize(_linked(materialize(_tree_pairs(keyed.join(features.select("row", "n", "bits"), "row"), percent, 2 * partitions), "pairs"), features, docs, k, percent), "links")
+    some = keyed.join(shared, (F.col("key") == F.col("pkey")) & (F.col("j") == F.col("pj"))).select("j", "key", "row", part.alias("part"))
+    first = _linked(materialize(_tree_pairs(some.join(features.select("row", "n", "bits"), "row"), percent, 2 * partitions), "pairs"), features, docs, k, percent)
+    for table in (classes, keyed, shared):
+        discard(table)
     clusters = materialize(components(first), "clusters")
 
     # Second round: all tiles, across what is not connected yet.
     entries = features.select("row", "n", "prefix").join(reps, "row", "left_semi").join(clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")), "row", "left")
     total = features.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     groups = max(MIN_GROUPS, int(total / GROUP_ENTRIES))
-    second = materialize(_linked(materialize(_candidates(entries, features, percent, groups, frequent), "candidates"), features, docs, k, percent), "links")
+    second = _linked(_candidates(entries, features, percent, groups, frequent), features, docs, k, percent)
+    discard(features)
 
     links = first.unionByName(second)
     roots = materialize(components(links), "roots")
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = materialize(roots.join(degrees, "node", "left"), "known")
+    for table in (first, second, clusters, roots):
+        discard(table)
     placed = materialize(members.join(known, F.col("rep") == F.col("node"), "left").select("_id", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
+    for table in (members, known):
+        discard(table)
     # Rows alone in their component need no join.
     least = materialize(placed.groupBy(F.col("root").alias("r")).agg(F.min("_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c"), "least")
     return placed.join(least, F.col("root") == F.col("r"), "left").select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), "n_links")
