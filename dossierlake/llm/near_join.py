@@ -57,7 +57,7 @@ TILE_SIDE = 4096
 GROUP_ENTRIES = 1_000_000
 MIN_GROUPS = 6
 #: Rows of one spanning tree.
-TREE_ROWS = 256
+TREE_ROWS = 64
 _FLUSH = 2_000_000
 
 
