@@ -208,7 +208,9 @@ def _meet(tiles: DataFrame, q: DataFrame, x: DataFrame, k: int, turns) -> DataFr
     # Candidates are repeated for each query block, query blocks joined last.
     side = x.select(F.col("block").alias("xb"), "dim", F.col("ids").alias("x_ids"), F.col("vectors").alias("xv"), F.col("kind").alias("xk"))
     own = q.select(F.col("block").alias("qb"), "ids", "vectors", "kind", least.alias("least"))
-    met = tiles.select("qb", "xb").join(side, "xb").join(own, "qb").select("dim", "ids", "vectors", "kind", "least", "x_ids", "xv", "xk")
+    # Tiles are few bytes and much work, so they are dealt out by number; where blocks are broadcast, that holds.
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = tiles.select("qb", "xb").repartition(parts).join(side, "xb").join(own, "qb").select("dim", "ids", "vectors", "kind", "least", "x_ids", "xv", "xk")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
