@@ -6,6 +6,9 @@ are checked independently; see ``windows`` for the row before.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,21 @@ def verify_chain(log: DataFrame, detail: str = "detail") -> DataFrame:
     return rows.agg(F.min(F.when(~good, F.col("id"))).alias("broken_at")).select(F.col("broken_at").isNull().alias("intact"), "broken_at")
 
 
+def kept_for(seconds: float, work: Callable[[], object], clock: Callable[[], float] = time.monotonic) -> Callable[[], object]:
+    """``work`` that is run again only when its last result is older; a failure is not kept.
+
+    For the verdict on a whole log, which many views ask for.
+    """
+    last: list = []
+
+    def ask() -> object:
+        if not last or clock() - last[0] >= seconds:
+            last[:] = [clock(), work()]
+        return last[1]
+
+    return ask
+
+
 def verify_log(log: DataFrame) -> DataFrame:
     """One row for a JSON-lines log: ``valid, records, broken_at_seq, head``; seq must count from 1."""
     numbered = log.withColumn("_line", F.monotonically_increasing_id())

@@ -403,3 +403,31 @@ def test_glyph_decoding(spark):
     assert got[0].g.text == "AAB" and len(got[0].two.text) == 2 and [a.glyph for a in got[0].alt] == ["A", "4", "0"] and got[1].g.text is None
     zone = F.struct(F.lit(True).alias("valid_format"), F.lit(False).alias("overall_check_digit_valid"), F.create_map(F.lit("a"), F.lit(True), F.lit("b"), F.lit(False), F.lit("passport_number"), F.lit(True)).alias("check_digits"))
     assert spark.range(1).select(M.zone_score(zone, F.lit(0.8)).alias("s")).first().s == 40.0
+
+
+def test_synthetic_documents(spark):
+    """Alike for one seed, sound zones, and every changed field found by the rules."""
+    from dossierlake.sources import synthetic as SY
+
+    first, again, other = (SY.documents(spark, 150, seed).collect() for seed in (7, 7, 8))
+    assert first == again != other and {r.format for r in first} == {"TD3", "MRVA", "TD1", "TD2"}
+    sound = spark.createDataFrame(SY.with_zone_lines(SY.documents(spark, 150, 7), "TD3").collect())
+    forged = SY.tampered(sound, 7, 0.8).withColumn("mrz", M.parse_mrz("lines"))
+    forged = spark.createDataFrame(forged.collect(), forged.schema)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    none = F.lit(None).cast("string")
+    viz = F.struct("document_number", "surname", "given_names", "nationality", F.col("nationality").alias("issuing_state"), "sex", iso("date_of_birth"), iso("date_of_expiry"), iso("date_of_issue"), *[none.alias(c) for c in S.FIELDS[9:]])
+    records = forged.select("id", "tampering", "document_type", viz.alias("viz_fields"), "mrz", F.lit(None).cast("map<string,double>").alias("viz_confidences"), F.lit(None).cast("array<date>").alias("printed_dates"), F.lit(None).cast("date").alias("entry_date"), F.lit(True).alias("mrz_read_reliable"), F.lit(None).cast("int").alias("prior_entries"), F.lit(None).cast("int").alias("intended_stay_days"))
+    today = F.lit("2026-01-01").cast("date")
+    records = records.withColumn("fields", S.merge_fields(F.col("mrz"), F.col("viz_fields"), today)[0])
+    got = S.validate(records, today).select("id", "tampering", F.col("mrz.overall_check_digit_valid").alias("sound"), F.exists("checks", lambda c: (c["category"] == "consistency") & (c["status"] != "PASS")).alias("found")).collect()
+    assert all(r.sound for r in got) and {r.tampering for r in got} == {None, *SY.TAMPERINGS}
+    assert all(r.found == (r.tampering is not None) for r in got)
+
+
+def test_verdict_is_kept(spark):
+    now, runs = [0.0], []
+    ask = A.kept_for(30, lambda: runs.append(1) or len(runs), lambda: now[0])
+    assert [ask(), ask()] == [1, 1]
+    now[0] = 30.0
+    assert ask() == 2
