@@ -57,11 +57,16 @@ def search_by_index(t: Tables):
     return index.where(F.col("token").isin("of", "the", "that")).groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 3").select("doc_id")
 
 
-@query()
+@query("""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents
+  WHERE list_contains(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), 'that')),
+m AS (SELECT doc_id, w, list_transform(w, lambda x: list_contains(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}]+'), 'that')) AS hit FROM d),
+p AS (SELECT *, greatest(0, least(list_position(hit, true) - 10, len(w) - 18)) AS a FROM m)
+SELECT doc_id, array_to_string(list_transform(range(a + 1, least(a + 18, len(w)) + 1), lambda i: CASE WHEN hit[i] THEN '<b>' || w[i] || '</b>' ELSE w[i] END), ' ') AS headline FROM p""")
 def search_headlines(t: Tables):
     """Fragments around the first hit."""
-    words = X.tokens(F.col("text"))
-    return t.documents.where(F.array_contains(words, "that")).select("doc_id", X.headline(F.col("text"), ["that"]).alias("headline"))
+    return t.documents.where(X.has_all_words(F.col("text"), ["that"])).select("doc_id", X.headline(F.col("text"), ["that"]).alias("headline"))
 
 
 @query(f"SELECT o.o_orderkey, o.o_totalprice FROM orders o JOIN {ASSIGNED} a ON a.case_id = o.o_orderkey WHERE a.user_id = 7 ORDER BY o.o_orderdate DESC, o.o_orderkey LIMIT 25")
