@@ -52,7 +52,8 @@ def _encoder(vocabulary: str, ranks: str):
     """A function text -> uint32 ids, equal to those of the tokenizers library.
 
     tiktoken merges the same vocabulary several times faster.  Texts that spell
-    the special token go through tokenizers itself, which maps it to its id.
+    the special token go through tokenizers itself, which maps it to its id, and
+    so do texts with a run too long for the pattern of tiktoken, some 900,000 blanks.
     """
     key = (vocabulary, ranks)
     if key not in _ENCODERS:
@@ -67,13 +68,16 @@ def _encoder(vocabulary: str, ranks: str):
         slow: list = []
 
         def encode(text: str) -> np.ndarray:
-            if SPECIAL in text:
-                if not slow:
-                    from tokenizers import Tokenizer
-
-                    slow.append(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
-                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
-            return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+            if SPECIAL not in text:
+                try:
+                    return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+                except ValueError:  # its pattern gave up
+                    pass
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
         _ENCODERS[key] = encode
     return _ENCODERS[key]
