@@ -73,6 +73,27 @@ def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_tree import chat_trees, read_back
+
+    probe = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(chat_trees(rows), in_order=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -84,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_bayes": op10_quality_bayes,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_chat_prefix_tree": op13_chat_prefix_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +165,60 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY norm ORDER BY cp DESC, doc_id) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM n""",
+    "op11_phrase_mining": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+        g AS (
+            SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+            UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM p
+            UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM p),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+        w AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        c AS (SELECT *, unnest(range(1, k)) AS cut FROM w),
+        s AS (
+            SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+            FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM w WHERE k = 3),
+        m AS (SELECT lang, phrase, max(a) AS a FROM i GROUP BY ALL),
+        x AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE m.a IS NULL OR 100 * m.a < 50 * b.a),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM x)
+        SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
+    "op12_importance_resampling": r"""
+        WITH t AS (
+            SELECT list(c ORDER BY i) AS tab
+            FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+        d AS (
+            SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (
+            SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM d),
+        u AS (SELECT side, doc_id, unnest(w) AS word FROM w),
+        e AS (SELECT word, list_transform(range(0, octet_length(encode(word))), lambda j: CAST('0x' || substr(hex(encode(word)), 2 * j + 1, 2) AS BIGINT)) AS bytes FROM (SELECT DISTINCT word FROM u)),
+        h AS (SELECT word, xor(list_reduce(bytes, lambda c, b: xor(tab[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM e, t),
+        k AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM u JOIN h USING (word) GROUP BY bucket),
+        z AS (SELECT sum(s) AS s, sum(t) AS t FROM k),
+        g AS (SELECT bucket, CAST(floor(1000 * ln((k.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE / ((k.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM k, z),
+        x AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM u JOIN h USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY doc_id),
+        y AS (
+            SELECT documents.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
+        SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank
+        FROM y LEFT JOIN r ON r.doc_id = y.doc_id""",
+    "op13_chat_prefix_tree": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (
+            SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|turn|><|text|><|end|>') AS size FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(size) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }

@@ -8,9 +8,11 @@ bytes of the batch; no Python object is made for a word.  All hashes are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -75,10 +77,14 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, words per document) of the maximal runs without white space."""
-    n = len(data)
+    return runs(~SPACE[data], offsets)
+
+
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, runs per document) of the maximal solid runs; none reaches over the edge of a document."""
+    n = len(solid)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    solid = ~SPACE[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = solid[:-1]
@@ -147,3 +153,57 @@ def lowered_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
         part = LOWER[data[offsets[a] : offsets[b]]]
         starts, ends, counts = word_spans(part, offsets[a : b + 1] - offsets[a])
         yield a, b, part, starts, ends, span_hashes(part, starts, ends), counts
+
+
+@dataclass
+class CodedWords:
+    """The words of a step of documents, as places in the list of its distinct words."""
+
+    first: int  #: The first document of the step,
+    last: int  #: and the one after its last.
+    counts: np.ndarray  #: Words of each document.
+    doc: np.ndarray  #: The document of each word, from 0 at ``first``.
+    piece: np.ndarray  #: Equal for the words of one piece of one document.
+    codes: np.ndarray  #: The place of each word among the distinct ones.
+    distinct: pa.Array  #: The distinct words, as bytes.
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        _, at, data = self.distinct.buffers()
+        offsets = np.frombuffer(at, np.int64)[: len(self.distinct) + 1]
+        own = span_hashes(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], offsets[1:])
+        return own[self.codes]
+
+    def spelled(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases of n words that begin at the words ``at``, joined by spaces."""
+        parts = [self.distinct.take(pa.array(self.codes[at + j])) for j in range(n)]
+        out = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+        return pa.Array.from_buffers(pa.large_string(), len(out), out.buffers()).cast(pa.string())
+
+    def distinct_phrases(self, at: np.ndarray, n: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a first place, which of them each place has, count) of the distinct phrases of n words at ``at``, by group; no hash decides."""
+        size = max(1, len(self.distinct))
+        key = self.codes[at].astype(np.int64)
+        if group is not None:
+            key += group[at].astype(np.int64) * size
+        for j in range(1, n):
+            key = np.unique(key, return_inverse=True)[1] * size + self.codes[at + j]
+        _, first, which, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        return at[first], which, count
+
+
+def coded_words(column: pa.Array, kind: np.ndarray) -> Iterator[CodedWords]:
+    """The words of each step of documents, A-Z lower-cased; ``kind`` of a byte is 0 in a word, 1 between words, 2 between pieces."""
+    data, offsets = buffer_of(column)
+    for a, b in steps(offsets):
+        part, at = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+        sorts = kind[part]
+        solid = sorts == 0
+        starts, ends, counts = runs(solid, at)
+        doc = np.repeat(np.arange(b - a), counts)
+        stops = np.cumsum(sorts == 2, dtype=np.int64)
+        edges = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=edges[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(part[solid])])
+        coded = words.dictionary_encode()
+        yield CodedWords(a, b, counts, doc, doc + (stops[starts] if len(starts) else 0), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
