@@ -286,3 +286,56 @@ def headline(text: Column, query: list[str], words: int = 18) -> Column:
         return texts.map(one)
 
     return cut(text)
+
+
+def fragments(text: Column, query: list[str], most: int = 2, longest: int = 18, shortest: int = 5) -> Column:
+    """Up to ``most`` fragments of at most ``longest`` words, hits marked, joined by `` ... ``.
+
+    A window begins and ends with a hit.  Those with more of the query's words come
+    first, then shorter, then earlier ones; each further fragment shares no word
+    with those taken.  In the order of the text they are then widened to ``longest`` words, first
+    half to the left, up to their neighbours.  Without a hit: the first ``shortest`` words.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    wanted = F.array(*map(F.lit, query)) if query else F.array().cast("array<string>")
+    # Each step is bound to a variable of a lambda, so that it is computed once.
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    struct = lambda **c: F.struct(*[x.alias(k) for k, x in c.items()])
+
+    def windows(own: Column) -> Column:
+        def from_hit(i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(i + longest - 1, F.size(own) - 1)), lambda j: F.size(F.get(own, j)) > 0)
+            return F.transform(ends, lambda j: struct(missing=-F.size(F.array_distinct(F.flatten(F.slice(own, i + 1, j - i + 1)))), words=j - i + 1, a=i, b=j))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.size(F.get(own, i)) > 0)
+        return F.flatten(F.transform(starts, from_hit))
+
+    def chosen(found: Column, taken: Column, left: int) -> Column:
+        if not left:
+            return F.array_sort(F.transform(taken, lambda w: struct(a=w["a"], b=w["b"])))
+        free = F.filter(found, lambda w: ~F.exists(taken, lambda t: (w["a"] <= t["b"]) & (t["a"] <= w["b"])))
+        return bind(F.concat(taken, F.slice(F.array_sort(free), 1, 1)), lambda more: chosen(found, more, left - 1))
+
+    def cut(parts: Column, own: Column, spans: Column) -> Column:
+        def widen(done: Column, k: Column) -> Column:
+            now, after = F.get(spans, k), F.get(spans, k + 1)
+            low = F.coalesce(F.get(done, F.size(done) - 1)["b"] + 1, F.lit(0))
+            high = F.coalesce(after["a"] - 1, F.size(parts) - 1)
+            room = longest - (now["b"] - now["a"] + 1)
+            a = F.greatest(low, now["a"] - F.floor(room / 2).cast("int"))
+            return F.concat(done, F.array(struct(a=a, b=F.least(high, a + longest - 1))))
+
+        def shown(span: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(span["a"], span["b"]), lambda i: F.when(F.size(F.get(own, i)) > 0, F.concat(F.lit("<b>"), F.get(parts, i), F.lit("</b>"))).otherwise(F.get(parts, i))), " ")
+
+        wide = F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), F.array().cast("array<struct<a:int,b:int>>"), widen)
+        return F.array_join(F.transform(wide, shown), " ... ")
+
+    def laid(parts: Column) -> Column:
+        own = F.transform(parts, lambda w: F.array_intersect(tokens(w), wanted))
+        none = F.array().cast("array<struct<missing:int,words:int,a:int,b:int>>")
+        some = bind(own, lambda o: bind(windows(o), lambda found: bind(chosen(found, none, most), lambda spans: cut(parts, o, spans))))
+        hit = F.exists(parts, lambda w: F.size(F.array_intersect(tokens(w), wanted)) > 0)
+        return F.when(hit, some).otherwise(F.array_join(F.slice(parts, 1, shortest), " "))
+
+    return F.when(text.isNotNull(), bind(words, laid))
