@@ -42,8 +42,9 @@ def first_claims(jobs: DataFrame, asks: DataFrame) -> DataFrame:
     # The k-th job goes to the first request with k jobs taken: it follows all with fewer.
     served = both.where("_kind = 2").select("queue", F.col("_taken").alias("_k"), F.struct("at", "worker").alias("_ask"), F.lit(1).alias("_side"), F.lit(None).cast(jobs.schema["id"].dataType).alias("id"))
     waiting = both.where("_kind = 1").select("queue", F.col("_jobs").alias("_k"), F.lit(None).cast(served.schema["_ask"].dataType).alias("_ask"), F.lit(0).alias("_side"), "id")
-    after = Window.partitionBy("queue").orderBy("_k", "_side", "_ask.at", "_ask.worker", "id").rowsBetween(1, Window.unboundedFollowing)
-    met = waiting.unionByName(served).withColumn("_by", F.first("_ask", ignorenulls=True).over(after)).where("_side = 0")
+    # Read backwards, so that the window only ever grows.
+    after = Window.partitionBy("queue").orderBy(F.desc("_k"), F.desc("_side"), F.desc("_ask.at"), F.desc("_ask.worker"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    met = waiting.unionByName(served).withColumn("_by", F.last("_ask", ignorenulls=True).over(after)).where("_side = 0")
     return met.select("queue", "id", F.col("_by.worker").alias("worker"), F.col("_by.at").alias("claimed_at"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import queues as Q
 from ..operators import relational as R
 from .registry import Tables, query
 
@@ -377,3 +378,38 @@ def officers_by_case(t: Tables):
 @query("SELECT doc_id FROM documents WHERE length(regexp_replace(coalesce(text, ''), '[\\s]+', '', 'g')) >= 20")
 def useful_text(t: Tables):
     return t.documents.where(X.is_useful(F.col("text"))).select("doc_id")
+
+
+#: Events as a queue of work: purchases are jobs, clicks ask for one to three of them.
+_KEY = "user_id % 20"
+
+
+@query(f"""
+WITH RECURSIVE j AS (SELECT {_KEY} AS q, event_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, event_id) AS k, ts FROM events WHERE event_type = 'purchase'),
+a AS (SELECT {_KEY} AS q, user_id, event_id % 3 + 1 AS n, ts, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, CAST(user_id AS VARCHAR)) AS r FROM events WHERE event_type = 'click'),
+s AS (SELECT a.*, (SELECT count(*) FROM j WHERE j.q = a.q AND j.ts <= a.ts) AS there FROM a),
+c AS (
+  SELECT q, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS before, CAST(0 AS BIGINT) AS taken FROM (SELECT DISTINCT q FROM s)
+  UNION ALL SELECT c.q, s.r, c.taken, CAST(least(c.taken + s.n, s.there) AS BIGINT) FROM c JOIN s ON s.q = c.q AND s.r = c.r + 1)
+SELECT j.event_id AS job, CAST(s.user_id AS VARCHAR) AS worker, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS claimed_at
+FROM j LEFT JOIN c ON c.q = j.q AND j.k > c.before AND j.k <= c.taken LEFT JOIN s ON s.q = c.q AND s.r = c.r""")
+def claimed_jobs(t: Tables):
+    """Each job with the request that claims it, oldest first within its queue."""
+    queue = F.expr(_KEY).cast("string").alias("queue")
+    jobs = t.events.where("event_type = 'purchase'").select(queue, F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    asks = t.events.where("event_type = 'click'").select(queue, F.col("user_id").alias("worker"), F.col("ts").alias("at"), (F.col("event_id") % 3 + 1).cast("int").alias("n"))
+    return Q.first_claims(jobs, asks).select(F.col("id").alias("job"), "worker", F.date_format("claimed_at", "yyyy-MM-dd HH:mm:ss").alias("claimed_at"))
+
+
+def work_events(t: Tables):
+    """The events as jobs, requests and reports: a view is a report on the purchase before it."""
+    kind = F.when(F.col("event_type") == "purchase", "job").when(F.col("event_type") == "click", "ask").otherwise(F.when(F.col("event_id") % 5 == 0, "failed").otherwise("done"))
+    e = t.events.select(F.expr(_KEY).cast("string").alias("queue"), F.col("ts").alias("at"), kind.alias("kind"), "event_id", (F.col("user_id") % 40).cast("string").alias("worker"))
+    before = F.last(F.when(F.col("kind") == "job", F.col("event_id")), ignorenulls=True).over(Window.partitionBy("queue").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return e.select("queue", "at", "kind", F.when(F.col("kind") != "ask", before.cast("string")).alias("id"), "worker", F.when(F.col("kind") == "ask", (F.col("event_id") % 3 + 1).cast("int")).alias("n"))
+
+
+@query()
+def leased_jobs(t: Tables):
+    """What happens to each job under leases of a day and three attempts."""
+    return Q.leased(work_events(t), minutes=24 * 60, until="2100-01-01")

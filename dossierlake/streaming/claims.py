@@ -109,7 +109,8 @@ def claims_stream(events: DataFrame, minutes: float = 15, most: int = 3, clock:
 
     By default times are those of the events, which need a watermark; late events are taken at their own time as
     they come.  ``clock`` uses processing time for claims and leases; then jobs can be remembered for
-    ``remembered_minutes``, so that one delivered twice is added once.
+    ``remembered_minutes``, so that one delivered twice is added once; such a stream keeps looking at its clock, so
+    it needs a trigger by time, as one that is to end with its input (``availableNow``) would not.
     Needs the session's state store to be RocksDB (``PROVIDER``).
     """
     if remembered_minutes and not clock:
