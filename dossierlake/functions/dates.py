@@ -10,7 +10,7 @@ import re
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import arrow_function
@@ -57,12 +57,23 @@ def read_date(text: str | None) -> date | None:
 
 
 def clean_date(text: Column) -> Column:
-    """Dates printed without confusions, by built-in functions alone."""
+    """Dates printed without confusions, by built-in functions alone.
+
+    Each form is asked only for what it can read, as a failed attempt is dear.
+    """
     value = F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    iso = F.regexp_replace(value, "[/. ]", "-")
-    forms = [F.try_to_date(iso, "yyyy-M-d"), F.try_to_date(iso, "d-M-yyyy"), F.try_to_date(F.initcap(F.lower(F.regexp_replace(value, "[-/.]", " "))), "d MMM yyyy")]
-    found = F.coalesce(*forms)
-    return F.when(F.year(found).between(*YEARS), found)
+
+    def read(value: Column) -> Column:
+        iso, named = F.regexp_replace(value, "[/. ]", "-"), F.regexp_replace(value, "[-/.]", " ")
+        found = (
+            F.when(iso.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(iso, "yyyy-M-d"))
+            .when(iso.rlike("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"), F.try_to_date(iso, "d-M-yyyy"))
+            .when(named.rlike("^[0-9]{1,2} [A-Z]{3} [0-9]{4}$"), F.try_to_date(F.initcap(F.lower(named)), "d MMM yyyy"))
+        )
+        return F.transform(F.array(found), lambda d: F.when(F.year(d).between(*YEARS), d))
+
+    # Bound to variables of lambdas, so that nothing is computed twice.
+    return F.get(F.flatten(F.transform(F.array(value), read)), F.lit(0))
 
 
 @arrow_function("date")
@@ -74,7 +85,25 @@ def parse_date(text: Column | str) -> Column:
     """The first readable date; only texts that are no clean date go to Python."""
     text = F.col(text) if isinstance(text, str) else text
     clean = clean_date(text)
-    return F.when(clean.isNotNull(), clean).otherwise(_read(F.when(clean.isNull(), text)))
+    return F.coalesce(clean, _read(F.when(clean.isNull() & text.rlike("[0-9A-Za-z]"), text)))
+
+
+def with_dates(rows: DataFrame, **texts: Column) -> DataFrame:
+    """Rows with a date column for each text.
+
+    Clean dates are read in a projection of their own; Python sees only the
+    texts that are left, in one batch for all columns.
+    """
+    kept = rows.columns
+    clean = rows.withColumns({f"_clean_{k}": clean_date(v) for k, v in texts.items()} | {f"_text_{k}": v for k, v in texts.items()})
+    left = {k: F.when(F.col(f"_clean_{k}").isNull() & F.col(f"_text_{k}").rlike("[0-9A-Za-z]"), F.col(f"_text_{k}")) for k in texts}
+    read = clean.withColumn("_read", _read_all(F.array(*left.values())))
+    return read.select(*kept, *[F.coalesce(f"_clean_{k}", F.get("_read", F.lit(i))).alias(k) for i, k in enumerate(texts)])
+
+
+@arrow_function("array<date>")
+def _read_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda some: [None if x is None else read_date(x) for x in some])
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
