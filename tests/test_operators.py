@@ -431,3 +431,16 @@ def test_verdict_is_kept(spark):
     assert [ask(), ask()] == [1, 1]
     now[0] = 30.0
     assert ask() == 2
+
+
+def test_rules_are_not_copied_into_each_other(spark):
+    row = ("s", "visa", EMPTY, EMPTY, ZONE, {}, None, None, True, None, None, EMPTY)
+    for companion in (None, "other"):
+        found = S.check_rows(S.validate(spark.createDataFrame([row], RECORD), today(), companion), "screening_id")
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_coverage_of_nothing(spark):
+    context = spark.createDataFrame([("a", 80.0, False, False, None)], "screening_id string, capture_quality double, mrz_expected boolean, mrz_verified boolean, face_checked boolean")
+    none = spark.createDataFrame([], "screening_id string, ordinal int, category string, severity string, code string, message string, source string, status string")
+    assert S.risk(none, context).first().assessment_coverage == 100.0
