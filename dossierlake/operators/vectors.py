@@ -2,45 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BLOCK = 2048
+PIVOTS = 16
+#: More than the rounding of an angle.
+SLACK = 1e-6
+PACKED = "own long, ids binary, v binary, low array<double>, high array<double>"
 
 
-def similar_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs whose cosine reaches ``threshold``.
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
-    Vectors are dealt to blocks of bounded size; each pair of blocks is a tile that
-    one matrix product settles, and only pairs over the threshold leave it.
-    """
+
+def blocks_of(vectors: DataFrame, id_col: str, vector_col: str, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """``own, ids, v, low, high``: vectors with the same nearest pivot, in blocks of bounded size, with the least and greatest angle to each pivot."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where("v is not null")
-    n = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)))
+    # At most ``pivots`` vectors reach the driver; any will do.
+    chosen = [r[0] for r in rows.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(pivots).select("v").collect()]
+    centres = _unit(np.array(chosen, float)) if chosen else np.zeros((0, 1))
+    # Few vectors need few cells.
+    homes = max(1, min(pivots, rows.count() // block))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+                cell = (_unit(x) @ centres[:homes].T).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64())], ["id", "v", "cell"])
+
+    cells = rows.mapInArrow(near, "id long, v array<double>, cell long")
+    # One number for each pivot.
+    parts = {c: -(-n // block) for c, n in cells.groupBy("cell").count().collect()}
+    of = F.create_map(*[F.lit(k).cast("long") for kv in parts.items() for k in kv]) if parts else F.create_map().cast("map<bigint,bigint>")
+    dealt = cells.withColumn("own", F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("id"), of[F.col("cell")]))
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.concatenate([c.flatten().to_numpy() for c in table.column("v").chunks]).reshape(len(table), -1)
+        angles = np.arccos(np.clip(_unit(x) @ centres.T, -1, 1))
+        data = [pa.array([b], pa.binary()) for b in (table.column("id").to_numpy().tobytes(), x.tobytes())]
+        return pa.table([table.column("own").combine_chunks()[:1], *data, pa.array([angles.min(0)]), pa.array([angles.max(0)])], ["own", "ids", "v", "low", "high"])
 
-    def pack(table):
-        flat = np.concatenate([c.values.to_numpy() for c in table.column("v").chunks])
-        return pa.table({"own": table.column("own")[:1], "ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), "v": pa.array([flat.tobytes()], pa.binary())})
+    return written(dealt.groupBy("own").applyInArrow(pack, PACKED), "blocks")
 
-    blocks = rows.groupBy("own").applyInArrow(pack, "own long, ids binary, v binary")
-    tiles = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).select("own", "ids", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def meet(table):
+def tiles_of(blocks: DataFrame, threshold: float) -> DataFrame:
+    """``i, j``, i <= j: the pairs of blocks that may hold a similar pair.
+
+    If two vectors are within an angle, so are their angles to any third.  Blocks
+    meet by bands of their angles to the first pivot; then all pivots must let them pass.
+    """
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+    width = max(reach, 0.01)
+    span = lambda a, b: F.sequence(F.floor(a / width), F.floor(b / width))
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(0.0))
+    a = blocks.select(F.col("own").alias("i"), F.col("low").alias("a0"), F.col("high").alias("a1"), F.explode(span(first("low"), first("high"))).alias("band"))
+    b = blocks.select(F.col("own").alias("j"), F.col("low").alias("b0"), F.col("high").alias("b1"), F.explode(span(first("low") - reach, first("high") + reach)).alias("band"))
+    apart = lambda x, y: F.exists(F.zip_with(x, y, lambda low, high: low - high), lambda gap: gap > reach)
+    met = a.join(b, "band").where((F.col("i") <= F.col("j")) & ~apart("a0", "b1") & ~apart("b0", "a1"))
+    return met.select("i", "j").distinct()
+
+
+def similar_pairs(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs whose cosine reaches ``threshold``.
+
+    Each pair of blocks that the angles to the pivots do not rule out is a tile, which
+    one matrix product settles; only pairs over the threshold leave it.
+    """
+    blocks = blocks_of(vectors, id_col, vector_col, block, pivots)
+    tiles = tiles_of(blocks, threshold)
+    sides = tiles.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    dealt = blocks.select("own", "ids", "v").join(sides, "own")
+
+    def meet(table: pa.Table) -> pa.Table:
         parts = []
         for ids, v in zip(table.column("ids"), table.column("v"), strict=True):
             ids = np.frombuffer(ids.as_buffer(), np.int64)
             x = np.frombuffer(v.as_buffer()).reshape(len(ids), -1)
             parts.append((ids, x, np.sqrt((x * x).sum(1))))
-        if len(parts) == 1 and table.column("i")[0].as_py() == table.column("j")[0].as_py():
-            parts *= 2
-        if len(parts) < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        (p, x, nx), (q, y, ny) = parts[:2]
+        alone = len(parts) == 1
+        (p, x, nx), (q, y, ny) = (parts * 2)[:2]
         s = x @ y.T / (nx[:, None] * ny[None, :] + 1e-9)
-        at = np.nonzero((s >= threshold) & ((p[:, None] < q[None, :]) | (table.column("i")[0].as_py() != table.column("j")[0].as_py())))
+        at = np.nonzero((s >= threshold) & ((p[:, None] < q[None, :]) | (not alone)))
         a, b = p[at[0]], q[at[1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s[at]})
 
-    return tiles.groupBy("i", "j").applyInArrow(meet, "a long, b long, similarity double")
+    return dealt.groupBy("i", "j").applyInArrow(meet, "a long, b long, similarity double")
