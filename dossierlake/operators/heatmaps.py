@@ -20,6 +20,10 @@ HEATMAP = (
 )
 LEAST_REGION = 0.0004
 BRIGHT, DARK = 235, 40
+# Side of a compressed block; skew is sought within MAX_SKEW degrees, first by coarse, then by fine steps.
+GRID = 8
+MAX_SKEW, COARSE_STEP, FINE_STEP, DEADBAND = 6.0, 1.5, 0.25, 1.5
+PROBE_WIDTH, WINDOW, INK = 420, 0.7, 128
 
 
 def box_means(p: np.ndarray, size: int) -> np.ndarray:
@@ -30,35 +34,64 @@ def box_means(p: np.ndarray, size: int) -> np.ndarray:
     return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
 
 
-def regions(mask: np.ndarray) -> list[np.ndarray]:
-    """Flat indices of the 8-connected regions of a mask."""
-    height, width = mask.shape
-    left = set(np.flatnonzero(mask).tolist())
-    out = []
-    while left:
-        todo, found = [left.pop()], []
-        while todo:
-            at = todo.pop()
-            found.append(at)
-            y, x = divmod(at, width)
-            for v in range(max(0, y - 1), min(height, y + 2)):
-                for u in range(max(0, x - 1), min(width, x + 2)):
-                    if (near := v * width + u) in left:
-                        left.remove(near)
-                        todo.append(near)
-        out.append(np.array(found))
-    return out
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end) of the runs of set pixels, row by row; ``end`` is one past the last."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edges == 1)
+    return row, first, np.nonzero(edges == -1)[1]
+
+
+def labels_of_runs(row: np.ndarray, first: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """For each run the number of the first run, in reading order, of its 8-connected region.
+
+    First pass: the runs of the row above that a run touches, a stretch of them, since
+    runs of a row are in order.  Second pass: roots of the runs that touch are joined
+    and paths are halved until nothing changes.
+    """
+    n, wide = len(row), width + 2
+    # A run touches those above that end at or behind its start and start at or before its end.
+    lo = np.searchsorted(row * wide + end, (row - 1) * wide + first, "left")
+    hi = np.searchsorted(row * wide + first, (row - 1) * wide + end, "right")
+    times = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(n), times)
+    above = np.arange(len(below)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+    root = np.arange(n)
+    while len(below):
+        a, b = root[below], root[above]
+        apart = a != b
+        below, above, a, b = below[apart], above[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    return root
+
+
+def regions(p: np.ndarray, limit: float = 0.5) -> pd.DataFrame:
+    """The 8-connected regions of pixels above ``limit``, in reading order: box, area, mean and peak of ``p``."""
+    row, first, end = runs(p > limit)
+    label, place = np.unique(labels_of_runs(row, first, end, p.shape[1]), return_inverse=True)
+    n = len(label)
+    x0, y0, x1, y1 = np.full(n, p.shape[1]), np.full(n, p.shape[0]), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for out, least, value in ((x0, True, first), (y0, True, row), (x1, False, end), (y1, False, row + 1)):
+        (np.minimum if least else np.maximum).at(out, place, value)
+    area = np.bincount(place, end - first, n).astype(np.int64)
+    # Sums along the rows, so that a run costs two look-ups.
+    sums = np.pad(p.astype(float).cumsum(1), ((0, 0), (1, 0)))
+    total = np.bincount(place, sums[row, end] - sums[row, first], n)
+    peak = np.full(n, -np.inf)
+    if n:
+        np.maximum.at(peak, place, np.maximum.reduceat(np.append(p.ravel(), 0.0), np.stack((row * p.shape[1] + first, row * p.shape[1] + end), 1).ravel())[::2])
+    return pd.DataFrame({"x0": x0, "y0": y0, "x1": x1, "y1": y1, "area": area, "mean": total / np.maximum(area, 1), "peak": peak})
 
 
 def heatmap_statistics(p: np.ndarray) -> dict[str, float]:
     """The twelve statistics of one heatmap of probabilities."""
     ranked = np.sort(p.ravel())[::-1]
-    found = regions(p > 0.5)
-    areas = np.array([len(r) for r in found] or [0])
-    largest = found[int(areas.argmax())] if found else None
+    found = regions(p)
+    areas = found["area"].to_numpy() if len(found) else np.zeros(1, np.int64)
     values = (
         box_means(p, 7).max(), box_means(p, 21).max(), ranked[:100].mean(), ranked[:1000].mean(), ranked[:10000].mean(), (p > 0.5).mean(), (p > 0.8).mean(), (p > 0.95).mean(),
-        areas.max() / p.size, p.ravel()[largest].mean() if largest is not None else 0.0, (areas / p.size > LEAST_REGION).sum(), p.mean(),
+        areas.max() / p.size, found["mean"].iloc[int(areas.argmax())] if len(found) else 0.0, (areas / p.size > LEAST_REGION).sum(), p.mean(),
     )
     return dict(zip(HEATMAP, map(float, values), strict=True))
 
@@ -68,11 +101,105 @@ def heatmap_features(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Statistics of a heatmap given row by row; null for no pixels or a width that does not divide them."""
     out = []
     for values, w in zip(pixels, width, strict=True):
-        good = values is not None and len(values) and pd.notna(w) and w > 0 and len(values) % int(w) == 0
-        out.append(heatmap_statistics(np.array(values, float).reshape(-1, int(w))) if good else dict.fromkeys(HEATMAP))
+        p = image(values, w)
+        out.append(dict.fromkeys(HEATMAP) if p is None else heatmap_statistics(p))
     return pd.DataFrame(out, columns=list(HEATMAP)).astype(float)
 
 
+def image(values, width) -> np.ndarray | None:
+    """The pixels of an image given row by row; None for no pixels or a width that does not divide them."""
+    good = values is not None and len(values) and pd.notna(width) and width > 0 and len(values) % int(width) == 0
+    return np.array(values, float).reshape(-1, int(width)) if good else None
+
+
+@arrow_function("array<struct<x0: long, y0: long, x1: long, y1: long, area: long, mean: double, peak: double>>")
+def heat_regions(pixels: pd.Series, width: pd.Series) -> pd.Series:
+    """Boxes of the regions that cover more than ``LEAST_REGION`` of a heatmap, in reading order; null where there is no image."""
+    out = []
+    for values, w in zip(pixels, width, strict=True):
+        p = image(values, w)
+        if p is None:
+            out.append(None)
+            continue
+        found = regions(p)
+        out.append(found[found["area"] / p.size > LEAST_REGION].to_dict("records"))
+    return pd.Series(out, dtype=object)
+
+
+def phase(steps: np.ndarray) -> tuple[int, float]:
+    """(phase, excess over the mean) of the strongest of the eight grid phases; steps[i] lies between pixels i and i + 1."""
+    excess = np.array([steps[k::GRID].mean() if len(steps) > k else -np.inf for k in range(GRID)]) - steps.mean()
+    return (int(excess.argmax()) + 1) % GRID, float(excess.max())
+
+
+@arrow_function("x long, y long, strength double, shifted boolean")
+def grid_phase(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Where the edges of compressed blocks lie in a grey image, and how far they stand out.
+
+    ``shifted``: the strongest phase is not the origin, as after a crop or a paste.
+    Null for an image of fewer than two rows or columns.
+    """
+    out = []
+    for values, w in zip(pixels, width, strict=True):
+        grey = image(values, w)
+        if grey is None or min(grey.shape) < 2:
+            out.append((None,) * 4)
+            continue
+        across, down = np.abs(np.diff(grey, axis=1)).mean(0), np.abs(np.diff(grey, axis=0)).mean(1)
+        (x, more_x), (y, more_y) = phase(across), phase(down)
+        out.append((x, y, max(more_x, more_y) / (across.mean() + down.mean() + 1e-6), (x, y) != (0, 0)))
+    return pd.DataFrame(out, columns=["x", "y", "strength", "shifted"]).astype({"x": "Int64", "y": "Int64", "strength": float, "shifted": "boolean"})
+
+
+def profile_variance(x: np.ndarray, y: np.ndarray, degrees: float, width: int, height: int) -> float:
+    """Variance of the ink in each row of a central window, after a turn; x and y are of ink, from the centre."""
+    t = np.deg2rad(degrees)
+    across, down = x * np.cos(t) - y * np.sin(t), x * np.sin(t) + y * np.cos(t)
+    inside = (np.abs(across) < width / 2) & (np.abs(down) < height / 2)
+    return float(np.bincount((down[inside] + height / 2).astype(np.int64), minlength=height)[:height].var())
+
+
+def turn_that_levels(grey: np.ndarray) -> float:
+    """The clockwise turn, in degrees, that makes the rows of a page level; 0 for pages too small to tell.
+
+    Lines of text that lie level give rows full of ink beside empty ones, so the variance
+    is greatest there.  Only ink is turned, not the image; every turn is seen through
+    one window, which no corner enters.
+    """
+    scale = min(1.0, PROBE_WIDTH / grey.shape[1])
+    height, width = (int(round(n * scale)) for n in grey.shape)
+    window = int(width * WINDOW), int(height * WINDOW)
+    if min(window) < 8:
+        return 0.0
+    y, x = np.nonzero(grey < INK)
+    if scale < 1:
+        # Ink where at least half of a probe's pixel is ink.
+        cells = np.bincount((y * scale).astype(np.int64).clip(0, height - 1) * width + (x * scale).astype(np.int64).clip(0, width - 1), minlength=height * width)
+        y, x = np.divmod(np.flatnonzero(cells * 2 * scale * scale >= 1), width)
+    x, y = x + 0.5 - width / 2, y + 0.5 - height / 2
+    best = 0.0
+    for reach, step in ((MAX_SKEW, COARSE_STEP), (COARSE_STEP, FINE_STEP)):
+        tried = np.arange(max(-MAX_SKEW, best - reach), min(MAX_SKEW, best + reach) + 1e-9, step)
+        scores = [profile_variance(x, y, a, *window) for a in tried]
+        # Of equal scores that nearest to level, so that an empty page is level.
+        best = float(min(zip(tried, scores, strict=True), key=lambda t: (-t[1], abs(t[0])))[0])
+    return round(best, 2)
+
+
+@arrow_function("angle double, turn double")
+def skew(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """``angle``: the turn that levels a grey page, in degrees; ``turn``: the same, or 0 where the page is level enough to be left.
+
+    Null where there is no image.
+    """
+    out = []
+    for values, w in zip(pixels, width, strict=True):
+        grey = image(values, w)
+        angle = None if grey is None else turn_that_levels(grey)
+        out.append((angle, None if angle is None else angle if abs(angle) >= DEADBAND else 0.0))
+    return pd.DataFrame(out, columns=["angle", "turn"]).astype(float)
+
+
 @arrow_function("local_contrast_p10 double, saturated_blocks double, dark_blocks double, min_side double")
 def block_features(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
     """Contrast and extremes over an 8 by 8 grid of a grey image; null if it is smaller than that."""
