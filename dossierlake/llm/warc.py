@@ -16,6 +16,10 @@ The work is one pass over the rows without a shuffle.
 Defined results
   * null html: an empty payload; its conversion record has an empty block.
   * codings or charsets that are unknown or broken: the bytes are read as they are.
+  * damaged archives: the records before a fault are read, then those from the next
+    gzip member (or, uncompressed, the next line that begins a record) on;
+    ``archive_faults`` lists the faults.  A file that is no archive is one fault.
+  * line breaks and other control characters in header values: blanks.
   * null url: no target URI.  Broken markup: what is no tag counts as text.
   * very long pages: whole.  Repeated rows: each yields its records, with equal ids.
   * empty table: an empty result.  Extra columns but those of ``RESPONSE`` are ignored.
@@ -27,11 +31,11 @@ import base64
 import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,7 @@ from .store import small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_MAGIC = b"\x1f\x8b"
 _ID = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^<>\s]+>")
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 
@@ -48,6 +53,7 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _REST = re.compile(r"</?[a-zA-Z][^<>]*>")
+_CONTROL = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]+")
 _BLANKS = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -55,6 +61,8 @@ _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+#: Bytes of an archive read at once, and of a header line at most.
+_PIECE, _LINE = 1 << 16, 1 << 20
 #: Characters of pages that one batch of records holds, about.
 _HELD = 16_000_000
 
@@ -87,6 +95,11 @@ def one_line(value: str) -> str:
     return " ".join(html.unescape(value).split())
 
 
+def flat(value: str) -> str:
+    """``value`` without control characters, so that it stays within its header field."""
+    return _CONTROL.sub(" ", value)
+
+
 def header_lines(head: str) -> list[tuple[str, str]]:
     """(name, value) of each header line; a folded line belongs to the one before."""
     out: list[tuple[str, str]] = []
@@ -103,7 +116,7 @@ def derive(source_id: str, uri: str | None, source_headers: list[tuple[str, str]
     """(kind, content type, block) of the records derived from one response."""
     title, language = _TITLE.search(payload), _LANG.search(payload)
     fields = [("title", one_line(title[1]) if title else ""), ("language", language[1] if language else "")]
-    fields += [(f"source-{name.lower()}", value) for name, value in source_headers]
+    fields += [(flat(f"source-{name.lower()}"), flat(value)) for name, value in source_headers]
     fields += [("outlink", one_line(a or b or c)) for a, b, c in _LINK.findall(payload)]
     block = "".join(f"{name}: {value}\r\n" for name, value in fields if value or name.startswith("source-"))
     return [("metadata", "application/warc-fields", block), ("conversion", "text/plain; charset=utf-8", plain_text(payload))]
@@ -143,24 +156,121 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def to_bytes(headers: list[tuple[str, str]], block: bytes, compress: bool = True) -> bytes:
     """One WARC/1.0 record; compressed, it is a gzip member of its own."""
-    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
+    head = "WARC/1.0\r\n" + "".join(f"{flat(k)}: {flat(v)}\r\n" for k, v in headers) + f"Content-Length: {len(block)}\r\n\r\n"
     data = head.encode() + block + b"\r\n\r\n"
     return gzip.compress(data, mtime=0) if compress else data
 
 
-def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file, compressed or not."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
+class Fault(NamedTuple):
+    """Where an archive is damaged: the offset in the file of the member or record that could not be read, and why."""
+
+    at: int
+    what: str
+
+
+class _Reader:
+    """Records of an archive from an offset on, read no further than each needs."""
+
+    def __init__(self, data: bytes, at: int, packed: bool):
+        self.data, self.at, self.packed = memoryview(data), at, packed
+        self.held, self.member, self.began = bytearray(), None, at
+
+    def more(self) -> bool:
+        if self.member is None and self.at >= len(self.data):
+            return False
+        if self.packed and self.member is None:
+            self.began = self.at
+            if self.data[self.at : self.at + 2] != _MAGIC:
+                # Files may be filled up with zeros.
+                if not bytes(self.data[self.at :]).strip(b"\0"):
+                    self.at = len(self.data)
+                    return False
+                raise ValueError("bytes that are no gzip member")
+            self.member = zlib.decompressobj(31)
+        piece = self.data[self.at : self.at + _PIECE]
+        self.at += len(piece)
+        if self.packed:
+            if not piece:
+                raise ValueError("the file ends inside a gzip member")
+            self.held += self.member.decompress(piece)
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = None
+        else:
+            self.held += piece
+        return True
+
+    def line(self) -> bytes:
+        while (end := self.held.find(b"\n")) < 0:
+            if len(self.held) > _LINE:
+                raise ValueError("no end of a header line")
+            if not self.more():
+                end = len(self.held) - 1
+                break
+        out = bytes(self.held[: end + 1])
+        del self.held[: end + 1]
+        return out
+
+    def record(self) -> tuple[dict[str, str], bytes] | None:
+        line = self.line()
+        while line and not line.strip():
+            line = self.line()
+        if not self.packed:
+            self.began = self.at - len(self.held) - len(line)
+        if not line:
+            return None
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {line[:40]!r}")
+            raise ValueError(f"no WARC record: {line[:40]!r}")
         headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
+        while (line := self.line()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers.get("content-length", 0)))
+        length = headers.get("content-length", "0")
+        if not line or not re.fullmatch("[0-9]{1,18}", length):
+            raise ValueError(f"Content-Length {length[:40]!r}" if line else "the file ends inside a header")
+        while len(self.held) < int(length):
+            if not self.more():
+                raise ValueError("the file ends inside a record")
+        block = bytes(self.held[: int(length)])
+        del self.held[: int(length)]
+        return headers, block
+
+
+def _resumed(data: bytes, at: int, packed: bool) -> int:
+    """The offset behind ``at`` where a record begins again; the end if none does."""
+    if not packed:
+        found = data.find(b"\nWARC/1.", at)
+        return found + 1 if found >= 0 else len(data)
+    while (at := data.find(_MAGIC + b"\x08", at + 1)) >= 0:
+        try:
+            # The bytes of a magic number may also stand inside a member.
+            if zlib.decompressobj(31).decompress(data[at : at + _PIECE], 5) == b"WARC/":
+                return at
+        except zlib.error:
+            pass
+    return len(data)
+
+
+def archive_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | Fault]:
+    """(headers, block) of each record of a WARC file, compressed or not, and a ``Fault`` where it is damaged."""
+    packed, at = data[:2] == _MAGIC, 0
+    while at < len(data):
+        reader = _Reader(data, at, packed)
+        try:
+            while (found := reader.record()) is not None:
+                yield found
+            return
+        except (ValueError, zlib.error) as e:
+            yield Fault(reader.began, str(e))
+            at = _resumed(data, reader.began, packed)
+
+
+def from_bytes(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a whole WARC file; a damaged one raises ValueError behind the records before."""
+    for found in archive_records(data):
+        if isinstance(found, Fault):
+            raise ValueError(f"at {found.at}: {found.what}")
+        yield found
 
 
 def record_bytes(records: DataFrame, compress: bool = True) -> DataFrame:
@@ -234,38 +344,53 @@ def payload_text(http: str | None, body: bytes) -> str:
         return body.decode("utf-8", "replace")
 
 
-def read_response_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, html) of the response records of WARC files, and the columns ``RESPONSE``; page_id is the record id.
-
-    The digest is the record's own, else that of the payload's bytes as they are in
-    the record.  A response without a record id has null for it.  A file is read as a
-    stream of records and may have 2 GB, as a binary file of Spark.
-    """
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Responses and faults of WARC files: ``path``, ``at`` and ``fault`` beside the columns of a response."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if n == "at" else pa.string()) for k, n in enumerate(names)], names)
 
         for batch in batches:
-            for content in batch.column(0):
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
-                for headers, block in from_bytes(content.as_py()):
+                for found in archive_records(content.as_py()):
+                    if isinstance(found, Fault):
+                        rows.append((where, found.at, found.what, *(None,) * (len(names) - 3)))
+                        continue
+                    headers, block = found
                     if headers.get("warc-type") == "response":
                         http, body = None, block
                         if block.startswith(b"HTTP/"):
                             head, _, body = block.partition(b"\r\n\r\n")
                             http = head.partition(b"\r\n")[2].decode("utf-8", "replace")
                         own, text = headers.get("warc-record-id"), payload_text(http, body)
-                        rows.append((own, headers.get("warc-target-uri"), text, own, headers.get("warc-date"), headers.get("warc-payload-digest") or digest(body), http))
+                        rows.append((where, None, None, own, headers.get("warc-target-uri"), text, own, headers.get("warc-date"), headers.get("warc-payload-digest") or digest(body), http))
                         held += len(text)
                         if held > _HELD:
                             yield batch_of(rows)
                             rows, held = [], 0
                 yield batch_of(rows)
 
-    names = ["page_id", "url", "html", *RESPONSE]
+    names = ["path", "at", "fault", "page_id", "url", "html", *RESPONSE]
     small_batches(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.mapInArrow(parse, ", ".join(f"{n} {'long' if n == 'at' else 'string'}" for n in names))
+
+
+def read_response_records(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, html) of the response records of WARC files, and the columns ``RESPONSE``; page_id is the record id.
+
+    The digest is the record's own, else that of the payload's bytes as they are in
+    the record.  A response without a record id has null for it.  A file is read as a
+    stream of records and may have 2 GB, as a binary file of Spark.
+    """
+    return _read(spark, path).where("fault is null").drop("path", "at", "fault")
+
+
+def archive_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, fault): where WARC files are damaged; ``at`` is the offset of the member or record that could not be read."""
+    return _read(spark, path).where("fault is not null").select("path", "at", "fault")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
