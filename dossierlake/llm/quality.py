@@ -12,7 +12,8 @@
     the global rate, by a beta prior whose strength is estimated from the spread
     of the level's groups (method of moments), so that sparse sites stay near what
     is above them.
-3.  A document's score is its evidence on top of the rate of its finest group.
+3.  A document's score is its evidence on top of the rate of its finest group, which
+    leaves the document itself out at every level.
 
 The sums are combined before the shuffle; only per-level totals reach the driver.
 
@@ -160,7 +161,8 @@ def url_levels(url: Column, folders: int = 2) -> list[Column]:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str | Column, ...] = ("source", "lang"), label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, evidence, site_rate, path_rate, score, kept``.
 
-    ``site_rate`` is the rate of the first level, ``path_rate`` that of the last.
+    ``site_rate`` is the rate of the first level, ``path_rate`` that of the last; both
+    are those of the other documents, so that no evidence counts twice.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -186,7 +188,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     scored = materialize(docs.select("_id", "_text", *names).mapInArrow(evidence, f"_id {kind}, {', '.join(f'{n} string' for n in names)}, e double"), "evidence")
     finest = materialize(scored.groupBy(*names).agg(F.count("*").alias("n"), F.sum(logistic(F.col("e") + prior)).alias("p")), "groups")
     whole = finest.select(F.sum("n"), F.sum("p")).first()
-    above, rates = None, []
+    above, sums, strengths = None, [], []
     for i, name in enumerate(names):
         own = finest.groupBy(*names[: i + 1]).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
         if above is None:
@@ -196,16 +198,25 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             own = own.join(above, on[0] if len(on) == 1 else on).drop(*[f"{n}u" for n in names[:i]])
         own = materialize(own, "level")
         m = _strength(own, "up")
-        rates.append(f"r{i}")
-        kept = [*names[: i + 1], *rates[:-1]]
-        own = own.select(*kept, ((F.col("p") + m * F.col("up")) / (F.col("n") + m)).alias(f"r{i}"))
-        above = own.select(*[F.col(n).alias(f"{n}u") for n in names[: i + 1]], *rates, F.col(f"r{i}").alias("up"))
+        strengths.append(m)
+        kept = [*names[: i + 1], *sums]
+        sums += [f"n{i}", f"p{i}"]
+        own = own.select(*kept, F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}"), ((F.col("p") + m * F.col("up")) / (F.col("n") + m)).alias("up"))
+        above = own.select(*[F.col(n).alias(f"{n}u") for n in names[: i + 1]], *sums, "up")
     final = materialize(above.drop("up"), "rates")
-    safe = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = logistic(F.col("e") + F.log(safe(rates[-1]) / (1 - safe(rates[-1]))))
+    # The rates that a document meets leave itself out, as its evidence is added to them.
+    own = logistic(F.col("e") + prior)
+    others = lambda total: F.greatest(total - own, F.lit(0.0))
+    rate = others(F.lit(float(whole[1]))) / F.lit(float(whole[0] - 1)) if (whole[0] or 0) > 1 else F.lit(0.5)
+    rates = []
+    for i, m in enumerate(strengths):
+        rate = (others(F.col(f"p{i}")) + m * rate) / (F.col(f"n{i}") - 1 + m)
+        rates.append(rate)
+    safe = F.least(F.greatest(rates[-1], F.lit(1e-6)), F.lit(1 - 1e-6))
+    score = logistic(F.col("e") + F.log(safe / (1 - safe)))
     on = F.lit(True)
     for n in names:
         on = on & F.col(n).eqNullSafe(F.col(f"{n}u"))
     return scored.join(final, on).select(
-        F.col("_id").alias("doc_id"), F.col("e").alias("evidence"), F.col(rates[0]).alias("site_rate"), F.col(rates[-1]).alias("path_rate"), score.alias("score"), (score >= threshold).alias("kept")
+        F.col("_id").alias("doc_id"), F.col("e").alias("evidence"), rates[0].alias("site_rate"), rates[-1].alias("path_rate"), score.alias("score"), (score >= threshold).alias("kept")
     )

@@ -538,9 +538,78 @@ def test_payloads_are_decoded(spark, tmp_path, chunked):
     assert warc.payload_text("Transfer-Encoding: chunked", b"no chunks") == "no chunks"
 
 
+def records_of(n):
+    """Response records, one of them larger than a piece."""
+    rng = random.Random(n)
+    return [warc.to_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{i}>")], (warc.HTTP_HEAD + prose(i, 9000 if i == 2 else 5) + str(rng.random())).encode(), False) for i in range(n)]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_damaged_archives(spark, tmp_path, packed):
+    """What is whole is read, before and behind a fault; one damaged file does not stop the others."""
+    plain = records_of(6)
+    parts = [gzip.compress(r, mtime=0) for r in plain] if packed else plain
+    at = [sum(map(len, parts[:k])) for k in range(7)]
+    flip = bytearray(parts[3])
+    flip[len(flip) // 2 : len(flip) // 2 + 4] = b"\xff\xfe\xfd\xfc"
+    no_length = plain[3].replace(b"Content-Length: ", b"Content-Length: -")
+    files = {
+        "whole": (b"".join(parts), {0, 1, 2, 3, 4, 5}, []),
+        "zeros": (b"".join(parts) + b"\0" * 99, {0, 1, 2, 3, 4, 5}, [] if packed else [at[6]]),
+        "length": (b"".join(parts[:3]) + (gzip.compress(no_length) if packed else no_length) + b"".join(parts[4:]), {0, 1, 2, 4, 5}, [at[3]]),
+        "cut": (b"".join(parts)[:-20], {0, 1, 2, 3, 4}, [at[5]]),
+        "head": (b"".join(parts[:4]) + parts[4][:15], {0, 1, 2, 3}, [at[4]]),
+        "none": (b"<html>no archive</html>", set(), [0]),
+        "empty": (b"", set(), []),
+    }
+    if packed:
+        files["flipped"] = (b"".join(parts[:3]) + bytes(flip) + b"".join(parts[4:]), {0, 1, 2, 4, 5}, [at[3]])
+        files["behind"] = (b"".join(parts) + b"garbage", {0, 1, 2, 3, 4, 5}, [at[6]])
+        files["one"] = (gzip.compress(b"".join(plain)), {0, 1, 2, 3, 4, 5}, [])
+        files["split"] = (b"".join(gzip.compress(b"".join(plain)[k : k + 1000]) for k in range(0, sum(map(len, plain)), 1000)), {0, 1, 2, 3, 4, 5}, [])
+    for name, (data, ids, faults) in files.items():
+        (tmp_path / name).write_bytes(data)
+        found = list(warc.archive_records(data))
+        got = [x for x in found if not isinstance(x, warc.Fault)]
+        assert {int(h["warc-record-id"][5:-1]) for h, _ in got} == ids, name
+        assert all(block.decode() in plain[int(h["warc-record-id"][5:-1])].decode() for h, block in got)
+        assert [x.at for x in found if isinstance(x, warc.Fault)] == faults, name
+    rows = Counter(r.page_id for r in warc.read_response_records(spark, str(tmp_path)).collect())
+    assert rows == Counter(f"<urn:{i}>" for _, ids, _ in files.values() for i in ids)
+    spots = {(r.path.rsplit("/", 1)[1], r.at) for r in warc.archive_faults(spark, str(tmp_path)).collect()}
+    assert spots == {(name, k) for name, (_, _, faults) in files.items() for k in faults}
+    with pytest.raises(ValueError):
+        list(warc.from_bytes(files["cut"][0]))
+
+
+def test_headers_stay_within_their_field(spark):
+    uri = "http://e/\r\nWARC-Type: response\r\n\r\nWARC/1.0\n"
+    pages = spark.createDataFrame([(1, uri, "<p>x", "X-A: 1\rWARC-Type: request\r\nX-B: 2", "d\r\nx")], "page_id long, url string, html string, http_headers string, payload_digest string")
+    derived = warc.derivatives(pages)
+    for r in warc.record_bytes(derived).collect():
+        [(headers, block)] = warc.from_bytes(bytes(r.record))
+        assert headers["warc-type"] == r.kind and headers["warc-target-uri"] == "http://e/ WARC-Type: response WARC/1.0"
+        if r.kind == "metadata":
+            assert block.decode().split("\r\n")[2:4] == ["source-x-a: 1 WARC-Type: request", "source-x-b: 2"] or "source-x-a: 1 WARC-Type: request\r\nsource-x-b: 2\r\n" in block.decode()
+            assert "source-warc-payload-digest: d x\r\n" in block.decode()
+
+
 # -- 5 ------------------------------------------------------------------------
 
 
+def test_license_files_and_many_notices(spark):
+    """Whole texts are found as themselves, and a text of many notices costs no more than its length."""
+    names = [n for n in license_scan.TEMPLATES if n.endswith("(text)")]
+    texts = [f"Copyright 2020 x\n\n{license_scan.TEMPLATES[n]}\n" for n in names]
+    many = "é Released under the MIT License. " * 30_000
+    rows = license_scan.scan(make(spark, [*texts, many])).collect()
+    assert {r.doc_id: r.license for r in rows if r.doc_id < len(names)} == dict(enumerate(names))
+    assert sum(r.doc_id < len(names) for r in rows) == len(names)
+    spans = sorted((r.start, r.end) for r in rows if r.doc_id == len(names))
+    assert len(spans) == 30_000 and all(many[a:b] == "Released under the MIT License" for a, b in spans[::1000])
+    assert all(a < b <= c for (a, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["MIT"]
     broken = mit.replace("without restriction", "with no restriction").replace(" sublicense,", "")
@@ -633,7 +702,7 @@ def test_rates_against_brute_force(spark):
     got = {r.doc_id: r for r in quality.quality(docs, labels, levels=("host", "folder", "page")).collect()}
     prior = np.log(2 / 1)
     p = {i: 1 / (1 + np.exp(-(got[i].evidence + prior))) for i in got}
-    up = {(): sum(p.values()) / len(p)}
+    up, others, first = {(): sum(p.values()) / len(p)}, {}, {}
     for depth in (1, 2, 3):
         groups = {}
         for i, _, *names in rows:
@@ -644,10 +713,28 @@ def test_rates_against_brute_force(spark):
         mean = np.mean(above)
         m = min(max(mean * (1 - mean) / tau - 1, 1), 1e6)
         up |= {g: (sum(v) + m * up[g[:-1]]) / (len(v) + m) for g, v in groups.items()}
-    for i, _, *names in rows:
-        path = min(max(up[tuple(names)], 1e-6), 1 - 1e-6)
+        # A document's own rates are those of the others.
+        for i, _, *names in rows:
+            g = tuple(names[:depth])
+            above = others[i] if depth > 1 else (sum(p.values()) - p[i]) / (len(p) - 1)
+            others[i] = (sum(groups[g]) - p[i] + m * above) / (len(groups[g]) - 1 + m)
+            first.setdefault(i, others[i])
+    for i in others:
+        path = min(max(others[i], 1e-6), 1 - 1e-6)
         score = 1 / (1 + np.exp(-(got[i].evidence + np.log(path / (1 - path)))))
-        assert abs(got[i].site_rate - up[(names[0],)]) < 1e-9 and abs(got[i].path_rate - up[tuple(names)]) < 1e-9 and abs(got[i].score - score) < 1e-9
+        assert abs(got[i].site_rate - first[i]) < 1e-9 and abs(got[i].path_rate - others[i]) < 1e-9 and abs(got[i].score - score) < 1e-9
+
+
+def test_evidence_counts_once(spark):
+    """A document that is alone on its site and its path meets the rate of all others."""
+    good, bad = [prose(i, 40) for i in range(80)], [" ".join(w.upper() + "!!" for w in prose(i, 40).split()) for i in range(40)]
+    docs = make(spark, good + bad, [f"site{i}" for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(0, 120, 3)], "doc_id long, quality int")
+    rows = quality.quality(docs, labels).collect()
+    own = {r.doc_id: 1 / (1 + np.exp(-(r.evidence + np.log(27 / 13)))) for r in rows}
+    for r in rows:
+        want = (sum(own.values()) - own[r.doc_id]) / 119
+        assert r.site_rate == pytest.approx(want) and r.path_rate == pytest.approx(want)
 
 
 def test_levels_of_urls_and_bounded_training(spark):
