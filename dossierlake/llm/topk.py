@@ -119,7 +119,10 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray,
             counts.append(seen)
         rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         part = alive[np.ix_(rows, columns)]
-        score = np.where(part, qe[a + rows] @ xe[columns].T, low)
+        score = qe[a + rows] @ xe[columns].T
+        # Exact scores below the one to reach can be in no answer and stay here.
+        part &= score >= reach[rows, None]
+        score = np.where(part, score, low)
         for i, row, here in zip(rows.tolist(), score, part, strict=True):
             if len(row) > k:
                 at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
