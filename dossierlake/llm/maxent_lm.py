@@ -7,8 +7,14 @@ P(word | history) = P(class | history) * P(word | class).
   classes by a hash of its last two bytes.
 * P(class | history) is a softmax over the classes; its logits are rows of a
   hashed weight table, one each for the word before, the word before that (a
-  skip feature) and the two together.  Tasks run AdaGrad over all training
-  texts; their weights are averaged by how often each row was updated.
+  skip feature) and the two together.
+* Training goes in rounds over ever more of the training texts, which a hash of
+  the id deals out: the first has ``START`` tokens and one task, each later one as
+  many tokens as all before it, in tasks of ``TASK_TOKENS``.  Every task of a round
+  runs AdaGrad from the same weights and squared gradients.  Their steps are added,
+  each made smaller to what it would have been with the squared gradients of all
+  tasks in sight, and these are added too.  Since a round sees no more than what
+  was learned before, no weight is pushed far by many tasks at once.
 * P(word | class) has add-0.1 smoothed counts, with one slot a class for all
   unseen words, so that the model sums to one just as the unigram base does.
 
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .store import materialize, small_batches
+from .store import discard, materialize, small_batches
 
 TOP = 31
 SUFFIXES = 32
@@ -43,13 +49,15 @@ CLASSES = TOP + 1 + SUFFIXES
 TABLE = (1 << 13, 1 << 12, 1 << 12)
 #: Words broadcast with their counts, at most.
 HEAD = 1 << 18
-#: Tokens of one training task, on average, and training tasks at most.
-TASK_TOKENS = 5_000_000
+#: Tokens of the first round, those of one training task, on average, and tasks of a round at most.
+START = 250_000
+TASK_TOKENS = 1_000_000
 MAX_TASKS = 4096
 RATE = 0.3
 _BATCH = 8192
 _FLUSH = 2_000_000
-_CHUNKS = 16
+#: Parts of the weight table that are merged apart; of all tasks a part has 128 MB at most.
+_CHUNKS = 256
 _EACH = np.arange(CLASSES)
 END = np.uint64(0xE703C6EF372FE94F)
 BEGIN = np.uint64(0xB5297A4D3F84D5B5)
@@ -111,7 +119,7 @@ def _log_chosen(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes
     return chosen - np.log(np.exp(z, out=z).sum(1))
 
 
-def _descend(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
+def _descend(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One AdaGrad step on a batch of tokens."""
     gradient = _logits(weights, bias, rows)
     np.exp(gradient, out=gradient)
@@ -126,14 +134,12 @@ def _descend(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, bias
         new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
         row, mine = ranked[new], np.empty(len(own), np.int64)
         mine[order] = (np.cumsum(new) - 1) * CLASSES
-        times = np.diff(np.concatenate((np.flatnonzero(new), [len(own)])))
         total = np.bincount((mine[:, None] + _EACH).ravel(), flat, len(row) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
         more = squares[row] + total * total
         squares[row] = more
         total *= RATE
         total /= np.sqrt(more + 1e-6)
         weights[row] -= total
-        touched[row] += times
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -181,43 +187,74 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def _train(docs: DataFrame, total: int, top, top_class, bias: np.ndarray) -> np.ndarray:
-    """The averaged weight table; at most ``sum(TABLE) * CLASSES`` numbers reach the driver."""
-    spark = docs.sparkSession
-    size = sum(TABLE)
-    known = spark.sparkContext.broadcast((top, top_class, bias))
+def _bounds(total: int) -> list[int]:
+    """The tokens that have been seen at the end of each round."""
+    out = [min(total, START)]
+    while out[-1] < total:
+        out.append(min(total, 2 * out[-1]))
+    return out
+
+
+def merged(before: np.ndarray, steps: list[np.ndarray], squares: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(step, squares) of a round from those of its tasks; ``before`` are the squared gradients that it began with."""
+    after = before + sum(squares)
+    safe = np.maximum(after, 1e-30)
+    return sum(step * np.sqrt((before + own) / safe) for step, own in zip(steps, squares, strict=True)), after
+
+
+def _round(texts: DataFrame, weights: np.ndarray, squares: np.ndarray, top, top_class, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, squares) after a round in which each partition of ``texts`` is a task; twice ``sum(TABLE) * CLASSES`` numbers reach the driver."""
+    size, step = sum(TABLE), sum(TABLE) // _CHUNKS
+    known = texts.sparkSession.sparkContext.broadcast((weights, squares, top, top_class, bias))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, top_class, bias = known.value
-        weights, squares = np.zeros((size, CLASSES), np.float32), np.zeros((size, CLASSES), np.float32)
-        touched = np.zeros(size, np.int64)
+        weights, squares, top, top_class, bias = known.value
+        own, more = weights.copy(), squares.copy()
+        some = False
         for batch in batches:
             for _, _, tokens, suffix, sizes in _tokens(batch.column(0)):
                 rows, classes = _histories(tokens, sizes), _classes(tokens, suffix, top, top_class)
                 for a in range(0, len(tokens), _BATCH):
-                    _descend(weights, squares, touched, bias, rows[a : a + _BATCH], classes[a : a + _BATCH])
-        if touched.any():
-            scaled = (weights * touched[:, None]).astype(np.float32)
-            step = size // _CHUNKS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(_CHUNKS), pa.int32()), pa.array([scaled[k * step : (k + 1) * step].tobytes() for k in range(_CHUNKS)], pa.binary()), pa.array([touched[k * step : (k + 1) * step].tobytes() for k in range(_CHUNKS)], pa.binary())],
-                ["chunk", "w", "n"],
-            )
-
-    def average(table):
-        w, n = 0.0, 0
-        for x, y in zip(table.column("w"), table.column("n"), strict=True):
-            w = w + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-            n = n + np.frombuffer(y.as_buffer(), np.int64)
-        mean = (w.reshape(len(n), CLASSES) / np.maximum(n, 1)[:, None]).astype(np.float32)
-        return pa.table({"chunk": table.column("chunk")[:1], "w": pa.array([mean.tobytes()], pa.binary())})
-
-    tasks = int(min(MAX_TASKS, max(1, total // TASK_TOKENS)))
-    learned = docs.where("not held_out").select("_text").coalesce(tasks).mapInArrow(learn, "chunk int, w binary, n binary")
-    chunks = {r[0]: r[1] for r in learned.groupBy("chunk").applyInArrow(average, "chunk int, w binary").collect()}
+                    _descend(own, more, bias, rows[a : a + _BATCH], classes[a : a + _BATCH])
+                    some = True
+        if some:
+            parts = [[(x[k * step : (k + 1) * step]).tobytes() for k in range(_CHUNKS)] for x in (own - weights, more - squares)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["chunk", "w", "g"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        k = table.column("chunk")[0].as_py()
+        steps, own = ([np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table.column(c)] for c in ("w", "g"))
+        start, before = (known.value[i][k * step : (k + 1) * step].astype(np.float64).ravel() for i in (0, 1))
+        moved, after = merged(before, steps, own)
+        return pa.table({"chunk": table.column("chunk")[:1], "w": pa.array([(start + moved).astype(np.float32).tobytes()], pa.binary()), "g": pa.array([after.astype(np.float32).tobytes()], pa.binary())})
+
+    learned = texts.mapInArrow(learn, "chunk int, w binary, g binary")
+    chunks = {r[0]: r for r in learned.groupBy("chunk").applyInArrow(merge, "chunk int, w binary, g binary").collect()}
     if not chunks:
-        return np.zeros((size, CLASSES), np.float32)
-    return np.concatenate([np.frombuffer(chunks[k], np.float32).reshape(-1, CLASSES) for k in range(_CHUNKS)])
+        return weights, squares
+    table = lambda i: np.concatenate([np.frombuffer(chunks[k][i], np.float32) for k in range(_CHUNKS)]).reshape(size, CLASSES)
+    return table(1), table(2)
+
+
+def _train(docs: DataFrame, total: int, top, top_class, bias: np.ndarray) -> np.ndarray:
+    """The weight table, learned in rounds."""
+    weights, squares = np.zeros((sum(TABLE), CLASSES), np.float32), np.zeros((sum(TABLE), CLASSES), np.float32)
+    if not total:
+        return weights
+    bounds = _bounds(total)
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
+    number = sum(((place >= b / total).cast("int") for b in bounds[:-1]), F.lit(0))
+    texts = docs.where("not held_out").select("_text", F.xxhash64("_id", F.lit(1)).alias("_h"), number.alias("_round"))
+    if len(bounds) > 1:
+        texts = materialize(texts, "rounds", by="_round")
+    for k, (begin, end) in enumerate(zip([0, *bounds], bounds, strict=False)):
+        own = texts.where(F.col("_round") == k).select("_text", "_h")
+        tasks = int(min(MAX_TASKS, max(1, round((end - begin) / TASK_TOKENS))))
+        # Texts are dealt out by their ids, so that tasks have about as many tokens wherever the files lie.
+        own = own.repartition(tasks, "_h") if tasks > 1 else own.coalesce(1)
+        weights, squares = _round(own.select("_text"), weights, squares, top, top_class, bias)
+    discard(texts)
+    return weights
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

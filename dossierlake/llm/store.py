@@ -40,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a plain scan.
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in a folder for each value of ``by``, and return it as a plain scan.
 
     Its shuffle files go as soon as it is written, since nothing can read them again.
     """
@@ -50,7 +50,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)

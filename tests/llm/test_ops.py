@@ -382,6 +382,85 @@ def test_training_learns(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
 
 
+def test_tasks_keep_what_one_task_learns(spark, monkeypatch):
+    """A text whose next word depends on the two before, learned by one task and in rounds of up to four."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    nexts = {}
+
+    def text(n):
+        out = ["au", "bv"]
+        for _ in range(n):
+            out.append(rng.choice(nexts.setdefault((out[-2][1], out[-1]), rng.sample(words, 4))))
+        return " ".join(out)
+
+    docs = make(spark, [text(150) for _ in range(800)])
+    found, tasks = {}, []
+    inner = maxent_lm._round
+    monkeypatch.setattr(maxent_lm, "_round", lambda texts, *more: tasks.append(texts.rdd.getNumPartitions()) or inner(texts, *more))
+    for name, start, size in (("one", 10**9, 10**9), ("four", 14_000, 14_000)):
+        monkeypatch.setattr(maxent_lm, "START", start)
+        monkeypatch.setattr(maxent_lm, "TASK_TOKENS", size)
+        found[name] = maxent_lm.score_texts(docs).where("held_out").select((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).first()[0]
+    assert tasks[:3] == [1, 1, 1] and max(tasks) == 4
+    assert found["one"] > 0.2 and found["four"] >= 0.9 * found["one"]
+
+
+def test_steps_of_tasks_are_merged():
+    """One task: its own step.  Cells of one task alone: whole.  Cells that all share: as with all squares in sight."""
+    before = np.array([0.0, 0.0, 4.0])
+    step, after = maxent_lm.merged(before, [np.array([1.0, 0.0, 2.0])], [np.array([1.0, 0.0, 5.0])])
+    assert step.tolist() == [1, 0, 2] and after.tolist() == [1, 0, 9]
+    step, after = maxent_lm.merged(before, [np.array([1.0, 1.0, 1.0]), np.array([0.0, 1.0, 1.0])], [np.array([1.0, 2.0, 6.0]), np.array([0.0, 2.0, 6.0])])
+    assert step == pytest.approx([1, 2 / np.sqrt(2), 2 * np.sqrt(10 / 16)]) and after.tolist() == [1, 4, 16]
+    assert maxent_lm._bounds(0) == [0] and maxent_lm._bounds(5 * maxent_lm.START) == [maxent_lm.START * k for k in (1, 2, 4, 5)]
+
+
+def test_scores_from_given_weights(spark, monkeypatch):
+    """The score of each text by the formulas, token by token, for weights drawn here."""
+    rng = np.random.default_rng(8)
+    weights, seen = rng.normal(size=(sum(maxent_lm.TABLE), maxent_lm.CLASSES)).astype(np.float32), {}
+    monkeypatch.setattr(maxent_lm, "_train", lambda docs, total, top, top_class, bias: seen.update(top=dict(zip(top.tolist(), top_class.tolist(), strict=True))) or weights)
+    texts = [prose(k, 40) for k in range(60)] + [None, "", "Z", "never seen words"]
+    got = {r.doc_id: r for r in maxent_lm.score_texts(make(spark, texts)).collect()}
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    counts = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+
+    def code(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        return int(text.span_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    def mixed(x):
+        return int(text.mix(np.array([x % 2**64], np.uint64))[0])
+
+    def kind(w):
+        if w is None:
+            return maxent_lm.TOP
+        data = w.encode()
+        two = data[-1] * 256 + (data[-2] if len(data) > 1 else 0) + 1
+        return seen["top"].get(code(w), maxent_lm.TOP + 1 + mixed(two) % maxent_lm.SUFFIXES)
+
+    # The most frequent words have classes of their own.
+    frequent = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], np.uint64(code(w)).view(np.int64)))[: maxent_lm.TOP]
+    assert seen["top"] == {code(w): k for k, w in enumerate(frequent)}
+    mass, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        mass[kind(w)] += c
+        kinds[kind(w)] += 1
+    total, distinct = sum(counts.values()), len(counts)
+    bias = np.array([log10((mass[k] + 0.1 * (kinds[k] + 1)) / (total + 0.1 * (distinct + maxent_lm.CLASSES))) * np.log(10) for k in range(maxent_lm.CLASSES)])
+    a, b, c = maxent_lm.TABLE
+    for i, t in enumerate(tokens):
+        want, one, two = 0.0, int(maxent_lm.BEGIN), int(maxent_lm.BEGIN)
+        for w in t:
+            z = weights[mixed(one) % a].astype(float) + weights[a + mixed(two + 7) % b] + weights[a + b + mixed(3 * one + 5 * two) % c] + bias
+            want += (z[kind(w)] - np.log(np.exp(z).sum())) / np.log(10)
+            want += log10((counts[w] + 0.1) / (mass[kind(w)] + 0.1 * (kinds[kind(w)] + 1)))
+            one, two = (int(maxent_lm.END) if w is None else code(w)), one
+        assert got[i].score == pytest.approx(want, rel=1e-4)
+
+
 # -- 8 ------------------------------------------------------------------------
 
 
