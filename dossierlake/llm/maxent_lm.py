@@ -229,7 +229,10 @@ def _round(texts: DataFrame, weights: np.ndarray, squares: np.ndarray, top, top_
         return pa.table({"chunk": table.column("chunk")[:1], "w": pa.array([(start + moved).astype(np.float32).tobytes()], pa.binary()), "g": pa.array([after.astype(np.float32).tobytes()], pa.binary())})
 
     learned = texts.mapInArrow(learn, "chunk int, w binary, g binary")
-    chunks = {r[0]: r for r in learned.groupBy("chunk").applyInArrow(merge, "chunk int, w binary, g binary").collect()}
+    # Written, so that the shuffle files of a round go before the next one.
+    found = materialize(learned.groupBy("chunk").applyInArrow(merge, "chunk int, w binary, g binary"), "weights")
+    chunks = {r[0]: r for r in found.collect()}
+    discard(found)
     if not chunks:
         return weights, squares
     table = lambda i: np.concatenate([np.frombuffer(chunks[k][i], np.float32) for k in range(_CHUNKS)]).reshape(size, CLASSES)
