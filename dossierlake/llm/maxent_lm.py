@@ -247,15 +247,16 @@ def _train(docs: DataFrame, total: int, top, top_class, bias: np.ndarray) -> np.
     bounds = _bounds(total)
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
     number = sum(((place >= b / total).cast("int") for b in bounds[:-1]), F.lit(0))
-    texts = docs.where("not held_out").select("_text", F.xxhash64("_id", F.lit(1)).alias("_h"), number.alias("_round"))
+    texts = docs.where("not held_out").select("_text", number.alias("_round"))
     if len(bounds) > 1:
         texts = materialize(texts, "rounds", by="_round")
     for k, (begin, end) in enumerate(zip([0, *bounds], bounds, strict=False)):
-        own = texts.where(F.col("_round") == k).select("_text", "_h")
+        own = texts.where(F.col("_round") == k).select("_text")
         tasks = int(min(MAX_TASKS, max(1, round((end - begin) / TASK_TOKENS))))
-        # Texts are dealt out by their ids, so that tasks have about as many tokens wherever the files lie.
-        own = own.repartition(tasks, "_h") if tasks > 1 else own.coalesce(1)
-        weights, squares = _round(own.select("_text"), weights, squares, top, top_class, bias)
+        # Texts are dealt out in turn, so that tasks have about as many wherever the files lie.  What a
+        # task returns does not shrink with its share, so there are never more tasks than tokens ask for.
+        own = own.repartition(tasks) if tasks > 1 else own.coalesce(1)
+        weights, squares = _round(own, weights, squares, top, top_class, bias)
     discard(texts)
     return weights
 
