@@ -23,7 +23,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -77,19 +77,26 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` (doc_id, kept) keeps.
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells the rows of ``docs`` apart: id and text.  Keys sort as the ids do, with null ids last."""
+    return F.struct(docs[id_col].isNull().alias("no"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("a"), F.xxhash64(F.lit(1), docs[text_col]).alias("b"))
 
-    Decisions are made per row but applied per id: a row repeated with the same
-    id is kept once if one of its rows stays.  Rows whose id is null stay.
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` keeps; its ``doc_id`` is the ``row_key`` of a row, beside it stands ``kept``.
+
+    Rows that share an id but not their text are decided apart, and so are those
+    without an id.  Rows that share both are kept once if one of them stays.
     """
-    key = "__dossierlake_key"
-    by_id = decisions.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
-    verdict = materialize(by_id.where("not _any or _n > 1"), "verdict")
-    out = docs.join(verdict.where("not _any").select(key).hint("merge"), docs[id_col] == F.col(key), "left_anti")
+    key, own = "__dossierlake_key", "__dossierlake_row"
+    by_key = decisions.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
+    verdict = materialize(by_key.where("not _any or _n > 1"), "verdict")
+    met = (F.col(own)["a"] == F.col(key)["a"]) & (F.col(own)["b"] == F.col(key)["b"]) & F.col(own)["id"].eqNullSafe(F.col(key)["id"])
+    keyed = docs.withColumn(own, row_key(docs, id_col, text_col))
+    out = keyed.join(verdict.where("not _any").select(key).hint("merge"), met, "left_anti")
     twice = verdict.where("_any").select(key)
-    if twice.isEmpty():
-        return out
-    # Rows that share an id are few; keep one row of each.
-    again = out.join(twice, out[id_col] == F.col(key), "left_semi").dropDuplicates([id_col])
-    return out.join(twice, out[id_col] == F.col(key), "left_anti").unionByName(again)
+    if not twice.isEmpty():
+        # Rows that share id and text are few; keep one row of each.
+        again = out.join(twice.hint("merge"), met, "left_semi").dropDuplicates([own])
+        out = out.join(twice.hint("merge"), met, "left_anti").unionByName(again)
+    return out.drop(own)

@@ -158,18 +158,20 @@ def url_levels(url: Column, folders: int = 2) -> list[Column]:
     return [host, *[F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, k), "/")) for k in range(1, folders + 1)]]
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str | Column, ...] = ("source", "lang"), label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[str | Column, ...] = ("source", "lang"), label_id: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, evidence, site_rate, path_rate, score, kept``.
 
     ``site_rate`` is the rate of the first level, ``path_rate`` that of the last; both
-    are those of the other documents, so that no evidence counts twice.
+    are those of the other documents, so that no evidence counts twice.  ``key``, if given,
+    stands for the id in the result; labels always go by id.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [f"_g{i}" for i in range(len(levels))]
     groups = [(docs[c] if isinstance(c, str) else c).cast("string").alias(n) for c, n in zip(levels, names, strict=True)]
-    docs = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), *groups)
-    x, y = _training_rows(docs, labels.select(labels[label_id].alias("_l"), labels[label_col].alias("_y")), train_rows)
+    known = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    docs = docs.select((docs[id_col] if key is None else key).alias("_id"), docs[text_col].alias("_text"), *groups)
+    x, y = _training_rows(known, labels.select(labels[label_id].alias("_l"), labels[label_col].alias("_y")), train_rows)
     model = fit_logistic(x, y)
     prior = float(np.log(y.mean() / (1 - y.mean()))) if model else float(np.log(0.99 / 0.01))
     shared = spark.sparkContext.broadcast(model)

@@ -65,7 +65,8 @@ def test_exact_dedup_repeated_rows_and_empty(spark):
     twice = docs.unionByName(docs.where("doc_id = 0"))
     got = exact_dedup.radix_groups(twice).collect()
     assert len(got) == 4 and sum(r.kept for r in got if r.keep_id == 0) == 1
-    kept = exact_dedup.keep_rows(twice, exact_dedup.radix_groups(twice))
+    keyed = twice.withColumn("__key", exact_dedup.row_key(twice))
+    kept = exact_dedup.keep_rows(twice, exact_dedup.radix_groups(keyed, "__key"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2] and kept.columns == docs.columns
     assert exact_dedup.radix_groups(docs.limit(0)).count() == 0
     nulls = docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))

@@ -72,7 +72,25 @@ def test_stages_on_edges(spark, tmp_path):
         ids[name] = sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x))
         empty = stage(spark, docs.limit(0), folder)
         assert empty.columns == got.columns and empty.count() == 0
-    assert ids["exact_dedup"] == [0, 2, 5, 6, 7, None, None]
-    assert ids["near_dedup"] == [0, 3, 4, 5, 6, 7, None, None]
+    assert ids["exact_dedup"] == [0, 2, 5, 6, 7]
+    assert ids["near_dedup"] == [0, 3, 4, 5, 6, 7, None]
     assert ids["mixing"] == sorted((r[0] for r in rows), key=lambda x: (x is None, x))
     assert len([i for i in ids["packing"] if i == 7]) > 1 and set(ids["packing"]) == {r[0] for r in rows}
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null ids and ids that repeat with other texts are filtered like all others, each row by itself."""
+    prose = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(4)]
+    rows = [(1, prose[0]), (1, prose[1]), (1, prose[1]), (None, prose[0]), (None, prose[1] + " end"), (None, prose[2]), (None, prose[2]), (None, prose[2] + " end"), (2, prose[3]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    order = lambda got: sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    every = order(stages["quality"](spark, docs, str(tmp_path)))
+    assert every == sorted(set(rows), key=str)
+    exact = stages["exact_dedup"](spark, docs, str(tmp_path))
+    assert [r for r in order(exact) if r[1]] == sorted([(1, prose[0]), (1, prose[1]), (None, prose[1] + " end"), (None, prose[2]), (None, prose[2] + " end"), (2, prose[3])], key=str)
+    assert exact.count() == 7
+    near = [r for r in order(stages["near_dedup"](spark, exact, str(tmp_path))) if r[1]]
+    assert [r for r in near if r[0]] == sorted([(1, prose[0]), (1, prose[1]), (2, prose[3])], key=str)
+    assert [r[1].startswith(prose[2]) for r in near if r[0] is None] == [True]
