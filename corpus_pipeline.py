@@ -16,9 +16,9 @@ Defined results of the stages, each on its own input
   * null or empty text: judged by quality as an empty text; all of them are equal
     in exact dedup; linked with nothing in near dedup; one end token in packing.
   * very long texts: whole in every stage.
-  * repeated rows: rows with one id and text are kept once.  Ids should be unique: of
-    rows that share an id but not their text one stays if any is kept.
-  * null id: such rows stay in the first three stages, as decisions go by id.
+  * repeated rows: rows with one id and text are kept once.
+  * null ids, and ids that repeat with other texts: every row is decided by itself, as
+    decisions go by id and text; of copies a row with an id stays before one without.
   * ties: by the smallest id.  No labels: quality keeps every document.
   * empty table: an empty result with the columns of the stage.
   * extra columns: kept by the first four stages whatever their names, ignored by packing.
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm.exact_dedup import keep_rows, radix_groups
+from dossierlake.llm.exact_dedup import keep_rows, radix_groups, row_key
 from dossierlake.llm.mixing import mixed
 from dossierlake.llm.near_join import near_duplicates
 from dossierlake.llm.packing import pack_documents
@@ -37,21 +37,28 @@ from dossierlake.llm.quality import quality
 from dossierlake.llm.store import materialize
 
 
+_KEY = "__pipeline_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_KEY, row_key(docs))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose score is below the threshold."""
-    decisions = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    decisions = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=row_key(docs))
     return keep_rows(docs, decisions.select("doc_id", "kept"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each set of equal texts."""
-    return keep_rows(docs, radix_groups(docs).select("doc_id", "kept"))
+    return keep_rows(docs, radix_groups(_keyed(docs), _KEY).select("doc_id", "kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component."""
-    found = near_duplicates(docs)
-    return keep_rows(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    found = near_duplicates(_keyed(docs), _KEY)
+    return keep_rows(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
