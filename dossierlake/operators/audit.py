@@ -6,10 +6,11 @@ are checked independently; see ``windows`` for the row before.
 
 from __future__ import annotations
 
+import hashlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,22 +60,22 @@ def verify_log(log: DataFrame) -> DataFrame:
 def build_chain(rows: DataFrame, order: str = "id", prev: str = GENESIS) -> DataFrame:
     """Rows with ``prev_hash`` and ``entry_hash``; an ordered fold, in one task by its nature.
 
-    ``rows`` carries ``body``, the payload after the previous hash.
+    ``rows`` carries ``body``, the payload after the previous hash.  The task reads its rows sorted,
+    as a stream, and holds one batch of them.
     """
 
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        last, out = prev, []
-        for body in batch.sort_values(order)["body"]:
-            entry = hashlib.sha256(f"{last}|{body}".encode()).hexdigest()
-            out.append((last, entry))
-            last = entry
-        return batch.sort_values(order).assign(prev_hash=[p for p, _ in out], entry_hash=[e for _, e in out])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = prev
+        for batch in batches:
+            before, own = [], []
+            for body in batch.column("body").to_pylist():
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{body}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_hash", "entry_hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", prev_hash string, entry_hash string"
-    one = rows.withColumn("_one", F.lit(0))
-    return one.groupBy("_one").applyInPandas(lambda batch: fold(batch.drop(columns="_one")), schema)
+    return rows.repartition(1).sortWithinPartitions(F.col(order).asc_nulls_last()).mapInArrow(fold, schema)
 
 
 def append_records(events: list[dict], seq: int = 0, prev: str = GENESIS) -> list[dict]:
