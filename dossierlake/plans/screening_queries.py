@@ -65,6 +65,8 @@ def watchlist(t: Tables):
     name = lambda c: F.element_at(names, (F.col(c) + 1).cast("int"))
     records = t.customer.select(F.col("c_custkey").cast("string").alias("screening_id"), F.col("c_custkey").cast("string").alias("document_number"), (F.col("c_custkey") - 50).cast("string").alias("passport_number"), state("c_nationkey").alias("issuing_state"), name("c_nationkey").alias("surname"), F.lit(None).cast("string").alias("given_names"), day("c_custkey").alias("date_of_birth"))
     watch = t.supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.lit(True).alias("active"), F.lit("LOST").alias("list_type"), F.lit("").alias("reason"), F.col("s_suppkey").cast("string").alias("document_number"), state("s_nationkey").alias("issuing_state"), name("s_nationkey").alias("surname"), F.lit(None).cast("string").alias("given_names"), day("s_suppkey").alias("date_of_birth"))
+    # The hits are far more than the records, so a small table is spread over all cores.
+    records = records.repartition(t.spark.sparkContext.defaultParallelism)
     return S.watchlist_hits(records, watch).select(F.col("screening_id").cast("long").alias("c_custkey"), F.col("entry_id").cast("long").alias("s_suppkey"), "match")
 
 

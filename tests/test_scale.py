@@ -1,8 +1,10 @@
 """Steps whose cost must not outgrow their input."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dossierlake.operators import audit as A
+from dossierlake.operators import screening as S
 
 
 def plan(df):
@@ -20,3 +22,28 @@ def test_chain_is_a_stream(spark):
     assert [r.prev_hash for r in got] == [A.GENESIS, *(r.entry_hash for r in got[:-1])]
     # No group that holds the whole log.
     assert "FlatMapGroups" not in plan(log)
+
+
+PERSON = "screening_id string, document_number string, passport_number string, issuing_state string, surname string, given_names string, date_of_birth string"
+ENTRY = "id string, active boolean, list_type string, reason string, document_number string, issuing_state string, surname string, given_names string, date_of_birth string"
+
+
+def test_names_of_a_date_are_compared_once(spark, monkeypatch):
+    """Forty bearers of two names meet thirty entries of two names: four comparisons, not 1200."""
+    seen = spark.sparkContext.accumulator(0)
+    real = S.fuzz_ratio
+
+    def counted(a, b):
+        @F.pandas_udf("string")
+        def one(x: pd.Series) -> pd.Series:
+            seen.add(len(x))
+            return x
+
+        return real(one(a), b)
+
+    monkeypatch.setattr(S, "fuzz_ratio", counted)
+    people = spark.createDataFrame([(f"p{i}", None, None, None, ("SINGH", "SINHG")[i % 2], None if i % 2 else "RHEA", "1999-07-08") for i in range(40)], PERSON)
+    listed = spark.createDataFrame([(f"w{i}", True, "WANTED", "r", None, None, ("SINGH", "ROYAL")[i % 2], None if i % 2 else "RHEA", "1999-07-08") for i in range(30)], ENTRY)
+    got = S.watchlist_hits(people, listed).collect()
+    assert {(r.screening_id, r.entry_id, r.score) for r in got} == {(f"p{i}", f"w{j}", 100.0) for i in range(0, 40, 2) for j in range(0, 30, 2)} and len(got) == 300
+    assert seen.value <= 4
