@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from dossierlake.functions.fuzzy import token_sort_ratio
 from dossierlake.operators import audit as A
 from dossierlake.operators import screening as S
 
@@ -47,3 +48,25 @@ def test_names_of_a_date_are_compared_once(spark, monkeypatch):
     got = S.watchlist_hits(people, listed).collect()
     assert {(r.screening_id, r.entry_id, r.score) for r in got} == {(f"p{i}", f"w{j}", 100.0) for i in range(0, 40, 2) for j in range(0, 30, 2)} and len(got) == 300
     assert seen.value <= 4
+
+
+def test_pairs_of_other_dates_need_no_names(spark):
+    """Nulls, names on one date and a face join given as a function, against the rule itself."""
+    cols = "screening_id string, seen_at long, document_number string, document_type string, surname string, given_names string, date_of_birth string, nationality string"
+    days, names = ("1990-01-01", "1991-01-01", None), ("KHAN", "ROY", None)
+    rows = [(f"s{i}", i, f"N{i % 4}", "passport", names[i % 3], None, days[i // 3 % 3], "IND" if i % 5 else "NPL") for i in range(54)]
+    base = spark.createDataFrame(rows, cols)
+    found = S.identity_conflicts(base, base.withColumn("id", F.col("screening_id")), lambda a, b, more: a.crossJoin(b).where(S.same_keys(more) if more else F.lit(True)).withColumn("similarity", F.lit(0.9)))
+    got = sorted((r.screening_id, r.previous, r.pattern) for r in found.collect())
+    want = []
+    for a in rows:
+        for b in rows:
+            if b[1] >= a[1]:
+                continue
+            near = token_sort_ratio(a[4] or "", b[4] or "")
+            same, apart = a[6] is not None and a[6] == b[6] and bool(a[4]) and near >= 90, a[6] != b[6] or near < 80
+            pair = (a[0], b[0])
+            want += [(*pair, "document_shared_by_different_identities")] * (a[2] == b[2] and not same and apart)
+            want += [(*pair, "same_biographics_different_nationality_documents")] * (same and a[2] != b[2] and a[7] != b[7])
+            want += [(*pair, "same_face_different_identity")] * (not same and apart)
+    assert got == sorted(want)
