@@ -61,7 +61,8 @@ class Queue:
     """The rules of one queue over a store of its state.
 
     ``store`` has numbered jobs (``get``, ``put``, ``drop`` of number -> (id, attempts)), ``ends`` (first and
-    next number), ``back`` (numbers that came back, oldest first) and leases (id -> (number, worker, until, attempt)).
+    next number), ``back`` (numbers that came back, oldest first) and leases (id -> (number, worker, until, attempt)),
+    of which ``due`` takes those that end by a moment, by ``Ends``.
     Times are milliseconds.
     """
 
@@ -70,9 +71,8 @@ class Queue:
 
     def expire(self, now: int) -> list[tuple]:
         """Leases that ended by ``now``, in the order of their ends."""
-        over = sorted((until, number, name, worker, attempt) for name, (number, worker, until, attempt) in self.store.leases() if until <= now)
         out = []
-        for until, number, name, worker, attempt in over:
+        for until, number, name, worker, attempt in self.store.due(now):
             self.store.release(name)
             out.append(self._back(until, number, name, worker, attempt, attempt >= self.most))
         return out
@@ -112,10 +112,37 @@ class Queue:
         return out
 
 
+class Ends:
+    """The ends of leases in order, so that an event looks at those that are over and at no others.
+
+    An entry whose lease was released or given anew meanwhile is passed over.
+    """
+
+    def __init__(self, leases=()):
+        self.heap, self.count = [], 0
+        for name, value in leases:
+            self.add(name, value)
+
+    def add(self, name: str, value: tuple) -> None:
+        self.count += 1
+        heapq.heappush(self.heap, (value[2], value[0], self.count, name, value))
+
+    def over(self, now: int, lease_of: Callable[[str], tuple | None]) -> list[tuple]:
+        """(until, number, id, worker, attempt) of the leases that ended by ``now``."""
+        out = []
+        while self.heap and self.heap[0][0] <= now:
+            *_, name, value = heapq.heappop(self.heap)
+            if lease_of(name) == value:
+                number, worker, until, attempt = value
+                out.append((until, number, name, worker, attempt))
+        return out
+
+
 class Memory:
     """A store in memory."""
 
     def __init__(self):
+        self.ends = Ends()
         self.jobs, self.back, self.held, self.first, self.last = {}, [], {}, 0, 0
 
     def add(self, name):
@@ -142,11 +169,12 @@ class Memory:
     def put_back(self, number):
         heapq.heappush(self.back, number)
 
-    def leases(self):
-        return list(self.held.items())
+    def due(self, now):
+        return self.ends.over(now, self.held.get)
 
     def lease(self, name, value):
         self.held[name] = value
+        self.ends.add(name, value)
 
     def lease_of(self, name):
         return self.held.get(name)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.queues import OUTCOMES, Queue, in_order, outcome_rows
+from ..operators.queues import OUTCOMES, Ends, Queue, in_order, outcome_rows
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,6 +28,7 @@ class _State:
         self.jobs = handle.getMapState("jobs", "number long", "id string, attempts int")
         self.ends = handle.getValueState("ends", "first long, last long")
         self.back = handle.getListState("back", "number long")
+        self.over: Ends | None = None
         self.held = handle.getMapState("leases", "id string", "number long, worker string, until long, attempt int")
         self.seen = handle.getMapState("seen", "id string", "at long", ttlDurationMs=remembered) if remembered else None
 
@@ -70,8 +71,20 @@ class _State:
     def leases(self) -> list[tuple[str, tuple]]:
         return [(k[0], tuple(v)) for k, v in self.held.iterator()] if self.held.exists() else []
 
+    def begin(self) -> None:
+        """What is remembered is of the key before."""
+        self.over = None
+
+    def due(self, now: int) -> list[tuple]:
+        # The leases are read once for each batch of a key.
+        if self.over is None:
+            self.over = Ends(self.leases())
+        return self.over.over(now, self.lease_of)
+
     def lease(self, name: str, value: tuple) -> None:
         self.held.updateValue((name,), value)
+        if self.over is not None:
+            self.over.add(name, value)
         self.handle.registerTimer(value[2])
 
     def lease_of(self, name: str) -> tuple | None:
@@ -95,9 +108,11 @@ class Claims(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs() if self.clock else None
         events = in_order(pd.concat(list(rows)))
+        self.queue.store.begin()
         yield outcome_rows(key[0], [x for e in events for x in self.queue.handle(now or e[0], *e[1:])])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.queue.store.begin()
         yield outcome_rows(key[0], self.queue.expire(expiredTimerInfo.getExpiryTimeInMs()))
 
     def close(self) -> None:

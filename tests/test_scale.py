@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.fuzzy import token_sort_ratio
 from dossierlake.operators import audit as A
+from dossierlake.operators import queues as Q
 from dossierlake.operators import screening as S
 
 
@@ -70,3 +71,29 @@ def test_pairs_of_other_dates_need_no_names(spark):
             want += [(*pair, "same_biographics_different_nationality_documents")] * (same and a[2] != b[2] and a[7] != b[7])
             want += [(*pair, "same_face_different_identity")] * (not same and apart)
     assert got == sorted(want)
+
+
+def test_an_event_looks_at_no_other_lease():
+    """A lease whose end has not come costs an event nothing; one given anew ends at its new end."""
+
+    class Counted(dict):
+        looked = 0
+
+        def items(self):
+            Counted.looked += len(self)
+            return super().items()
+
+        def get(self, *a):
+            Counted.looked += 1
+            return super().get(*a)
+
+    queue = Q.Queue(Q.Memory(), 10_000, 3)
+    queue.store.held = Counted()
+    for k in range(500):
+        queue.handle(k, "job", f"j{k}", None, 0)
+        queue.handle(k, "ask", None, "w", 1)
+    assert Counted.looked < 1000
+    assert queue.handle(600, "failed", "j0", "w", 0) == [(600, "returned", "j0", "w", 1, None)]
+    assert queue.handle(700, "ask", None, "v", 1) == [(700, "claimed", "j0", "v", 2, 10_700)]
+    assert queue.expire(10_002) == [(10_001, "returned", "j1", "w", 1, None), (10_002, "returned", "j2", "w", 1, None)]
+    assert [x[2] for x in queue.expire(20_000)] == [*(f"j{k}" for k in range(3, 500)), "j0"]
