@@ -77,8 +77,9 @@ FROM s""")
 def region_labels(t: Tables):
     """Altered regions by the zones of their document."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    r = t.lineitem.select(*keys, *[F.expr(e).alias(n) for n, e in _REGION.items()], (F.col("l_discount") * 2).alias("ink_ratio"))
-    r = r.withColumns({n: F.expr(e) for n, e in _SIZE.items()}).dropDuplicates(keys).withColumn("region_id", F.struct(*keys[1:]))
+    # Boxes follow from the keys, so that they are not shuffled with them.
+    r = t.lineitem.select(*keys, (F.col("l_discount") * 2).alias("ink_ratio")).dropDuplicates(keys)
+    r = r.withColumns({n: F.expr(e) for n, e in _REGION.items()}).withColumns({n: F.expr(e) for n, e in _SIZE.items()}).withColumn("region_id", F.struct(*keys[1:]))
     z = F.explode(F.array(*[F.struct(F.lit(n).alias("zone"), *[F.lit(v).alias(c) for c, v in zip(("zx0", "zy0", "zx1", "zy1"), box, strict=True)]) for n, *box in _ZONES]))
     zones = t.lineitem.select("l_orderkey").distinct().select("l_orderkey", z.alias("z")).select("l_orderkey", "z.*")
     moved = (F.col("l_orderkey") % 3 * 10).cast("int")

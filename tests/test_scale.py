@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.fuzzy import token_sort_ratio
 from dossierlake.operators import audit as A
+from dossierlake.operators import layout as L
 from dossierlake.operators import queues as Q
 from dossierlake.operators import screening as S
 
@@ -73,6 +74,14 @@ def test_pairs_of_other_dates_need_no_names(spark):
     assert got == sorted(want)
 
 
+def test_zones_stay_off_the_driver(spark):
+    region = spark.createDataFrame([(k, k, 10, 10, 90, 90, 0.0) for k in range(4)], "screening_id long, region_id long, x0 int, y0 int, x1 int, y1 int, ink_ratio double")
+    zones = spark.createDataFrame([(k, "portrait", 0, 0, 800, 800) for k in range(4)], "screening_id long, zone string, zx0 int, zy0 int, zx1 int, zy1 int")
+    out = L.attributed(region, zones)
+    assert "BroadcastExchange" not in plan(out) and "BroadcastHashJoin" not in plan(out)
+    assert {r.label for r in out.collect()} == {"photo_replacement"}
+
+
 def test_an_event_looks_at_no_other_lease():
     """A lease whose end has not come costs an event nothing; one given anew ends at its new end."""
 
