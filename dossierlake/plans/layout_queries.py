@@ -52,7 +52,7 @@ SELECT k AS row_id, h.s AS start, h.e AS "end", h.f AS field FROM (
     WHEN 6 THEN [{{'s': 1, 'e': 2, 'f': 'date_of_expiry'}}, {{'s': 3, 'e': 6, 'f': 'place_of_birth'}}] ELSE [] END) AS h FROM c)""")
 def printed_labels(t: Tables):
     """Labels as they are read, with their faults."""
-    rows = t.customer.select(F.col("c_custkey").alias("k")).select(F.col("k").alias("row_id"), F.split(F.expr(_PRINTED), " ").alias("words"))
+    rows = t.spread(t.customer.select(F.col("c_custkey").alias("k"))).select(F.col("k").alias("row_id"), F.split(F.expr(_PRINTED), " ").alias("words"))
     return L.label_hits(rows, ["row_id"]).drop("score")
 
 

@@ -1,14 +1,18 @@
 """Steps whose cost must not outgrow their input."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from dossierlake import plans
 from dossierlake.functions.fuzzy import token_sort_ratio
 from dossierlake.operators import audit as A
 from dossierlake.operators import layout as L
 from dossierlake.operators import queues as Q
 from dossierlake.operators import screening as S
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -106,3 +110,10 @@ def test_an_event_looks_at_no_other_lease():
     assert queue.handle(700, "ask", None, "v", 1) == [(700, "claimed", "j0", "v", 2, 10_700)]
     assert queue.expire(10_002) == [(10_001, "returned", "j1", "w", 1, None), (10_002, "returned", "j2", "w", 1, None)]
     assert [x[2] for x in queue.expire(20_000)] == [*(f"j{k}" for k in range(3, 500)), "j0"]
+
+
+@pytest.mark.parametrize("name", ["printed_labels", "zone_round_trip", "zones_of_all_formats"])
+def test_a_small_file_keeps_all_cores_busy(spark, name):
+    """Customers are one file and so one task, unless they are dealt out before the costly step."""
+    shown = plan(plans.QUERIES[name](spark, FOLDER))
+    assert "RoundRobinPartitioning" in shown
