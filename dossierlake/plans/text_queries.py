@@ -211,7 +211,7 @@ def zone_round_trip(t: Tables):
     """Zones written and read back: most sound, some with a wrong composite digit, some with a letter in a date."""
     key = F.col("c_custkey")
     birth = F.concat(F.lpad((key % 90).cast("string"), 2, "0"), F.lit("0101"))
-    rows = t.customer.select("c_custkey", M.generate("TD3", F.lit("P"), F.lit("UTO"), key.cast("string"), F.lit("UTO"), birth, F.lit("F"), F.lit("300101"), F.lit("DOE"), F.lit("JANE")).alias("whole"))
+    rows = t.spread(t.customer.select("c_custkey")).select("c_custkey", M.generate("TD3", F.lit("P"), F.lit("UTO"), key.cast("string"), F.lit("UTO"), birth, F.lit("F"), F.lit("300101"), F.lit("DOE"), F.lit("JANE")).alias("whole"))
     last = F.substring(F.col("whole")[1], 44, 1)
     # A tenth has the next composite digit; another tenth the letter I where its date has the digit 1.
     forged = F.concat(F.substring(F.col("whole")[1], 1, 43), ((last.cast("int") + 1) % 10).cast("string"))
