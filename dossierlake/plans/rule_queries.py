@@ -136,5 +136,5 @@ def zones_of_all_formats(t: Tables):
 
     formats = ["TD1", "TD2", "TD3", "MRVA", "MRVB"]
     lines = F.coalesce(*[F.when(k % 5 == i, zone(fmt)) for i, fmt in enumerate(formats)])
-    z = M.with_zone(t.customer.select("c_custkey", lines.alias("lines")), "lines")
+    z = M.with_zone(t.spread(t.customer.select("c_custkey")).select("c_custkey", lines.alias("lines")), "lines")
     return z.select("c_custkey", "zone.format", F.col("zone.overall_check_digit_valid").alias("sound"), F.col("zone.document_number").alias("number"), "zone.surname", "zone.given_names", "zone.date_of_birth", "zone.sex")
