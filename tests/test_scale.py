@@ -10,6 +10,7 @@ from dossierlake.operators import audit as A
 from dossierlake.operators import layout as L
 from dossierlake.operators import queues as Q
 from dossierlake.operators import screening as S
+from dossierlake.operators import vectors as V
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -117,3 +118,9 @@ def test_a_small_file_keeps_all_cores_busy(spark, name):
     """Customers are one file and so one task, unless they are dealt out before the costly step."""
     shown = plan(plans.QUERIES[name](spark, FOLDER))
     assert "RoundRobinPartitioning" in shown
+
+
+def test_blocks_of_single_floats_take_half(spark):
+    rows = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * (F.col("id") + 1)).cast("float")).alias("v"))
+    size = lambda df: V.blocks_of(df, "id", "v").agg(F.sum(F.length("v"))).first()[0]
+    assert 2 * size(rows) == size(rows.withColumn("v", F.col("v").cast("array<double>"))) == 40 * 8 * 8
