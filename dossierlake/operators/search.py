@@ -29,6 +29,8 @@ from ..functions.text import tokens
 BUCKETS = 64
 #: Ids of one block.
 BLOCK = 8192
+#: Hits that a task turns into posting lists at a time.
+HELD = 1 << 22
 POSTINGS = "token string, block bigint, n_docs bigint, n_hits bigint, postings binary"
 LAYOUT = f"{POSTINGS}, segment bigint, bucket int"
 
@@ -64,8 +66,8 @@ def from_bytes(data: bytes) -> np.ndarray:
     return np.add.reduceat(parts, starts).astype(np.int64)
 
 
-def encoded(heads: np.ndarray, ids: np.ndarray, places: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """(posting lists, documents in each) of hits sorted by (list, id, place); ``heads`` are the first hits of the lists, ids count from ``first``.
+def _encoded(heads: np.ndarray, ids: np.ndarray, places: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(posting lists behind each other, where they are cut, documents in each) of hits sorted by (list, id, place); ``heads`` are the first hits of the lists, ids count from ``first``.
 
     A list: number of documents, gaps of ids, counts, gaps of places within a document.
     """
@@ -89,7 +91,12 @@ def encoded(heads: np.ndarray, ids: np.ndarray, places: np.ndarray, first: np.nd
     own = np.repeat(np.arange(len(heads)), hits)
     out[base[own] + 1 + 2 * n[own] + np.arange(len(ids)) - heads[own]] = steps
     data, ends = to_bytes(out)
-    cuts = np.concatenate(([0], ends[base + size - 1]))
+    return data, np.concatenate(([0], ends[base + size - 1])), n
+
+
+def encoded(heads: np.ndarray, ids: np.ndarray, places: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The same with the lists apart."""
+    data, cuts, n = _encoded(heads, ids, places, first)
     return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], n
 
 
@@ -103,20 +110,43 @@ def decoded(data: bytes, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return docs, counts, total - np.repeat(total[heads] - gaps[heads], counts)
 
 
+def decoded_all(lists: pa.Array, n_docs: np.ndarray, n_hits: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, id, place) of every hit of many lists at once."""
+    numbers = from_bytes(b"".join(lists.to_pylist()))
+    size = 1 + 2 * n_docs + n_hits
+    base = np.cumsum(size) - size
+    of, first_doc = np.repeat(np.arange(len(size)), n_docs), np.cumsum(n_docs) - n_docs
+    at = base[of] + 1 + np.arange(len(of)) - first_doc[of]
+    run = np.cumsum(numbers[at])
+    ids = run - (run[first_doc] - numbers[at][first_doc])[of] + first[of]
+    counts = numbers[at + n_docs[of]]
+    own, first_hit = np.repeat(np.arange(len(size)), n_hits), np.cumsum(n_hits) - n_hits
+    gaps = numbers[base[own] + 1 + 2 * n_docs[own] + np.arange(len(own)) - first_hit[own]]
+    total, heads = np.cumsum(gaps), np.cumsum(counts) - counts
+    return own, np.repeat(ids, counts), total - np.repeat(total[heads] - gaps[heads], counts)
+
+
+def _lists(tokens: pa.Array, k: np.ndarray, heads: np.ndarray, ids: np.ndarray, places: np.ndarray, block: int) -> pa.RecordBatch:
+    """The lists of sorted hits as rows; ``tokens`` and blocks ``k`` are those of the lists."""
+    data, cuts, n = _encoded(heads, ids, places, k * block)
+    lists = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([tokens, pa.array(k), pa.array(n), pa.array(np.diff(np.append(heads, len(ids)))), lists], ["token", "block", "n_docs", "n_hits", "postings"])
+
+
+def _heads(rows: pa.Table) -> np.ndarray:
+    """Where the word or the block of sorted rows changes."""
+    token, k = rows["token"].combine_chunks(), rows["block"].to_numpy()
+    changed = pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False) | (k[1:] != k[:-1])
+    return np.concatenate(([0], np.flatnonzero(changed) + 1))
+
+
 def _packed(hits: DataFrame, block: int) -> DataFrame:
     """Hits (token, block, id, place) to posting lists: sorted within partitions and read as a stream, a list at a time at most."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(rows: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
-            k = rows["block"].to_numpy()[heads]
-            data, n = encoded(heads, rows["id"].to_numpy(), rows["place"].to_numpy().astype(np.int64), k * block)
             tokens = rows["token"].take(pa.array(heads)).combine_chunks()
-            return pa.RecordBatch.from_arrays([tokens, pa.array(k), pa.array(n), pa.array(np.diff(np.append(heads, len(rows)))), pa.array(data, pa.binary())], ["token", "block", "n_docs", "n_hits", "postings"])
-
-        def heads_of(rows: pa.Table) -> np.ndarray:
-            token, k = rows["token"].combine_chunks(), rows["block"].to_numpy()
-            changed = pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False) | (k[1:] != k[:-1])
-            return np.concatenate(([0], np.flatnonzero(changed) + 1))
+            return _lists(tokens, rows["block"].to_numpy()[heads], heads, rows["id"].to_numpy(), rows["place"].to_numpy().astype(np.int64), block)
 
         # What is held is cut only where it has doubled, so that a long list is not looked at for each batch.
         held: list[pa.RecordBatch] = []
@@ -129,7 +159,7 @@ def _packed(hits: DataFrame, block: int) -> DataFrame:
             if size < limit:
                 continue
             rows = pa.Table.from_batches(held)
-            heads = heads_of(rows)
+            heads = _heads(rows)
             if len(heads) > 1:
                 yield lists(rows.slice(0, heads[-1]), heads[:-1])
             held = rows.slice(heads[-1]).combine_chunks().to_batches()
@@ -137,15 +167,98 @@ def _packed(hits: DataFrame, block: int) -> DataFrame:
             limit = max(1 << 16, 2 * size)
         if held:
             rows = pa.Table.from_batches(held)
-            yield lists(rows, heads_of(rows))
+            yield lists(rows, _heads(rows))
 
     return hits.select("token", "block", "id", "place").repartition("token", "block").sortWithinPartitions("token", "block", "id", "place").mapInArrow(pack, POSTINGS)
 
 
-def postings(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each word and block of ids; one shuffle, of (word, id, place)."""
-    found = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(tokens(F.col(text_col))).alias("place", "token"))
-    return _packed(found.withColumn("block", F.floor(F.col("id") / block)), block)
+def _partial(words: DataFrame, block: int, held: int) -> DataFrame:
+    """Texts (id, words) to posting lists of what a task has read at a time, so that lists are shuffled and not hits."""
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            texts = pa.Table.from_batches(rows).combine_chunks()
+            length = pc.list_value_length(texts["words"]).to_numpy().astype(np.int64)
+            known, rank = np.unique(texts["id"].to_numpy(), return_inverse=True)
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            coded = pc.list_flatten(texts["words"]).combine_chunks().dictionary_encode()
+            key = coded.indices.to_numpy().astype(np.int64) * len(known) + np.repeat(rank, length)
+            # Places ascend within a text already; two texts of one id are merged.
+            order = np.argsort(key, kind="stable") if len(known) == len(length) else np.lexsort((place, key))
+            code, ids = np.divmod(key[order], len(known))
+            ids = known[ids]
+            k = ids // block
+            heads = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (k[1:] != k[:-1]))))
+            return _lists(coded.dictionary.take(pa.array(code[heads])), k[heads], heads, ids, place[order], block)
+
+        kept: list[pa.RecordBatch] = []
+        hits = 0
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                n = pc.sum(pc.list_value_length(some["words"])).as_py()
+                if hits and hits + n > held:
+                    yield lists(kept)
+                    kept, hits = [], 0
+                kept.append(some)
+                hits += n
+        if hits:
+            yield lists(kept)
+
+    return words.select("id", "words").mapInArrow(invert, POSTINGS)
+
+
+def _joined(partial: DataFrame, block: int, held: int, buckets: int) -> DataFrame:
+    """Lists of one word and block joined; the rows of a bucket come into four parts of it.  One shuffle, of lists.
+
+    Lists are opened only where a word and block has more than one.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(rows: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+            parts = np.diff(np.append(heads, len(rows)))
+            yield from rows.take(pa.array(heads[parts == 1])).combine_chunks().to_batches()
+            many = np.repeat(parts > 1, parts)
+            if not many.any():
+                return
+            some = rows.filter(pa.array(many)).combine_chunks()
+            k = some["block"].to_numpy()
+            own, ids, places = decoded_all(some["postings"], some["n_docs"].to_numpy(), some["n_hits"].to_numpy(), k * block)
+            parts = parts[parts > 1]
+            group = np.repeat(np.arange(len(parts)), parts)[own]
+            order = np.lexsort((places, ids, group))
+            group, ids, places = group[order], ids[order], places[order]
+            start = np.cumsum(parts) - parts
+            yield _lists(some["token"].take(pa.array(start)).combine_chunks(), k[start], np.flatnonzero(np.diff(group, prepend=-1)), ids, places, block)
+
+        kept: list[pa.RecordBatch] = []
+        hits, limit = 0, held
+        for batch in batches:
+            if not len(batch):
+                continue
+            kept.append(batch)
+            hits += pc.sum(batch["n_hits"]).as_py()
+            if hits < limit:
+                continue
+            rows = pa.Table.from_batches(kept)
+            heads = _heads(rows)
+            if len(heads) > 1:
+                yield from lists(rows.slice(0, heads[-1]), heads[:-1])
+            kept = rows.slice(heads[-1]).combine_chunks().to_batches()
+            hits = sum(pc.sum(b["n_hits"]).as_py() for b in kept)
+            limit = max(held, 2 * hits)
+        if kept:
+            rows = pa.Table.from_batches(kept)
+            yield from lists(rows, _heads(rows))
+
+    spread = partial.repartition(bucket_of(F.col("token"), buckets), F.pmod(F.hash("token", "block"), F.lit(4)))
+    return spread.sortWithinPartitions("token", "block").mapInArrow(join, POSTINGS)
+
+
+def postings(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, held: int = HELD, buckets: int = BUCKETS) -> DataFrame:
+    """One row for each word and block of ids."""
+    words = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("words"))
+    return _joined(_partial(words, block, held), block, held, buckets)
 
 
 def add_segment(texts: DataFrame, path: str, segment: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, block: int = BLOCK) -> None:
@@ -153,9 +266,9 @@ def add_segment(texts: DataFrame, path: str, segment: int, id_col: str = "doc_id
 
     Ids that earlier segments have are noted apart, so that a search need not look at all of them.
     """
-    rows = postings(texts, id_col, text_col, block).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    # Words of one bucket may be many: its files are cut by a second hash.
-    rows.repartition("bucket", F.pmod(F.hash("token", "block"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    # Words of one bucket may be many: its files are cut by a second hash, that of the shuffle of lists.
+    rows = postings(texts, id_col, text_col, block, buckets=buckets).withColumn("bucket", bucket_of(F.col("token"), buckets))
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     own = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     own.join(_ids(texts.sparkSession, path, "documents").where(F.col("segment") < segment), "id", "left_semi").write.mode("overwrite").parquet(f"{path}/replaced/segment={segment}")
     own.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")

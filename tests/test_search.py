@@ -72,6 +72,29 @@ def test_searches_equal_brute_force(spark, tmp_path, block):
         assert S.stored(spark, whole).agg(F.max("n_docs")).first()[0] <= 7
 
 
+@pytest.mark.parametrize("held, block", [(1 << 22, 8192), (50, 7), (1, 3)])
+def test_lists_are_shuffled_and_not_hits(spark, held, block):
+    """Lists of any number of texts, an id twice in other tasks and in one, ids below zero, texts without words."""
+    rows = [*corpus(6, range(-20, 60)), *corpus(7, [3, 3, 40]), *corpus(8, [3]), (60, None), (61, " . "), (None, "alpha")]
+    found = S.postings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block=block, held=held)
+    got, lists = {}, found.collect()
+    for r in lists:
+        docs, counts, places = S.decoded(r.postings, r.block * block)
+        assert len(docs) == r.n_docs == len(set(docs)) and counts.sum() == r.n_hits == len(places)
+        for i, place in zip(np.repeat(docs, counts).tolist(), places.tolist(), strict=True):
+            assert i // block == r.block
+            got.setdefault((r.token, i), []).append(place)
+    want = {}
+    for i, text in rows:
+        for place, w in enumerate(words_of(text) if i is not None else ()):
+            want.setdefault((w, i), []).append(place)
+    assert got == {k: sorted(v) for k, v in want.items()}
+    assert len({(r.token, r.block) for r in lists}) == len(lists)
+    # Words are met in the task that reads them: what is exchanged by word are lists.
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in shown and re.search(r"MapInArrow.*RepartitionByExpression.*MapInArrow", shown, re.S)
+
+
 def test_a_search_opens_only_the_buckets_of_its_words(spark, tmp_path):
     path = str(tmp_path)
     S.add_segment(spark.createDataFrame([(k, f"word{k} common") for k in range(500)], "doc_id long, text string"), path, 0)
