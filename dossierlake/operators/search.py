@@ -30,7 +30,7 @@ BUCKETS = 64
 #: Ids of one block.
 BLOCK = 8192
 #: Hits that a task turns into posting lists at a time.
-HELD = 1 << 22
+HELD = 1 << 21
 POSTINGS = "token string, block bigint, n_docs bigint, n_hits bigint, postings binary"
 LAYOUT = f"{POSTINGS}, segment bigint, bucket int"
 
@@ -43,7 +43,7 @@ def to_bytes(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(bytes, end of each): non-negative integers, seven bits a byte, the last byte of each without its high bit."""
     numbers = np.asarray(numbers, np.uint64)
     size = np.ones(len(numbers), np.int64)
-    for k in range(1, 10):
+    for k in range(1, -(-int(numbers.max(initial=0)).bit_length() // 7)):
         size += numbers >> np.uint64(7 * k) != 0
     ends = np.cumsum(size)
     out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
@@ -226,7 +226,12 @@ def _joined(partial: DataFrame, block: int, held: int, buckets: int) -> DataFram
             own, ids, places = decoded_all(some["postings"], some["n_docs"].to_numpy(), some["n_hits"].to_numpy(), k * block)
             parts = parts[parts > 1]
             group = np.repeat(np.arange(len(parts)), parts)[own]
-            order = np.lexsort((places, ids, group))
+            # Runs that ascend already: what is sorted are their edges, and places only where a document is in two lists.
+            key = group * block + ids - k[own] * block
+            order = np.argsort(key, kind="stable")
+            same = np.diff(key[order]) == 0
+            if (same & (np.diff(places[order]) < 0)).any():
+                order = np.lexsort((places, key))
             group, ids, places = group[order], ids[order], places[order]
             start = np.cumsum(parts) - parts
             yield _lists(some["token"].take(pa.array(start)).combine_chunks(), k[start], np.flatnonzero(np.diff(group, prepend=-1)), ids, places, block)

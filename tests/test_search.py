@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,14 @@ def test_bytes_round_trip():
         assert np.repeat(docs, counts).tolist() == ids[a:b].tolist() and found.tolist() == places[a:b].tolist()
 
 
+def test_lists_are_read_together():
+    heads, ids = np.array([0, 3, 4]), np.array([5, 5, 900, 7, 5000, 5000, 8000])
+    places, first = np.array([0, 130, 2, 0, 3, 4, 1_000_000]), np.array([0, 0, 4096])
+    lists, n = S.encoded(heads, ids, places, first)
+    own, got, at = S.decoded_all(pa.array(lists, pa.binary()), n, np.array([3, 1, 3]), first)
+    assert own.tolist() == [0, 0, 0, 1, 2, 2, 2] and got.tolist() == ids.tolist() and at.tolist() == places.tolist()
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_searches_equal_brute_force(spark, tmp_path, block):
     path = str(tmp_path / "index")
