@@ -5,6 +5,8 @@ pattern for each engine: Java's own ``\b`` knows Unicode letters, and Python's
 does unless it is told.
 """
 
+import re
+
 # Fixed values.
 PHONE = r"(?:\+?91[-\s]?)?\b[6-9][0-9]{9}\b"
 AADHAAR = r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b"
@@ -34,11 +36,22 @@ PRESERVED = (FIR_NUMBER, SECTION, DATE)
 #: What every match of a pattern holds; texts without it need no search.
 HOLDS = {PHONE: "[0-9]{10}", AADHAAR: "[0-9]{4}", EMAIL: "@", FIR_NUMBER: "[0-9]{4}", SECTION: "[0-9]", DATE: "[0-9][/-][0-9]"}
 
+#: What every match of a pattern begins with, under the flags of the pattern; elsewhere it is not tried.
+STARTS = {
+    PHONE: "[+6-9]", AADHAAR: "[0-9]", FIR_NUMBER: "[F0-9]", SECTION: "[BICS]", DATE: "[0-9]",
+    ROLE_NAME: "[CVIPD]", RELATION_NAME: "[SDWCHFM]", ADDRESS: "[RA]",
+}
+#: What may go before a search: anything but runs of a pattern's characters beside its sign, which keep their neighbours apart.
+DROPS = {EMAIL: r"(?:[^A-Za-z0-9._%+@-]|\A)(?:[^@]*(?:[^A-Za-z0-9._%+@-]|\z))?"}
+
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def java(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
+    flags, body = re.fullmatch(r"((?:\(\?[a-z]+\))?)(.*)", pattern, re.S).groups()
+    if pattern in STARTS:
+        body = f"(?={STARTS[pattern]})(?:{body})"
+    return flags + body.replace(r"\b", _EDGE)
 
 
 def python(pattern: str) -> str:

@@ -1,10 +1,15 @@
 """Steps whose cost must not outgrow their input."""
 
+import random
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake import plans
+from dossierlake.functions import patterns as P
+from dossierlake.functions import text as X
 from dossierlake.functions.fuzzy import token_sort_ratio
 from dossierlake.operators import audit as A
 from dossierlake.operators import layout as L
@@ -124,3 +129,22 @@ def test_blocks_of_single_floats_take_half(spark):
     rows = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * (F.col("id") + 1)).cast("float")).alias("v"))
     size = lambda df: V.blocks_of(df, "id", "v").agg(F.sum(F.length("v"))).first()[0]
     assert 2 * size(rows) == size(rows.withColumn("v", F.col("v").cast("array<double>"))) == 40 * 8 * 8
+
+
+def test_a_pattern_is_tried_only_where_it_may_begin(spark):
+    """Each pattern as it is, on letters whose case folds oddly and on pieces of matches in any order; then a long run without a sign."""
+    rng = random.Random(9)
+    pieces = [*" \n.-+_@/;:xX9éāſıİKश", "ı", "r/o ", "R/O", "address", "ſ/o Ab Cd", "son of ", "complainant: ", "ınformant ", "İnformant Ab", "victim", "Asha Verma", "+91 ", "91-", "9876543210", "1234 5678 9012", "1234", "FIR No. ", "fır", "12/2021", "Section 5(2)", "ſection 7", "IPC 302", "bns", "5/6/2021", "2021-03-04", "a@b.org", "x.y@", "@z.com", ".co-", "%", "\U0001f600"]
+    rows = [("".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))),) for _ in range(4000)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").cache()
+    t = F.col("t")
+    for p in (P.PHONE, P.EMAIL, P.AADHAAR, P.FIR_NUMBER, P.SECTION, P.DATE, P.ROLE_NAME, P.RELATION_NAME, P.ADDRESS):
+        plain = F.regexp_extract_all(t, F.lit(p.replace(r"\b", P._EDGE)), F.lit(0))
+        assert df.where(~F.regexp_extract_all(t, F.lit(P.java(p)), F.lit(0)).eqNullSafe(plain)).count() == 0 < df.where(F.size(plain) > 0).count()
+        assert df.where(X.matches(t, p) != F.array_distinct(F.coalesce(plain, F.array().cast("array<string>")))).count() == 0
+        assert p == P.EMAIL or P.java(p) != p.replace(r"\b", P._EDGE)
+    # Tried at each of its edges, this run would take 10^11 steps.
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("a."), 300_000), F.lit(" x@y.org "), F.repeat(F.lit("b."), 300_000)).alias("t"))
+    start = time.monotonic()
+    assert long.select(X.matches(F.col("t"), P.EMAIL)).first()[0] == ["x@y.org"]
+    assert time.monotonic() - start < 30
