@@ -22,6 +22,8 @@ DIGIT_FOR = {"O": "0", "o": "0", "D": "0", "Q": "0", "I": "1", "l": "1", "L": "1
 YEARS = (1900, 2100)
 
 _GLYPH = "[0-9OIDQSLBZG]"
+#: What ``read_date`` may read: it needs five digits or glyphs at least. Other letters than ASCII may become glyphs in upper case.
+_MAY_READ = r"(?:[0-9OIDQSLBZGoidqslbzg|][^0-9OIDQSLBZGoidqslbzg|]*){5}|[^\x00-\x7F]"
 _NAMED = re.compile(rf"(\d{{1,2}}|{_GLYPH}{{2}})\s*[ \-/.]?\s*([A-Z0-9]{{3}})[A-Z]*\s*[ \-/.]?\s*(\d{{4}}|{_GLYPH}{{4}})")
 _NUMERIC = (
     (re.compile(r"(?<!\d)(\d{4})[\-/. ](\d{1,2})[\-/. ](\d{1,2})(?!\d)"), (1, 2, 3)),
@@ -60,7 +62,13 @@ def clean_date(text: Column) -> Column:
     """Dates printed without confusions, by built-in functions alone.
 
     Each form is asked only for what it can read, as a failed attempt is dear.
+    ISO dates are cast: that is done without lambdas, which run uncompiled.
     """
+    iso = text.try_cast("date")
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.when(F.year(iso).between(*YEARS), iso)).otherwise(_clean_form(text))
+
+
+def _clean_form(text: Column) -> Column:
     value = F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
     def read(value: Column) -> Column:
@@ -78,50 +86,49 @@ def clean_date(text: Column) -> Column:
 
 @arrow_function("date")
 def _read(texts: pd.Series) -> pd.Series:
-    return texts.map(read_date)
+    return pd.Series([None if x is None else read_date(x) for x in texts], dtype=object)
 
 
 def parse_date(text: Column | str) -> Column:
-    """The first readable date; only texts that are no clean date go to Python."""
+    """The first readable date; only texts that are no clean date and may be one go to Python."""
     text = F.col(text) if isinstance(text, str) else text
     clean = clean_date(text)
-    return F.coalesce(clean, _read(F.when(clean.isNull() & text.rlike("[0-9A-Za-z]"), text)))
+    return F.coalesce(clean, _read(F.when(clean.isNull() & _may_read(text), text)))
+
+
+def _may_read(text: Column) -> Column:
+    return text.rlike("[0-9A-Za-z]") & text.rlike(_MAY_READ)
 
 
 def with_dates(rows: DataFrame, **texts: Column) -> DataFrame:
     """Rows with a date column for each text.
 
     Clean dates are read in a projection of their own; Python sees only the
-    texts that are left, in one batch for all columns.
+    texts that are left, in one batch for all columns.  A column for each: of an
+    array, the Arrow writer would go over the whole batch again for every row.
     """
     kept = rows.columns
     clean = rows.withColumns({f"_clean_{k}": clean_date(v) for k, v in texts.items()} | {f"_text_{k}": v for k, v in texts.items()})
-    left = {k: F.when(F.col(f"_clean_{k}").isNull() & F.col(f"_text_{k}").rlike("[0-9A-Za-z]"), F.col(f"_text_{k}")) for k in texts}
-    read = clean.withColumn("_read", _read_all(F.array(*left.values())))
-    return read.select(*kept, *[F.coalesce(f"_clean_{k}", F.get("_read", F.lit(i))).alias(k) for i, k in enumerate(texts)])
-
-
-@arrow_function("array<date>")
-def _read_all(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda some: [None if x is None else read_date(x) for x in some])
-
-
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    return F.when(year.between(*YEARS), F.try_to_date(text, "yyyy-MM-dd"))
+    left = {k: F.when(F.col(f"_clean_{k}").isNull() & _may_read(F.col(f"_text_{k}")), F.col(f"_text_{k}")) for k in texts}
+    read = clean.withColumns({f"_read_{k}": _read(v) for k, v in left.items()})
+    return read.select(*kept, *[F.coalesce(f"_clean_{k}", f"_read_{k}").alias(k) for k in texts])
 
 
 def mrz_date(yymmdd: Column, kind: str, today: Column) -> Column:
     """A six-digit date: births are not in the future, expiries are in the nearest century."""
-    ok = yymmdd.rlike("^[0-9]{6}$")
-    yy, mm, dd = (F.when(ok, F.substring(yymmdd, i, 2)).cast("int") for i in (1, 3, 5))
-    if kind == "birth":
-        year = F.when(yy + 2000 <= F.year(today), yy + 2000).otherwise(yy + 1900)
-        found = _ymd(year, mm, dd)
-        return F.when(found > today, _ymd(year - 100, mm, dd)).otherwise(found)
-    century = F.floor(F.year(today) / 100) * 100
-    options = F.filter(F.array(*[_ymd(century + shift + yy, mm, dd) for shift in (-100, 0, 100)]), lambda d: d.isNotNull())
-    return F.array_min(F.transform(options, lambda d: F.struct(F.abs(F.datediff(d, today)).alias("away"), d.alias("day"))))["day"]
+
+    def read(text: Column) -> Column:
+        yy, rest = F.substring(text, 1, 2).cast("int"), F.concat(F.lit("-"), F.substring(text, 3, 2), F.lit("-"), F.substring(text, 5, 2))
+        day = lambda year: F.when(year.between(*YEARS), F.concat(year.cast("string"), rest).try_cast("date"))
+        if kind == "birth":
+            year = F.when(yy + 2000 <= F.year(today), yy + 2000).otherwise(yy + 1900)
+            return F.when(day(year) > today, day(year - 100)).otherwise(day(year))
+        century = F.floor(F.year(today) / 100) * 100
+        options = F.filter(F.array(*[day(century + shift + yy) for shift in (-100, 0, 100)]), lambda d: d.isNotNull())
+        return F.array_min(F.transform(options, lambda d: F.struct(F.abs(F.datediff(d, today)).alias("away"), d.alias("day"))))["day"]
+
+    # Bound to the variable of a lambda: written out, the formula would fill a compiled method beyond what the JVM optimizes.
+    return F.get(F.transform(F.array(F.when(yymmdd.rlike("^[0-9]{6}$"), yymmdd)), read), F.lit(0))
 
 
 def age(birth: Column, on: Column) -> Column:

@@ -41,7 +41,9 @@ def codes() -> frozenset[str]:
 
 
 def is_code(code: Column) -> Column:
-    return F.upper(F.translate(F.coalesce(code, F.lit("")), "<", "")).isin(sorted(codes()))
+    """Whether it is a code; only others are put in upper case."""
+    bare, known = F.translate(F.coalesce(code, F.lit("")), "<", ""), sorted(codes())
+    return bare.isin(known) | F.upper(bare).isin(known)
 
 
 def code_of(text: str | None, known: frozenset[str]) -> str | None:

@@ -1,5 +1,7 @@
 """Text rules, dates, zones, similarity and hashes on literal cases."""
 
+import random
+import re
 from datetime import date
 from itertools import product
 
@@ -117,6 +119,42 @@ def test_odd_dates(spark):
     assert one(spark, D.printed_dates(F.lit("born 14 FEB 2002, until 2030-01-01"))) == ["2002-02-14", "2030-01-01"]
 
 
+def test_clean_dates_and_what_goes_to_python(spark):
+    rng = random.Random(13)
+    texts = [f"{rng.choice((1899, 1900, 2000, 2001, 2100, 2101, 3112))}-{rng.randrange(20):02}-{rng.randrange(35):02}{rng.choice(('', '', ' ', chr(10)))}" for _ in range(400)]
+    texts += ["".join(rng.choice("0OoDlIı|S 1/-.FEBMAY٣ßn") for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += ["1 FEB 2OO2", "ID FEB 2002", "3112-19-50", "no date", "20020214", "ß1 FEB 2002", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    got = {r.i: (r.may, r.parsed, r.read) for r in D.with_dates(rows, read=F.col("t")).select("i", "read", D._may_read(F.col("t")).alias("may"), D.parse_date("t").alias("parsed")).collect()}
+    for i, t in enumerate(texts):
+        want = D.read_date(t) if re.search("[0-9A-Za-z]", t) else None
+        assert got[i][1:] == (want, want), t
+        assert got[i][0] or want is None, t
+    assert sum(may for may, *_ in got.values()) < len(texts) and not got[texts.index("no date")][0]
+
+
+@pytest.mark.parametrize("now", ["2026-09-16", "2000-02-29", "1996-01-01"])
+def test_zone_dates_equal_a_search_of_years(spark, now):
+    rng, today = random.Random(5), date.fromisoformat(now)
+    texts = [f"{rng.randrange(100):02}{rng.randrange(14):02}{rng.randrange(33):02}" for _ in range(600)] + ["000229", "960101", "960102", "260916", "260917", "76916", "7609160", "8O0101", "", None]
+
+    def day(year, t):
+        return D.calendar(year, int(t[2:4]), int(t[4:]))
+
+    def want(t):
+        if not t or not re.fullmatch("[0-9]{6}", t):
+            return None, None
+        year = int(t[:2]) + (2000 if int(t[:2]) + 2000 <= today.year else 1900)
+        birth = day(year, t)
+        expiry = [d for c in (-100, 0, 100) if (d := day(today.year // 100 * 100 + c + int(t[:2]), t))]
+        return day(year - 100, t) if birth and birth > today else birth, min(expiry, key=lambda d: (abs(d - today), d), default=None)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    on = F.lit(now).cast("date")
+    got = rows.select("t", D.mrz_date(F.col("t"), "birth", on).alias("birth"), D.mrz_date(F.col("t"), "expiry", on).alias("expiry")).collect()
+    assert len(got) == len(texts) and all((r.birth, r.expiry) == want(r.t) for r in got)
+
+
 HOLDER = {"issuing_state": "UTO", "document_number": "K71M4P829", "nationality": "UTO", "date_of_birth": "020214", "sex": "M", "date_of_expiry": "350918", "surname": "GUPTA", "given_names": "AKSHIT"}
 
 

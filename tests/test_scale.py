@@ -1,6 +1,7 @@
 """Steps whose cost must not outgrow their input."""
 
 import random
+import re
 import time
 
 import pandas as pd
@@ -148,3 +149,19 @@ def test_a_pattern_is_tried_only_where_it_may_begin(spark):
     start = time.monotonic()
     assert long.select(X.matches(F.col("t"), P.EMAIL)).first()[0] == ["x@y.org"]
     assert time.monotonic() - start < 30
+
+
+def test_rules_run_compiled(spark, capsys):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = plans.QUERIES["validation_checks"](spark, FOLDER)
+        shown = found._jdf.queryExecution().optimizedPlan().toString()
+        capsys.readouterr()
+        found.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # No lambda goes over the rules, no array goes to Python, and no method is too long for the JVM to compile.
+    assert "filter(concat(" not in shown and not re.search(r"_read\w*\(array\(", shown)
+    assert sizes and max(sizes) <= 8000
