@@ -104,8 +104,8 @@ def with_dates(rows: DataFrame, **texts: Column) -> DataFrame:
     """Rows with a date column for each text.
 
     Clean dates are read in a projection of their own; Python sees only the
-    texts that are left, in one batch for all columns.  A column for each: of an
-    array, the Arrow writer would go over the whole batch again for every row.
+    texts that are left, in one batch for all columns.  A column for each: of null
+    arrays, the Arrow writer would go over the batch again for every row.
     """
     kept = rows.columns
     clean = rows.withColumns({f"_clean_{k}": clean_date(v) for k, v in texts.items()} | {f"_text_{k}": v for k, v in texts.items()})
