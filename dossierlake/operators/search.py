@@ -15,6 +15,7 @@ A document id is an integer.  Null texts have no words, and null ids are left ou
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,34 +25,53 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-
 BUCKETS = 64
 #: Ids of one block.
 BLOCK = 8192
-#: Hits that a task turns into posting lists at a time.
-HELD = 1 << 21
+#: Hits that a task turns into posting lists at a time, and of those the hits that are encoded at a time.
+HELD = 1 << 20
+ENCODED = 1 << 18
 POSTINGS = "token string, block bigint, n_docs bigint, n_hits bigint, postings binary"
 LAYOUT = f"{POSTINGS}, segment bigint, bucket int"
+#: What is shuffled: the lists of all words of a bucket and block that a task had at a time.  ``numbers`` are five of each list.
+PARTIAL = "bucket int, block bigint, tokens string, n_hits bigint, numbers binary, postings binary"
+#: Bytes of lower-cased words (1): letters and digits of ASCII, and all beyond it.
+INSIDE = bytes(b > 127 or chr(b).isalnum() for b in range(256))
+OUTSIDE = bytes(b for b in range(256) if not INSIDE[b])
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(token), F.lit(buckets)).cast("int")
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased text in which the words of ``functions.text.tokens`` are the runs of ``INSIDE``; texts of ASCII alone meet no pattern."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(low, r"[^\x00-\x7F\p{L}\p{N}]+", " "))
 
 
 def to_bytes(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(bytes, end of each): non-negative integers, seven bits a byte, the last byte of each without its high bit."""
-    numbers = np.asarray(numbers, np.uint64)
-    size = np.ones(len(numbers), np.int64)
-    for k in range(1, -(-int(numbers.max(initial=0)).bit_length() // 7)):
-        size += numbers >> np.uint64(7 * k) != 0
-    ends = np.cumsum(size)
+    numbers = np.asarray(numbers)
+    numbers = numbers.astype(np.uint64 if int(numbers.max(initial=0)) >> 32 else np.uint32, copy=False)
+    more = np.flatnonzero(numbers > 127)
+    long = numbers[more]
+    size = np.ones(len(more), np.int64)
+    for k in range(1, -(-int(long.max(initial=0)).bit_length() // 7)):
+        size += long >> (7 * k) != 0
+    step = np.ones(len(numbers), np.uint8)
+    step[more] = size
+    ends = np.cumsum(step, dtype=np.int64)
     out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
-    starts = ends - size
-    for k in range(int(size.max(initial=0))):
+    out[ends - 1] = numbers.astype(np.uint8)
+    # Most numbers are a byte; the others are written over theirs.
+    starts = ends[more] - size
+    k = 0
+    while len(long):
+        out[starts + k] = (long >> (7 * k) & 127).astype(np.uint8) | ((size > k + 1).astype(np.uint8) << 7)
+        k += 1
         has = size > k
-        more = (size[has] > k + 1).astype(np.uint8) << 7
-        out[starts[has] + k] = (numbers[has] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | more
+        long, starts, size = long[has], starts[has], size[has]
     return out.tobytes(), ends
 
 
@@ -61,9 +81,19 @@ def from_bytes(data: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    parts = (raw & 127).astype(np.uint64) << (np.uint64(7) * place.astype(np.uint64))
-    return np.add.reduceat(parts, starts).astype(np.int64)
+    out = (raw[starts] & 127).astype(np.int64)
+    more, k = np.flatnonzero(ends > starts), 1
+    while len(more):
+        out[more] |= (raw[starts[more] + k] & 127).astype(np.int64) << 7 * k
+        more, k = more[ends[more] - starts[more] > k], k + 1
+    return out
+
+
+def _taken(source: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, start of each): pieces of ``source`` behind each other."""
+    ends = np.cumsum(size)
+    at = ends - size
+    return source[np.repeat(starts - at, size) + np.arange(ends[-1] if len(ends) else 0)], at
 
 
 def _encoded(heads: np.ndarray, ids: np.ndarray, places: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -72,24 +102,26 @@ def _encoded(heads: np.ndarray, ids: np.ndarray, places: np.ndarray, first: np.n
     A list: number of documents, gaps of ids, counts, gaps of places within a document.
     """
     hits = np.diff(np.append(heads, len(ids)))
-    new = np.concatenate(([True], ids[1:] != ids[:-1]))
+    new = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
     new[heads] = True
     docs = np.flatnonzero(new)
     n = np.add.reduceat(new, heads, dtype=np.int64)
     of, first_doc = np.repeat(np.arange(len(heads)), n), np.cumsum(n) - n
     gaps = np.diff(ids[docs], prepend=0)
     gaps[first_doc] = ids[docs][first_doc] - first
-    steps = np.diff(places, prepend=0)
+    steps = places.copy()
+    steps[1:] -= places[:-1]
     steps[docs] = places[docs]
     size = 1 + 2 * n + hits
     base = np.cumsum(size) - size
-    out = np.empty(size.sum(), np.int64)
+    out = np.empty(size.sum(), np.int64 if int(gaps.max(initial=0)) >> 31 else np.int32)
     out[base] = n
-    at = base[of] + 1 + np.arange(len(docs)) - first_doc[of]
+    at = (base + 1 - first_doc)[of] + np.arange(len(docs))
     out[at] = gaps
-    out[at + n[of]] = np.diff(np.append(docs, len(ids)))
-    own = np.repeat(np.arange(len(heads)), hits)
-    out[base[own] + 1 + 2 * n[own] + np.arange(len(ids)) - heads[own]] = steps
+    at += n[of]
+    out[at] = np.diff(np.append(docs, len(ids)))
+    out[np.repeat(base + 1 + 2 * n - heads, hits) + np.arange(len(ids))] = steps
     data, ends = to_bytes(out)
     return data, np.concatenate(([0], ends[base + size - 1])), n
 
@@ -172,98 +204,223 @@ def _packed(hits: DataFrame, block: int) -> DataFrame:
     return hits.select("token", "block", "id", "place").repartition("token", "block").sortWithinPartitions("token", "block", "id", "place").mapInArrow(pack, POSTINGS)
 
 
-def _partial(words: DataFrame, block: int, held: int) -> DataFrame:
-    """Texts (id, words) to posting lists of what a task has read at a time, so that lists are shuffled and not hits."""
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, how many of each): the runs of ``INSIDE`` in texts, behind each other."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = memoryview(texts.buffers()[2] or b"")[bounds[0] : bounds[-1]].tobytes()
+    bounds -= bounds[0]
+    inside = np.frombuffer(data.translate(INSIDE), bool)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = bounds[:-1] < bounds[1:]
+    edges = bounds[:-1][full], bounds[1:][full] - 1
+    first[edges[0]], last[edges[1]] = inside[edges[0]], inside[edges[1]]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    length = np.diff(np.searchsorted(starts, bounds))
+    ends -= starts - 1
+    ends = np.append(0, np.cumsum(ends)).astype(np.int32)
+    data = data.translate(None, OUTSIDE)
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]), length
+
+
+def _inverted(kept: list[tuple[np.ndarray, pa.Array, np.ndarray]], block: int, buckets: int) -> pa.RecordBatch:
+    """Texts (ids, words, how many of each) to a row for each bucket and block."""
+    of, length = np.concatenate([x[0] for x in kept]), np.concatenate([x[2] for x in kept])
+    coded = pa.chunked_array([x[1] for x in kept]).combine_chunks().dictionary_encode()
+    code, words = coded.indices.to_numpy(), coded.dictionary
+    if (np.diff(of) < 0).any():
+        texts = np.argsort(of, kind="stable")
+        code, _ = _taken(code, (np.cumsum(length) - length)[texts], length[texts])
+        of, length = of[texts], length[texts]
+    # Words by bucket; hits are in the order of their ids and places already, so that they are sorted with their numbers as one integer.
+    bucket = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(words)) % buckets
+    by = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by)) << 32
+    key = rank[code]
+    key |= np.arange(len(code))
+    key.sort()
+    start, text = np.cumsum(length) - length, np.repeat(np.arange(len(of), dtype=np.int32), length)
+    if (np.diff(of) == 0).any():
+        # Two texts of one id are merged.
+        order = key & 0xFFFFFFFF
+        at = text[order]
+        key = key[np.lexsort((order - start[at], of[at], key >> 32))]
+    new = np.ones(len(key), bool)
+    np.not_equal((key[1:] ^ key[:-1]) >> 32, 0, out=new[1:])
+    if of[0] // block != of[-1] // block:
+        k = (of // block)[text[key & 0xFFFFFFFF]]
+        new[1:] |= k[1:] != k[:-1]
+    heads = np.flatnonzero(new)
+    code, k = by[key[heads] >> 32], of[text[key[heads] & 0xFFFFFFFF]] // block
+    ends = np.append(heads[1:], len(key))
+    # Encoded some lists at a time, whose arrays stay in the cache.
+    edges = np.unique(np.append(np.searchsorted(heads, np.arange(0, len(key), ENCODED)), len(heads)))
+    parts, numbers = [], np.empty((len(heads), 5), np.int64)
+    for x, y in zip(edges, edges[1:], strict=False):
+        order = key[heads[x] : ends[y - 1]] & 0xFFFFFFFF
+        at = text[order]
+        ids, own = of[at], heads[x:y] - heads[x]
+        data, cuts, n = _encoded(own, ids, (order - start[at]).astype(np.int32), k[x:y] * block)
+        low, high = ids[own], ids[ends[x:y] - heads[x] - 1]
+        numbers[x:y] = np.stack((n, ends[x:y] - heads[x:y], low - k[x:y] * block, high - low, np.diff(cuts)), 1)
+        parts.append(data)
+    data, b, cuts = np.frombuffer(b"".join(parts), np.uint8), bucket[code], np.cumsum(numbers[:, 4]) - numbers[:, 4]
+    if k.min() < k.max():
+        order = np.lexsort((k, b))
+        data, _ = _taken(data, cuts[order], numbers[order, 4])
+        code, k, b, numbers = code[order], k[order], b[order], numbers[order]
+    heads = np.concatenate(([0], np.flatnonzero((np.diff(b) != 0) | (np.diff(k) != 0)) + 1))
+    ends = np.append(heads, len(k))
+    tokens = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(code))), " ")
+    coded, at = to_bytes(numbers.ravel())
+    at, cuts = np.append(0, at)[5 * ends], np.append(0, np.cumsum(numbers[:, 4]))[ends]
+    binary = lambda cuts, data: pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+    columns = [pa.array(b[heads], pa.int32()), pa.array(k[heads]), tokens, pa.array(np.add.reduceat(numbers[:, 1], heads)), binary(at, coded), binary(cuts, data)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "tokens", "n_hits", "numbers", "postings"])
+
+
+def _partial(texts: DataFrame, block: int, held: int, buckets: int) -> DataFrame:
+    """Texts (id, text) to posting lists of what a task has read at a time, so that lists are shuffled and not hits, and those of a bucket and block as one row."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            texts = pa.Table.from_batches(rows).combine_chunks()
-            length = pc.list_value_length(texts["words"]).to_numpy().astype(np.int64)
-            known, rank = np.unique(texts["id"].to_numpy(), return_inverse=True)
-            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            coded = pc.list_flatten(texts["words"]).combine_chunks().dictionary_encode()
-            key = coded.indices.to_numpy().astype(np.int64) * len(known) + np.repeat(rank, length)
-            # Places ascend within a text already; two texts of one id are merged.
-            order = np.argsort(key, kind="stable") if len(known) == len(length) else np.lexsort((place, key))
-            code, ids = np.divmod(key[order], len(known))
-            ids = known[ids]
-            k = ids // block
-            heads = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (k[1:] != k[:-1]))))
-            return _lists(coded.dictionary.take(pa.array(code[heads])), k[heads], heads, ids, place[order], block)
-
-        kept: list[pa.RecordBatch] = []
+        kept: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         hits = 0
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
-                n = pc.sum(pc.list_value_length(some["words"])).as_py()
-                if hits and hits + n > held:
-                    yield lists(kept)
+                words, length = _cut(some["text"].cast(pa.string()))
+                if hits and hits + len(words) > held:
+                    yield _inverted(kept, block, buckets)
                     kept, hits = [], 0
-                kept.append(some)
-                hits += n
+                if len(words):
+                    kept.append((some["id"].to_numpy(), words, length))
+                    hits += len(words)
         if hits:
-            yield lists(kept)
+            yield _inverted(kept, block, buckets)
 
-    return words.select("id", "words").mapInArrow(invert, POSTINGS)
+    return texts.select("id", "text").mapInArrow(invert, PARTIAL)
 
 
-def _joined(partial: DataFrame, block: int, held: int, buckets: int) -> DataFrame:
+def chained(data: np.ndarray, numbers: np.ndarray, heads: np.ndarray, order: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lists, where they are cut, documents in each): the lists of one word and block joined; ``order`` names the lists in ``data`` by word, block and lowest id, ``heads`` the first of each join.
+
+    Where one list ends before the next begins, they are joined as bytes: only the first gap of ids changes.
+    Lists are decoded only where their documents overlap.
+    """
+    size = numbers[:, 4]
+    at = (np.cumsum(size) - size)[order]
+    width = 1 + 2 * numbers[:, 0] + numbers[:, 1]
+    base = (np.cumsum(width) - width)[order]
+    n, hits, low, span, size = numbers[order].T
+    high = low + span
+    parts = np.diff(np.append(heads, len(order)))
+    own = np.repeat(np.arange(len(heads)), parts)
+    mixed = np.zeros(len(heads), bool)
+    mixed[own[1:][(own[1:] == own[:-1]) & (low[1:] <= high[:-1])]] = True
+    chain = (parts > 1) & ~mixed
+    # Pieces of a joined list: its number of documents, then gaps (the first apart), counts and places of every part.
+    slots = np.where(chain, 1 + 4 * parts, 1)
+    slot = np.cumsum(slots) - slots
+    starts, length = np.empty(slots.sum(), np.int64), np.empty(slots.sum(), np.int64)
+    one = parts == 1
+    starts[slot[one]], length[slot[one]] = at[heads[one]], size[heads[one]]
+    source = [data]
+    c = np.flatnonzero(chain[own])
+    if len(c):
+        ends = np.flatnonzero(data < 128) + 1
+        g, b = own[c], base[c]
+        r = c - heads[g]
+        gaps = np.where(r == 0, low[c], low[c] - high[c - 1])
+        new, stop = to_bytes(np.concatenate((np.add.reduceat(n, heads)[chain], gaps)))
+        source.append(np.frombuffer(new, np.uint8))
+        start, stop = np.append(0, stop[:-1]) + len(data), stop + len(data)
+        m = int(chain.sum())
+        p = slot[g] + 1
+        cut = [ends[b + 1], ends[b + n[c]], ends[b + 2 * n[c]], at[c] + size[c]]
+        for to, x, y in (
+            (slot[chain], start[:m], stop[:m]),
+            (p + 2 * r, start[m:], stop[m:]),
+            (p + 2 * r + 1, cut[0], cut[1]),
+            (p + 2 * parts[g] + r, cut[1], cut[2]),
+            (p + 3 * parts[g] + r, cut[2], cut[3]),
+        ):
+            starts[to], length[to] = x, y - x
+    if mixed.any():
+        c = np.flatnonzero(mixed[own])
+        some, cuts = _taken(data, at[c], size[c])
+        lists = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(np.append(cuts, len(some)).astype(np.int32)), pa.py_buffer(some)])
+        which, ids, places = decoded_all(lists, n[c], hits[c], first[own[c]])
+        group = own[c][which]
+        sort = np.lexsort((places, ids, group))
+        group, ids, places = group[sort], ids[sort], places[sort]
+        new, cuts, joined = _encoded(np.flatnonzero(np.diff(group, prepend=-1)), ids, places, first[mixed])
+        starts[slot[mixed]], length[slot[mixed]] = cuts[:-1] + sum(map(len, source)), np.diff(cuts)
+        source.append(np.frombuffer(new, np.uint8))
+    total = np.add.reduceat(n, heads)
+    if mixed.any():
+        total[mixed] = joined  # a document may be in two lists
+    out, begin = _taken(np.concatenate(source) if len(source) > 1 else data, starts, length)
+    return out, np.append(begin[slot], len(out)), total
+
+
+def _joined(partial: DataFrame, block: int, held: int) -> DataFrame:
     """Lists of one word and block joined; the rows of a bucket come into four parts of it.  One shuffle, of lists.
 
-    Lists are opened only where a word and block has more than one.
+    All lists of a bucket and block are met in a task, which has no more of them than the texts of a block give.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(rows: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
-            parts = np.diff(np.append(heads, len(rows)))
-            yield from rows.take(pa.array(heads[parts == 1])).combine_chunks().to_batches()
-            many = np.repeat(parts > 1, parts)
-            if not many.any():
-                return
-            some = rows.filter(pa.array(many)).combine_chunks()
-            k = some["block"].to_numpy()
-            own, ids, places = decoded_all(some["postings"], some["n_docs"].to_numpy(), some["n_hits"].to_numpy(), k * block)
-            parts = parts[parts > 1]
-            group = np.repeat(np.arange(len(parts)), parts)[own]
-            # Runs that ascend already: what is sorted are their edges, and places only where a document is in two lists.
-            key = group * block + ids - k[own] * block
-            order = np.argsort(key, kind="stable")
-            same = np.diff(key[order]) == 0
-            if (same & (np.diff(places[order]) < 0)).any():
-                order = np.lexsort((places, key))
-            group, ids, places = group[order], ids[order], places[order]
-            start = np.cumsum(parts) - parts
-            yield _lists(some["token"].take(pa.array(start)).combine_chunks(), k[start], np.flatnonzero(np.diff(group, prepend=-1)), ids, places, block)
+        def lists(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            words = pc.split_pattern(rows["tokens"], " ").combine_chunks()
+            of = np.repeat(np.arange(len(rows)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            coded = pc.list_flatten(words).dictionary_encode()
+            code, known = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            numbers = from_bytes(b"".join(rows["numbers"].to_pylist())).reshape(-1, 5)
+            data = np.frombuffer(b"".join(rows["postings"].to_pylist()), np.uint8)
+            key = group[of] * known + code
+            order = np.lexsort((numbers[:, 2], key))
+            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+            k = rows["block"].to_numpy()[of[order[heads]]]
+            out, cuts, n = chained(data, numbers, heads, order, k * block)
+            joined = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(out)])
+            hits = np.add.reduceat(numbers[order, 1], heads)
+            return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order[heads]])), pa.array(k), pa.array(n), pa.array(hits), joined], ["token", "block", "n_docs", "n_hits", "postings"])
+
+        def groups(rows: pa.Table) -> np.ndarray:
+            b, k = rows["bucket"].to_numpy(), rows["block"].to_numpy()
+            return np.cumsum(np.concatenate(([0], (b[1:] != b[:-1]) | (k[1:] != k[:-1]))))
 
         kept: list[pa.RecordBatch] = []
         hits, limit = 0, held
         for batch in batches:
-            if not len(batch):
-                continue
-            kept.append(batch)
-            hits += pc.sum(batch["n_hits"]).as_py()
-            if hits < limit:
-                continue
-            rows = pa.Table.from_batches(kept)
-            heads = _heads(rows)
-            if len(heads) > 1:
-                yield from lists(rows.slice(0, heads[-1]), heads[:-1])
-            kept = rows.slice(heads[-1]).combine_chunks().to_batches()
-            hits = sum(pc.sum(b["n_hits"]).as_py() for b in kept)
-            limit = max(held, 2 * hits)
+            for at in range(len(batch)):
+                kept.append(batch.slice(at, 1))
+                hits += batch["n_hits"][at].as_py()
+                if hits < limit:
+                    continue
+                rows = pa.Table.from_batches(kept)
+                group = groups(rows)
+                whole = int(np.searchsorted(group, group[-1]))
+                if whole:
+                    yield lists(rows.slice(0, whole), group[:whole])
+                kept = kept[whole:]
+                hits = sum(x["n_hits"][0].as_py() for x in kept)
+                limit = max(held, 2 * hits)
         if kept:
             rows = pa.Table.from_batches(kept)
-            yield from lists(rows, _heads(rows))
+            yield lists(rows, groups(rows))
 
-    spread = partial.repartition(bucket_of(F.col("token"), buckets), F.pmod(F.hash("token", "block"), F.lit(4)))
-    return spread.sortWithinPartitions("token", "block").mapInArrow(join, POSTINGS)
+    spread = partial.repartition("bucket", F.pmod("block", F.lit(4)))
+    return spread.sortWithinPartitions("bucket", "block").mapInArrow(join, POSTINGS)
 
 
 def postings(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, held: int = HELD, buckets: int = BUCKETS) -> DataFrame:
     """One row for each word and block of ids."""
-    words = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("words"))
-    return _joined(_partial(words, block, held), block, held, buckets)
+    words = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), plain(F.col(text_col)).alias("text"))
+    return _joined(_partial(words, block, held, buckets), block, held)
 
 
 def add_segment(texts: DataFrame, path: str, segment: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, block: int = BLOCK) -> None:
@@ -271,9 +428,12 @@ def add_segment(texts: DataFrame, path: str, segment: int, id_col: str = "doc_id
 
     Ids that earlier segments have are noted apart, so that a search need not look at all of them.
     """
-    # Words of one bucket may be many: its files are cut by a second hash, that of the shuffle of lists.
+    # Lists of one bucket may be many: its files are cut by their blocks, as the shuffle of lists is.
     rows = postings(texts, id_col, text_col, block, buckets=buckets).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    rows = rows.sortWithinPartitions("bucket", "token", "block")
+    # Words and lists hardly recur in a file.
+    to = rows.write.mode("overwrite").option("parquet.enable.dictionary#token", "false").option("parquet.enable.dictionary#postings", "false")
+    to.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     own = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     own.join(_ids(texts.sparkSession, path, "documents").where(F.col("segment") < segment), "id", "left_semi").write.mode("overwrite").parquet(f"{path}/replaced/segment={segment}")
     own.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
@@ -286,7 +446,7 @@ def _ids(spark: SparkSession, path: str, name: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "id bigint, segment bigint")
+        return spark.range(0).select("id", F.col("id").alias("segment"))
 
 
 def index_stream(texts: DataFrame, path: str, checkpoint: str, **how):

@@ -104,6 +104,63 @@ def test_lists_are_shuffled_and_not_hits(spark, held, block):
     assert "Generate" not in shown and re.search(r"MapInArrow.*RepartitionByExpression.*MapInArrow", shown, re.S)
 
 
+def test_python_gets_texts_and_the_shuffle_a_row_for_each_bucket_and_block(spark):
+    """No arrays of words to Python, and no row for each word through the shuffle."""
+    texts = spark.createDataFrame([(k, f"word{k} common {k % 7}") for k in range(2000)], "doc_id long, text string").coalesce(1)
+    found = S.postings(texts, block=1000, buckets=4)
+    assert "array<string>" not in re.sub(r"#\d+", "", found._jdf.queryExecution().analyzed().treeString()) and "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "token#" not in shuffled and "tokens#" in shuffled
+    assert S._partial(texts.selectExpr("doc_id AS id", "text"), 1000, 1 << 20, 4).count() == 8
+    assert found.count() == 2000 + 2 * 8
+
+
+def test_words_of_plain_texts_are_tokens(spark):
+    rng = random.Random(9)
+    signs = ["a", "B", "9", "é", "É", "ß", "İ", "Σ", "ς", "e\u0301", "\u00a0", "—", "’", "…", "中", "文", "Ⅷ", "²", "😀", "𝒳", "\u200b", "_", " ", "\n", "-", ".", "\x00", "\x7f", "\ufffd", "I\u0307"]
+    rows = ["", None, "a", "a b", "é", " é", "—", "x—y", *("".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, t string").coalesce(1)
+    got = df.select("k", S.plain(F.col("t")).alias("p"), X.tokens(F.col("t")).alias("w")).orderBy("k").collect()
+    for a, b in ((0, len(got)), (3, 50)):
+        words, length = S._cut(pa.array([r.p for r in got], pa.string()).slice(a, b - a))
+        ends, words = np.cumsum(length), words.to_pylist()
+        assert [words[e - n : e] for e, n in zip(ends, length, strict=True)] == [r.w for r in got[a:b]]
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_lists_are_joined_as_bytes_where_they_do_not_overlap(monkeypatch, overlap):
+    rng = np.random.default_rng(3)
+    first, whole, parts = np.array([0, 4096, 8192]), [], []
+    for g in range(3):
+        ids = np.sort(rng.choice(4096, 40, replace=False)) + first[g]
+        # Of the last there is one list; of the second the lists may be mixed.
+        part = np.zeros(40, int) if g == 2 else rng.integers(0, 3, 40) if overlap and g == 1 else np.arange(40) // 15
+        places = [np.sort(rng.choice(100_000, rng.integers(1, 5), replace=False)) for _ in ids]
+        hits = lambda own: (np.repeat(ids[own], [len(places[i]) for i in own]), np.concatenate([places[i] for i in own]))
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            i, at = hits(own)
+            (data,), n = S.encoded(np.array([0]), i, at, first[g : g + 1])
+            parts.append((g, i[0] - first[g], data, [n[0], len(i), i[0] - first[g], i[-1] - i[0], len(data)]))
+        i, at = hits(np.arange(40))
+        whole.append(S.encoded(np.array([0]), i, at, first[g : g + 1])[0][0])
+    rng.shuffle(parts)
+    if not overlap:
+        monkeypatch.setattr(S, "decoded_all", None)
+    order = np.lexsort(([p[1] for p in parts], [p[0] for p in parts]))
+    heads = np.flatnonzero(np.diff([parts[o][0] for o in order], prepend=-1))
+    out, cuts, n = S.chained(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), np.array([p[3] for p in parts]), heads, order, first)
+    assert [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] == whole and n.tolist() == [40, 40, 40]
+
+
+def test_ids_in_any_order_and_twice_in_a_task(spark):
+    rows = corpus(11, [*range(200), 7, 7, 150])
+    random.Random(12).shuffle(rows)
+    found = S.postings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block=64)
+    got = {(r.token, i) for r in found.collect() for i in S.decoded(r.postings, r.block * 64)[0].tolist()}
+    assert got == {(w, i) for i, text in rows for w in words_of(text)}
+
+
 def test_a_search_opens_only_the_buckets_of_its_words(spark, tmp_path):
     path = str(tmp_path)
     S.add_segment(spark.createDataFrame([(k, f"word{k} common") for k in range(500)], "doc_id long, text string"), path, 0)
