@@ -366,7 +366,7 @@ def chained(data: np.ndarray, numbers: np.ndarray, heads: np.ndarray, order: np.
 
 
 def _joined(partial: DataFrame, block: int, held: int) -> DataFrame:
-    """Lists of one word and block joined; the rows of a bucket come into four parts of it.  One shuffle, of lists.
+    """Lists of one word and block joined; a bucket is dealt out by eights of blocks, so that no part of it grows with the corpus.  One shuffle, of lists.
 
     All lists of a bucket and block are met in a task, which has no more of them than the texts of a block give.
     """
@@ -413,7 +413,7 @@ def _joined(partial: DataFrame, block: int, held: int) -> DataFrame:
             rows = pa.Table.from_batches(kept)
             yield lists(rows, groups(rows))
 
-    spread = partial.repartition("bucket", F.pmod("block", F.lit(4)))
+    spread = partial.repartition("bucket", F.shiftright("block", 3))
     return spread.sortWithinPartitions("bucket", "block").mapInArrow(join, POSTINGS)
 
 
