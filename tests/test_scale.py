@@ -85,6 +85,49 @@ def test_pairs_of_other_dates_need_no_names(spark):
     assert got == sorted(want)
 
 
+RECORD = "screening_id string, seen_at long, document_number string, document_type string, surname string, given_names string, date_of_birth string, nationality string"
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Pairs grow with the square of a group: nothing between their join and the result may write or sort them."""
+    rows = [(f"s{i}", i, "N1", "passport", ("KHAN", "ROY")[i % 2], None, "1990-01-01", "IND") for i in range(40)]
+    base = spark.createDataFrame(rows, RECORD)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are no longer small
+    try:
+        found = S.identity_conflicts(base, base.withColumn("id", F.col("screening_id")), lambda a, b, more: a.join(b, S.same_keys([("document_number", "o_document_number"), *more])).withColumn("similarity", F.lit(0.9)))
+        above, joins = [], 0
+        for line in plan(found).splitlines():
+            depth = re.search("[A-Z]", line).start()
+            above = [x for x in above if x[0] < depth]
+            if "Join" in line and "seen_at" in line:
+                joins += 1
+                assert not [x for _, x in above if re.search("Exchange|Sort |Join", x)]
+            above.append((depth, line))
+        got = found.groupBy("pattern").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert joins == 3
+    assert {tuple(r) for r in got} == {("document_shared_by_different_identities", 400), ("same_face_different_identity", 400)}
+
+
+@pytest.mark.parametrize("hot, cuts, block", [(10_000, 3, 10_000), (5, 3, 100), (5, 2, 4)])
+def test_hot_groups_are_cut_into_blocks(spark, monkeypatch, hot, cuts, block):
+    """Each pair once, however groups are cut; rows of groups that are not hot are not copied."""
+    for name, value in (("HOT", hot), ("CUTS", cuts), ("BLOCK", block)):
+        monkeypatch.setattr(S, name, value)
+    left = [(f"a{i}", "hot" if i % 3 else f"k{i}") for i in range(45)] + [("none", None)]
+    right = [(f"b{i}", "hot" if i % 2 else f"k{i}") for i in range(24)] + [("none", None)]
+    a, b = spark.createDataFrame(left, "screening_id string, x string"), spark.createDataFrame(right, "previous string, y string")
+    joined = S.dealt_join(a, b, [("x", "y")])
+    assert sorted((r.screening_id, r.previous) for r in joined.collect()) == sorted((p, q) for p, x in left for q, y in right if x == y and x is not None)
+    dealt = max(cuts, -(-12 // block)) if hot < 12 else 1
+    copies = spark.createDataFrame([(f"a{i}", "hot") for i in range(30)] + [("cold", "k0")], "screening_id string, x string")
+    tiles = S.tiled(copies, S.hot_groups(copies, b, [("x", "y")]), ["x"], "screening_id", "_pa", 0, 4).groupBy("screening_id").agg(F.countDistinct("_pa").alias("n"), F.count("*").alias("m")).collect()
+    assert {r.n for r in tiles if r.screening_id != "cold"} == {r.m for r in tiles if r.screening_id != "cold"} == {dealt}
+    assert [(r.n, r.m) for r in tiles if r.screening_id == "cold"] == [(1, 1)]
+
+
 def test_zones_stay_off_the_driver(spark):
     region = spark.createDataFrame([(k, k, 10, 10, 90, 90, 0.0) for k in range(4)], "screening_id long, region_id long, x0 int, y0 int, x1 int, y1 int, ink_ratio double")
     zones = spark.createDataFrame([(k, "portrait", 0, 0, 800, 800) for k in range(4)], "screening_id long, zone string, zx0 int, zy0 int, zx1 int, zy1 int")
